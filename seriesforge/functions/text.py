@@ -69,7 +69,7 @@ def ascii_fold(col: Column) -> Column:
 def like_contains(name: Column, q: Column) -> Column:
     """SQLite-style ``name LIKE '%q%'``: ASCII case-insensitive, wildcards kept."""
     pattern = F.concat(F.lit("%"), ascii_fold(q), F.lit("%"))
-    return ascii_fold(name).like(pattern, LIKE_ESCAPE)
+    return F.like(ascii_fold(name), pattern, F.lit(LIKE_ESCAPE))
 
 
 def like_literal_runs(q: Column) -> Column:
