@@ -28,8 +28,8 @@ def query(key: str, sql: str | None = None):
     return deco
 
 
-def with_ctes(body: str, **ctes: str) -> str:
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + "\n" + body
+def with_ctes(body: str, _recursive: bool = False, **ctes: str) -> str:
+    return ("WITH RECURSIVE " if _recursive else "WITH ") + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + "\n" + body
 
 
 # ---- shared DuckDB fixture CTEs --------------------------------------------------
@@ -75,4 +75,4 @@ def hidden_sql(col: str) -> str:
 
 
 # The query modules register themselves on import.
-from seriesforge.plans import q_ingest, q_catalog, q_series, q_search  # noqa: E402,F401
+from seriesforge.plans import q_ingest, q_catalog, q_series, q_search, q_metering  # noqa: E402,F401
