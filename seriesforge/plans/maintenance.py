@@ -87,3 +87,36 @@ def incremental_state(state: State, listing: DataFrame, loader: Callable[[DataFr
     obs = obs.unionByName(good.withColumn("load_run", F.lit(run).cast("long")).select(*obs.columns))
     man = C.upsert_manifest(man, _manifest_rows(meta, listing, None))
     return State(cat, obs, man), report
+
+
+# ---- on-disk runs ---------------------------------------------------------------------
+
+def build_store(spark, root: str, roots, countries: Sequence[str] | None = None, rebuild: bool = False):
+    """C7/C8 on files: list the country roots, then rebuild or update the
+    store under ``root`` and publish a new snapshot. Returns the change report
+    (None for a rebuild). Ingest runs case-sensitive (series names may differ
+    only by case)."""
+    from seriesforge.sources import files as FL
+    from seriesforge.sources import panels as P
+    from seriesforge.sources import snapshot as SN
+
+    order = [c for c, _ in roots]
+    chosen = [c for c in (countries or order) if c in order]
+    listing = FL.classify_files(FL.discover_files(spark, [(c, r) for c, r in roots if c in chosen]))
+    with P.case_sensitive(spark):
+        snap = SN.open_snapshot(spark, root)
+        version = (snap.version if snap else 0) + 1
+        if rebuild or snap is None or C.needs_rebuild(spark, snap.catalog, snap.manifest):
+            raw = P.read_panels(spark, listing)
+            st = rebuild_state(raw, run=version, mtimes=listing, country_order=chosen)
+            st = State(st.catalog, st.observations, st.manifest)
+            SN.publish_snapshot(spark, root, st, st.observations, version)
+            return None
+        state = snap.state()
+        new_state, report = incremental_state(state, listing, lambda changed: P.read_panels(spark, changed),
+                                              run=version, countries=chosen, country_order=chosen)
+        if new_state is state:
+            return report
+        new_obs = new_state.observations.where(F.col("load_run") == version)
+        SN.publish_snapshot(spark, root, new_state, new_obs, version)
+        return report
