@@ -70,7 +70,8 @@ def incremental_state(state: State, listing: DataFrame, loader: Callable[[DataFr
     """One incremental run. ``listing`` = classified files (path, country,
     frequency, mtime) of the chosen countries; ``loader`` maps the changed
     files to their raw long rows. Returns (state', change report row)."""
-    changes = C.detect_changes(listing, state.manifest, countries).cache()
+    # reliable checkpoint: one consistent view of the listing for this run
+    changes = C.detect_changes(listing, state.manifest, countries).checkpoint(eager=True)
     report = C.change_report(changes)
     # driver decisions on the (file-level, small) change table
     counts = report.first()

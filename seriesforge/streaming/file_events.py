@@ -74,8 +74,9 @@ def debounced_batches(events: DataFrame, bucket: str = "hour") -> DataFrame:
 def debounced_stream(events: DataFrame, watermark: str = "1 minute") -> DataFrame:
     """H3 (streaming): session windows with a constant key; append mode needs
     the watermark, so a session is emitted once the watermark passes its end."""
-    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-            .groupBy(F.lit("all").alias("_all"), F.session_window("ts", DEBOUNCE).alias("w"))
+    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_all", F.lit("all"))
+            .withWatermark("ts", watermark)
+            .groupBy("_all", F.session_window("ts", DEBOUNCE).alias("w"))
             .agg(F.array_sort(F.collect_set("country")).alias("countries"))
             .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "countries"))
 
