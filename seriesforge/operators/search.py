@@ -119,13 +119,29 @@ def top_k(grouped: DataFrame, limit: Column) -> DataFrame:
     return grouped.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
 
 
+def _signatures(queries: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Identical requests are searched once: (query_id -> sig) and distinct sigs
+    as a query table whose ``query_id`` is the signature text."""
+    sig = F.to_json(F.struct(*[F.col(c) for c in cols]))
+    keyed = queries.withColumn("_sig", sig)
+    distinct = keyed.select(F.col("_sig").alias("query_id"), *cols).dropDuplicates(["query_id"])
+    return keyed.select("query_id", "_sig"), distinct
+
+
+def _expand(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return ids.join(rows.withColumnRenamed("query_id", "_sig"), "_sig").drop("_sig")
+
+
 def search_series(cat: DataFrame, queries: DataFrame, index: DataFrame | None = None,
                   gram_index: DataFrame | None = None) -> DataFrame:
-    """(query_id, name, country, frequencies) - ``lim`` column or 50."""
-    hits = search_fallback(cat, queries, index, gram_index)
-    grouped = group_hits(hits).join(queries.select("query_id", "lim"), "query_id")
+    """(query_id, name, country, frequencies) - ``lim`` column or 50.
+    Repeated (q, freq, country, lim) requests are answered once."""
+    ids, sigs = _signatures(queries, ["q", "freq", "country", "lim"])
+    hits = search_fallback(cat, sigs, index, gram_index)
+    grouped = group_hits(hits).join(sigs.select("query_id", "lim"), "query_id")
     lim = F.coalesce(F.col("lim"), F.lit(DEFAULT_SEARCH_LIMIT))
-    return top_k(grouped, lim).select("query_id", "name", "country", "frequencies")
+    rows = top_k(grouped, lim).select("query_id", "name", "country", "frequencies")
+    return _expand(rows, ids)
 
 
 def search_visible(cat: DataFrame, queries: DataFrame, patterns, index: DataFrame | None = None,
@@ -139,11 +155,13 @@ def search_visible(cat: DataFrame, queries: DataFrame, patterns, index: DataFram
     rejected = queries.where(lim > MAX_SEARCH_LIMIT).select("query_id", F.lit("limit above 200").alias("error"))
     ok = queries.where(lim <= MAX_SEARCH_LIMIT).withColumn(
         "lim", F.when(F.col("role") == "anonymous", F.least(lim, F.lit(ANONYMOUS_SEARCH_LIMIT))).otherwise(lim))
-    hits = search_fallback(cat, ok, index, gram_index)
-    hits = hits.join(ok.select("query_id", "role"), "query_id")
-    hits = V.hide_series(hits, patterns, admin=F.col("role") == "admin")
-    grouped = group_hits(hits).join(ok.select("query_id", "lim"), "query_id")
-    rows = top_k(grouped, F.col("lim")).select("query_id", "name", "country", "frequencies")
+    ok = ok.withColumn("_admin", F.col("role") == "admin")
+    ids, sigs = _signatures(ok, ["q", "freq", "country", "lim", "_admin"])
+    hits = search_fallback(cat, sigs, index, gram_index)
+    hits = hits.join(sigs.select("query_id", "_admin"), "query_id")
+    hits = V.hide_series(hits, patterns, admin=F.col("_admin"))
+    grouped = group_hits(hits).join(sigs.select("query_id", "lim"), "query_id")
+    rows = _expand(top_k(grouped, F.col("lim")).select("query_id", "name", "country", "frequencies"), ids)
     summary = (ok.select("query_id", "q", "role")
                .join(rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("count")), "query_id", "left")
                .select("query_id", "q", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
