@@ -186,6 +186,9 @@ def next_after(req: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iteration (reliable checkpoint, survives executor loss)."""
+    from seriesforge.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -216,8 +219,11 @@ def window_anchors(req: DataFrame, window: str = "1 day") -> DataFrame:
                                   (F.col("a.nxt") == F.col("b.id")), "left")
         jump = _checkpoint(j2.select(F.col("a.identity").alias("identity"), F.col("a.id").alias("id"),
                                      F.col("b.nxt").alias("nxt")))
-    return reach.join(r.select("identity", F.col("event_id").alias("id"), F.col("ts").alias("anchor_ts")),
-                      ["identity", "id"]).select("identity", "anchor_ts", F.col("id").alias("anchor_id"))
+    out = reach.join(r.select("identity", F.col("event_id").alias("id"), F.col("ts").alias("anchor_ts")),
+                     ["identity", "id"]).select("identity", "anchor_ts", F.col("id").alias("anchor_id"))
+    out = _checkpoint(out)
+    r.unpersist()
+    return out
 
 
 def anchored_admission(attributed: DataFrame, bucket: str = "hour") -> DataFrame:

@@ -71,6 +71,8 @@ def incremental_state(state: State, listing: DataFrame, loader: Callable[[DataFr
     frequency, mtime) of the chosen countries; ``loader`` maps the changed
     files to their raw long rows. Returns (state', change report row)."""
     # reliable checkpoint: one consistent view of the listing for this run
+    from seriesforge.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(listing.sparkSession)
     changes = C.detect_changes(listing, state.manifest, countries).checkpoint(eager=True)
     report = C.change_report(changes)
     # driver decisions on the (file-level, small) change table
