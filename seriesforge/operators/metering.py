@@ -158,14 +158,15 @@ def next_after(req: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe (identity, pid, pts): the first request (by ts, event_id)
     of the same identity with ts > pts, as struct ``nxt`` (ts, event_id) or null.
 
-    Split by (identity, day): inside a day a reverse running ``last`` finds
-    the next request; a probe whose day has none takes the first request of
-    the next non-empty day (a window over day-level rows only).
+    Split by (identity, hour): inside an hour a reverse running ``last`` finds
+    the next request; a probe whose hour has none takes the first request of
+    the next non-empty hour (a window over hour-level rows only, bounded by the
+    time span, not by the number of requests).
     """
-    R = req.select("identity", F.to_date("ts").alias("_d"), F.col("ts"), F.col("event_id"),
+    R = req.select("identity", F.date_trunc("hour", "ts").alias("_d"), F.col("ts"), F.col("event_id"),
                    F.lit(0).alias("_k"), F.lit(None).cast("long").alias("pid"),
                    F.struct("ts", "event_id").alias("_r"))
-    P = probes.select("identity", F.to_date("pts").alias("_d"), F.col("pts").alias("ts"),
+    P = probes.select("identity", F.date_trunc("hour", "pts").alias("_d"), F.col("pts").alias("ts"),
                       F.lit(None).cast("long").alias("event_id"), F.lit(1).alias("_k"), "pid",
                       F.lit(None).cast("struct<ts:timestamp,event_id:bigint>").alias("_r"))
     u = R.unionByName(P)

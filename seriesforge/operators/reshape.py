@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.operators import series as SR
+from seriesforge.plans.broadcast import broadcast_if_small
 
 
 class EmptyResultError(ValueError):
@@ -29,7 +30,7 @@ def wide_slice(spark, cat: DataFrame, obs: DataFrame, names: Sequence[str], freq
     """Long slice (name, date, value) of the requested series (F1 + F2)."""
     req = spark.createDataFrame([(i, n, freq, start, end) for i, n in enumerate(names)],
                                 "request_id int, name string, freq string, start_date string, end_date string")
-    resolved = SR.resolve_series(F.broadcast(req), cat)
+    resolved = SR.resolve_series(broadcast_if_small(req, len(names)), cat)
     return SR.series_slice(resolved, obs).select("name", "date", "value")
 
 
