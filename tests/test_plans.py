@@ -28,3 +28,23 @@ def test_top_k_uses_window_group_limit(spark):
     out = df.withColumn("rn", F.row_number().over(w)).where("rn <= 5")
     out.collect()
     assert "WindowGroupLimit" in _plan(out)
+
+
+def test_invariants_on_fixtures(spark):
+    """sum of catalog counts = owned observations; incremental with nothing
+    changed keeps the catalog."""
+    from pyspark.sql import functions as F
+
+    from seriesforge.operators import catalog as C
+    from seriesforge.plans import maintenance as M
+    from seriesforge.plans import state as S
+    d = "/root/testdata/sf0.001"
+    st = M.rebuild_state(S.all_obs(spark, d), run=1, mtime=F.timestamp_seconds(F.lit(1704067200)))
+    total = st.catalog.agg(F.sum("count")).first()[0]
+    assert total == st.visible_observations().count()
+    listing = (S.all_obs(spark, d).select(F.col("source_file").alias("path"), "country", "frequency").distinct()
+               .withColumn("mtime", F.timestamp_seconds(F.lit(1704067200))))
+    same, report = M.incremental_state(st, listing, lambda ch: S.all_obs(spark, d).limit(0), run=2)
+    r = report.first()
+    assert same is st and r["changed"] == 0 and r["removed"] == 0
+    assert C.change_report(C.detect_changes(listing, st.manifest)).first()["unchanged"] == r["scanned"]
