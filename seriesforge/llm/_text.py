@@ -39,14 +39,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-def spans_hash(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, root: int) -> np.ndarray:
-    """Hash of units[starts:ends] for each span: depends on the units and the length alone."""
-    n = len(units)
-    inv = pow(root, -1, 1 << 64)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(units.astype(U) * powers(inv, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(root, n + 1)[starts]
-    return mixed(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+class Sums:
+    """Running sums over units, from which any span's hash follows."""
+
+    def __init__(self, units: np.ndarray, root: int):
+        n = len(units)
+        self.sums = np.zeros(n + 1, U)
+        np.cumsum(units.astype(U) * powers(pow(root, -1, 1 << 64), n), out=self.sums[1:])
+        self.powers = powers(root, n + 1)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of units[starts:ends] for each span: depends on the units and the length alone."""
+        return mixed((self.sums[ends] - self.sums[starts]) * self.powers[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+
+    def windows(self, width: int) -> np.ndarray:
+        """Hash of every window of ``width`` units (at least one window must fit)."""
+        n = len(self.sums) - 1 - width + 1
+        return mixed((self.sums[width:] - self.sums[:n]) * self.powers[:n] + U(width * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +69,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def groups(offsets: np.ndarray, most: int = 1 << 22):
+def groups(offsets: np.ndarray, most: int = 1 << 21):
     """Ranges of texts of up to ``most`` bytes together; a longer text is a range of its own."""
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -83,20 +92,18 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
-def window_min(values: np.ndarray, width: int) -> np.ndarray:
-    """For each i the position of the least of values[i:i+width], the first one if several are least."""
-    n = len(values)
-    if n < width:
-        return np.zeros(0, np.int64)
-    at, have = np.arange(n, dtype=np.int64), 1
-    best = values
-    def joined(step):
-        m = len(best) - step
-        later = best[step:step + m] < best[:m]
-        return np.where(later, best[step:step + m], best[:m]), np.where(later, at[step:step + m], at[:m])
-    while have * 2 <= width:
-        best, at = joined(have)
-        have *= 2
-    if have < width:
-        best, at = joined(width - have)
-    return at[:n - width + 1]
+def window_min(values: np.ndarray, width: int, block: int = 1 << 23) -> np.ndarray:
+    """For each i the position of a least one of values[i:i+width], by its upper 40 bits, the first if several are.
+
+    Position and value share one number, so that one minimum a step finds both; equal windows choose alike."""
+    n = len(values) - width + 1
+    out = np.empty(max(0, n), np.int64)
+    for at in range(0, max(0, n), block):
+        part = values[at:at + block + width - 1]
+        best, have = part & ~U((1 << 24) - 1) | np.arange(len(part), dtype=U), 1
+        while have * 2 <= width:
+            best, have = np.minimum(best[:-have], best[have:]), have * 2
+        if have < width:
+            best = np.minimum(best[:have - width], best[width - have:])
+        out[at:at + block] = (best & U((1 << 24) - 1)).astype(np.int64) + at
+    return out

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seriesforge.llm._frames import prepare, read
 from seriesforge.llm.simhash import simhash_components
+from seriesforge.llm.substring import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,3 +31,10 @@ def query(key: str, sql: str | None = None):
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles, groups at 2 differing bits or fewer."""
     return simhash_components(read(spark, sf_dir, "documents"))
+
+
+@query("op3_substring")
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after repeated windows of 35 words are removed."""
+    out = substring_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
