@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seriesforge.llm._frames import prepare, read
 from seriesforge.llm.simhash import simhash_components
 from seriesforge.llm.substring import substring_dedup
+from seriesforge.llm.suffix import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +39,10 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after repeated windows of 35 words are removed."""
     out = substring_dedup(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op9_suffix")
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left after repeated strings of 200 bytes are removed."""
+    out = suffix_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
