@@ -1,13 +1,16 @@
 """Candidates for repeated windows of k units (words or bytes), without a row for each window.
 
 Each window chooses its anchor: the m-unit gram of least hash inside it. Equal windows choose equal anchors at equal
-places, so windows that share no anchor with another place can't repeat. Consecutive windows with one anchor make a
-run, a few percent as many rows as windows. Runs of an anchor that occurs once in the corpus are dropped by one count
-and one join; equal runs are a class, of which one stands for all.
+places, so windows that share no anchor with another place can't repeat. Consecutive windows with equal anchors make a
+run, a few percent as many rows as windows; a run that holds its anchor at several places (text that repeats itself)
+is marked. Runs of an anchor that occurs once in the corpus are dropped by one count and one join; equal runs are a
+class, of which one stands for all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from seriesforge.llm import _text as T
 from seriesforge.llm._frames import arrow_map, staged
 
-RUN = "ah long, rh long, doc_id long, th long, start int, n int"
+RUN = "ah long, rh long, doc_id long, th long, start int, n int, multi boolean"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -33,24 +36,26 @@ def units_of(raw: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndar
 
 
 def batch_runs(raw: np.ndarray, offsets: np.ndarray, words: bool, k: int, m: int):
-    """(ah, rh, text number, start, windows) of the runs of a batch."""
+    """(ah, rh, text number, start, windows, multi) of the runs of a batch, or None."""
     units, first = units_of(raw, offsets, words)
     n = len(units) - k + 1
-    none = np.zeros(0, np.int64)
     if n < 1:
-        return none.astype(T.U), none.astype(T.U), none, none, none
+        return None
     grams = T.Sums(units, T.ROOTS[0]).windows(m)
     anchor = T.window_min(grams, k - m + 1)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     inside = text[:n] == text[k - 1:]
+    moved = np.append(True, anchor[1:] != anchor[:-1])
+    changed = moved.copy()
+    changed[moved] = np.append(True, np.diff(grams[anchor[moved]].view(np.int64)) != 0)
     begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1])
-    stops = begins | ~inside
+    begins[1:] &= ~inside[:-1] | changed[1:]
     starts = np.flatnonzero(begins)
-    edges = np.append(np.flatnonzero(stops), n)
+    edges = np.append(np.flatnonzero(begins | ~inside), n)
     ends = edges[np.searchsorted(edges, starts, side="right")]
+    moves = np.cumsum(moved)
     rh = T.Sums(units, T.ROOTS[1]).spans(starts, ends + k - 1)
-    return grams[anchor[starts]], rh, text[starts], starts - first[text[starts]], ends - starts
+    return grams[anchor[starts]], rh, text[starts], starts - first[text[starts]], ends - starts, moves[ends - 1] > moves[starts]
 
 
 def runs(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
@@ -59,22 +64,24 @@ def runs(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
         raw, offsets = T.texts_of(b.column(2))
         ids, th, parts = b.column(0), b.column(1).to_numpy(), []
         for i, j in T.groups(offsets):
-            ah, rh, text, start, n = batch_runs(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], words, k, m)
-            if len(ah):
-                parts.append(pa.record_batch([pa.array(ah.view(np.int64)), pa.array(rh.view(np.int64)), ids.take(pa.array(text + i)), pa.array(th[text + i]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["ah", "rh", "doc_id", "th", "start", "n"]))
+            found = batch_runs(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], words, k, m)
+            if found is not None and len(found[0]):
+                ah, rh, text, start, n, multi = found
+                parts.append(pa.record_batch([pa.array(ah.view(np.int64)), pa.array(rh.view(np.int64)), ids.take(pa.array(text + i)), pa.array(th[text + i]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(multi)], names=["ah", "rh", "doc_id", "th", "start", "n", "multi"]))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
     return arrow_map(docs, batch, RUN)
 
 
 def repeated_runs(docs: DataFrame, words: bool, k: int, m: int) -> tuple[DataFrame, DataFrame]:
     """(hits, classes): all runs whose anchor occurs twice or more; and for each class of equal runs (ah, rh) the number
-    of copies, the class's first run (doc, th, start, n) and the number of classes with that anchor."""
+    of copies, the class's first run (doc_id, th, start, n), the number of classes with that anchor, and ``mixed``:
+    whether its windows may repeat elsewhere than in its copies."""
     found = runs(docs, words, k, m)
-    twice = staged(found.groupBy("ah").count().where("count > 1").select("ah"))
+    twice = staged(found.groupBy("ah").agg(F.sum(F.col("multi").cast("int") + 1).alias("c")).where("c > 1").select("ah"))
     hits = staged(found.join(twice, "ah"))
-    equal = staged(hits.groupBy("ah", "rh").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one")))
+    equal = staged(hits.groupBy("ah", "rh").agg(F.count("*").alias("copies"), F.max("multi").alias("multi"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one")))
     among = staged(equal.groupBy("ah").agg(F.count("*").alias("classes")))
-    return hits, staged(equal.join(among, "ah"))
+    return hits, staged(equal.join(among, "ah").withColumn("mixed", F.expr("classes > 1 OR multi")))
 
 
 def by_text(rows: DataFrame, *fields: str) -> DataFrame:
@@ -89,6 +96,38 @@ def with_texts(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFram
     return docs.join(r, docs["doc_id"].eqNullSafe(r["_doc"]) & (docs["th"] == r["_th"]), how).drop("_doc", "_th")
 
 
+def by_anchor(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], size: Callable[[pa.RecordBatch], np.ndarray], chunk: int):
+    """A mapInArrow function over rows sorted by ``ah``: ``work`` gets chunks of about ``chunk`` in size, cut between
+    two anchors."""
+    def done(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = work(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
+        if out is not None and out.num_rows:
+            yield out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        have, last = 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ah = b.column("ah").to_numpy()
+            sums = np.concatenate(([0], np.cumsum(size(b))))
+            cuts = (np.flatnonzero(ah[1:] != ah[:-1]) + 1).tolist()
+            if last is not None and last != ah[0]:
+                cuts = [0, *cuts]
+            at = 0
+            for cut in cuts:
+                if have + sums[cut] - sums[at] >= chunk:
+                    yield from done([*held, b.slice(at, cut - at)])
+                    held, have, at = [], 0, cut
+            held.append(b.slice(at))
+            have += int(sums[-1] - sums[at])
+            last = ah[-1]
+        if held:
+            yield from done(held)
+    return run
+
+
 def flat(b: pa.RecordBatch, name: str) -> np.ndarray:
     return b.column(name).flatten().to_numpy(zero_copy_only=False)
 

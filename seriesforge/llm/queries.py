@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesforge.llm import bpe
 from seriesforge.llm._frames import prepare, read
+from seriesforge.llm.packing import best_fit_packing
 from seriesforge.llm.simhash import simhash_components
 from seriesforge.llm.substring import substring_dedup
 from seriesforge.llm.suffix import suffix_dedup
@@ -16,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(key: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,3 +52,18 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left after repeated strings of 200 bytes are removed."""
     out = suffix_dedup(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE ids of every text and the text they decode to."""
+    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "UTF-8"), 256).alias("ids_sha256"),
+                      F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 ids in as few sequences as best fit finds."""
+    return best_fit_packing(read(spark, sf_dir, "documents"), VOCABULARY)

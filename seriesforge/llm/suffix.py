@@ -15,8 +15,6 @@ their hash and digest in partial aggregates instead, and found again by a join,
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,8 +73,7 @@ def _strings(k: int):
 
 def _sorted_out(k: int, chunk: int):
     """Strings sorted by anchor -> spans of starts that match elsewhere. Chunks end between two anchors."""
-    def work(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    def work(t: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = T.texts_of(t.column("bytes"))
         ah, start = t.column("ah").to_numpy(), t.column("start").to_numpy()
         run = np.repeat(np.arange(t.num_rows), np.diff(offsets))
@@ -92,31 +89,9 @@ def _sorted_out(k: int, chunk: int):
             s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # within a run: its last k-1 bytes start nothing
             r = pa.array(run[s])
             parts.append(pa.record_batch([t.column("doc_id").take(r), t.column("th").take(r), pa.array((start[run[s]] + s - offsets[run[s]]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(np.full(len(s), flag))], names=["doc_id", "th", "start", "n", "later"]))
-        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts[0]) + len(parts[1]) else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, open_anchor = 0, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ah = b.column("ah").to_numpy()
-            length = np.concatenate(([0], np.cumsum(np.diff(T.texts_of(b.column("bytes"))[1]))))
-            cuts = (np.flatnonzero(ah[1:] != ah[:-1]) + 1).tolist()
-            if open_anchor is not None and open_anchor != ah[0]:
-                cuts = [0, *cuts]
-            done = 0
-            for cut in cuts:
-                if size + length[cut] - length[done] >= chunk:
-                    if (part := work([*held, b.slice(done, cut - done)])) is not None:
-                        yield part
-                    held, size, done = [], 0, cut
-            held.append(b.slice(done))
-            size += int(length[-1] - length[done])
-            open_anchor = ah[-1]
-        if held and (part := work(held)) is not None:
-            yield part
-    return run
+        return pa.concat_batches(parts)
+
+    return A.by_anchor(work, lambda b: np.diff(T.texts_of(b.column("bytes"))[1]), chunk)
 
 
 def _windows(k: int):
@@ -141,7 +116,7 @@ def repeated_spans(docs: DataFrame, k: int = LENGTH, m: int = GRAM, together: in
     copies = hits.join(classes.where("copies > 1").select("ah", "rh", "one"), ["ah", "rh"]).select(
         "doc_id", "th", "start", "n", (place > F.struct("one.doc_id", "one.th", "one.start")).alias("later"))
     fields = ["start", "n", "ah", "lone", "crowded"]
-    firsts = classes.where("classes > 1").select("ah", "one.*", (F.col("copies") == 1).alias("lone"), (F.col("classes") > together).alias("crowded"))
+    firsts = classes.where("mixed").select("ah", "one.*", (F.col("copies") == 1).alias("lone"), (F.col("classes") > together).alias("crowded"))
     texts = A.with_texts(docs, A.by_text(firsts, *fields)).select("doc_id", "th", "text", *fields)
     strings = staged(arrow_map(texts, _strings(k), "ah long, doc_id long, th long, start int, bytes binary, lone boolean, crowded boolean"))
     found = strings.where("NOT crowded").repartition("ah").sortWithinPartitions("ah", "doc_id", "th", "start").mapInArrow(
