@@ -1,12 +1,14 @@
 """Exact substring dedup over words by De Bruijn compaction.
 
 Edges are the windows of ``k`` words, nodes the sequences of k-1 words between them. Edges that occur once are left out
-before they become rows (see _anchors): what stays are paths of edges, either a class of equal runs or single edges
-where runs differ. A path's words, read at its source coordinates, give the digest that counts it, so equality rests on
-the words and not on the hashes of the candidate search. Repeated paths then compact: where exactly one path ends in a
-node and exactly one begins there, both are one longer path. Most such joints lie side by side in the text that a path
-was first seen in, and one window over each text's own paths closes them; joints across texts are closed by connected
-components. The spans of a text are the unions of its occurrences of compacted paths.
+before they become rows (see _anchors). What stays are paths of edges: a run that has copies as a whole, counted by a
+digest of its words read at its source coordinates; and, where runs with one anchor differ, the single edges that they
+share, found by hash within the anchor's group and verified by their words. (An anchor with very many classes doesn't
+make one group: its edges are counted by digest in partial aggregates, and found again by a join.) Repeated paths then
+compact: where exactly one path ends in a node and exactly one begins there, both are one longer path. Most such joints
+lie side by side in the text that a path was first seen in, and one window over each text's own paths closes them;
+joints across texts are closed by connected components. The spans of a text are the unions of its occurrences of
+compacted paths.
 """
 
 from __future__ import annotations
@@ -25,51 +27,96 @@ from seriesforge.llm._graph import connected_components
 
 WINDOW = 35
 #: Words of the grams that anchor windows.
-GRAM = 8
-PATH = ["k1", "k2", "d1", "d2"]
+GRAM = 12
+#: Classes of one anchor whose edges are compared together; an anchor with more is counted by digests.
+TOGETHER = 64
+#: Bytes of runs compared at once in a task.
+CHUNK = 1 << 20
+PATH = ["d1", "d2"]
+PLACED = "d1 long, d2 long, head long, tail long, doc_id long, th long, start int, n int"
 
 
-def _paths(k: int):
-    """Texts with their runs -> paths of edges: key, digest, first and last node, source coordinates."""
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _halves(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+
+
+def _runs_read(k: int):
+    """Texts with their runs -> each run's digest, first and last node, source coordinates, and its words if its edges
+    are to be compared."""
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = T.texts_of(b.column("text"))
         units, first = A.units_of(raw, offsets, True)
-        wstart, wend, _ = T.words_of(raw, offsets)
-        sums, other = T.Sums(units, T.ROOTS[0]), T.Sums(units, T.ROOTS[1])
+        sums = T.Sums(units, T.ROOTS[0])
         row = A.owners(b, "start")
-        start, n, ah, rh, wide, lone = (A.flat(b, c) for c in ("start", "n", "ah", "rh", "expand", "lone"))
-        start = start.astype(np.int64) + first[row]
-        n = n.astype(np.int64)
-        # a run is a path; a run to be compared with unequal ones gives its edges too
-        many = np.where(wide, n, 0)
-        of = np.repeat(np.arange(len(row)), many)
-        edge = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        at = np.concatenate([start, edge])
-        length = np.concatenate([n, np.ones(len(edge), np.int64)])
-        k1 = np.concatenate([ah, ah[of]])
-        k2 = np.concatenate([rh, ~other.spans(edge, edge + k).view(np.int64)])
-        own = np.concatenate([np.ones(len(row), bool), lone[of]])  # edges of a run with copies only count: its path says all
-        end = at + length + k - 1
-        text = np.concatenate([row, row[of]])
+        start, n, ah, expand, lone, crowded = (A.flat(b, c) for c in ("start", "n", "ah", "expand", "lone", "crowded"))
+        at = start.astype(np.int64) + first[row]
+        end = at + n + k - 1
         data = raw.tobytes()
-        words, have, base = [], -1, 0
-        order = np.argsort(text, kind="stable")
-        digest = np.empty((len(at), 2), np.int64)
-        for i in order.tolist():
-            t = int(text[i])
+        digests, kept, have, words = [], [], -1, []
+        for t, x, length, wide in zip(row.tolist(), start.tolist(), n.tolist(), expand.tolist()):  # rows come text by text
             if t != have:
-                words, have, base = data[offsets[t]:offsets[t + 1]].split(), t, int(first[t])
-            d = hashlib.blake2b(b" ".join(words[at[i] - base:end[i] - base]), digest_size=16).digest()
-            digest[i] = np.frombuffer(d, "<i8")
-        doc, th = b.column("doc_id").take(pa.array(text)), b.column("th").take(pa.array(text))
+                words, have = data[offsets[t]:offsets[t + 1]].split(), t
+            line = b" ".join(words[x:x + length + k - 1])
+            digests.append(_digest(line))
+            kept.append(line if wide else None)
+        d, r = _halves(digests), pa.array(row)
         return pa.record_batch([
-            pa.array(k1), pa.array(k2), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-            pa.array(sums.spans(at, at + k - 1).view(np.int64)), pa.array(sums.spans(end - k + 1, end).view(np.int64)),
-            doc, th, pa.array((at - first[text]).astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(own),
-        ], names=[*PATH, "head", "tail", "doc_id", "th", "start", "n", "own"])
+            pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sums.spans(at, at + k - 1).view(np.int64)), pa.array(sums.spans(end - k + 1, end).view(np.int64)),
+            b.column("doc_id").take(r), b.column("th").take(r), pa.array(start), pa.array(n), pa.array(ah), pa.array(lone), pa.array(crowded), pa.array(kept, pa.binary())],
+            names=[*PATH, "head", "tail", "doc_id", "th", "start", "n", "ah", "lone", "crowded", "bytes"])
     return batch
 
 
+def _edges(k: int, t: pa.RecordBatch, wanted) -> pa.RecordBatch | None:
+    """Edges of the runs of a batch as paths of one edge. ``wanted`` (windows' hash, run) -> which windows to read."""
+    raw, offsets = T.texts_of(t.column("bytes"))
+    units, first = A.units_of(raw, offsets, True)
+    begin, end, _ = T.words_of(raw, offsets)
+    n = len(units) - k + 1
+    run = np.repeat(np.arange(t.num_rows), np.diff(first))
+    at = np.flatnonzero(run[:n] == run[k - 1:])
+    at = at[wanted(T.Sums(units, T.ROOTS[1]).windows(k)[at], run[at])]
+    if not len(at):
+        return None
+    data, sums = raw.tobytes(), T.Sums(units, T.ROOTS[0])
+    d = _halves([_digest(data[x:y]) for x, y in zip(begin[at].tolist(), end[at + k - 1].tolist())])
+    r = run[at]
+    take = pa.array(r)
+    return pa.record_batch([
+        pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sums.spans(at, at + k - 1).view(np.int64)), pa.array(sums.spans(at + 1, at + k).view(np.int64)),
+        t.column("doc_id").take(take), t.column("th").take(take), pa.array((t.column("start").to_numpy()[r] + at - first[r]).astype(np.int32)), pa.array(np.ones(len(at), np.int32)),
+        t.column("ah").take(take), t.column("lone").take(take)], names=[*PATH, "head", "tail", "doc_id", "th", "start", "n", "ah", "lone"])
+
+
+def _twice(*keys: np.ndarray) -> np.ndarray:
+    """Which rows share all keys with another row."""
+    order = np.lexsort(keys)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for key in keys:
+        same &= key[order[1:]] == key[order[:-1]]
+    out = np.zeros(len(order), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _shared_edges(k: int, chunk: int):
+    """Runs sorted by anchor -> the edges of lone runs that another edge of the same anchor equals, word for word."""
+    def work(t: pa.RecordBatch) -> pa.RecordBatch | None:
+        ah = t.column("ah").to_numpy()
+        group = np.cumsum(np.append(0, ah[1:] != ah[:-1]))
+        found = _edges(k, t, lambda h, run: _twice(h, group[run]))
+        if found is None:
+            return None
+        equal = _twice(*(found.column(c).to_numpy() for c in ("d1", "d2", "ah")))
+        return found.filter(pa.array(equal & found.column("lone").to_numpy(zero_copy_only=False))).drop_columns(["ah", "lone"])
+    return A.by_anchor(work, lambda b: np.diff(T.texts_of(b.column("bytes"))[1]), chunk)
+
+
 def _compacted(paths: DataFrame) -> DataFrame:
     """Repeated paths (PATH, head, tail, and where first seen) -> PATH and the id of the compacted path of each."""
     ids = staged(paths.withColumn("id", F.xxhash64(*PATH)))
@@ -88,19 +135,27 @@ def _compacted(paths: DataFrame) -> DataFrame:
         *PATH, F.coalesce("root", "island").alias("path"))
 
 
-def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = GRAM, together: int = TOGETHER, chunk: int = CHUNK) -> DataFrame:
     """keyed documents -> (doc_id, th, path, start, n): every occurrence, in words, of a repeated path of n windows."""
     hits, classes = A.repeated_runs(docs, True, k, m)
-    mark = (F.col("classes") > 1) & (F.struct("doc_id", "th", "start", "n") == F.col("one"))
-    marked = hits.join(classes, ["ah", "rh"]).withColumn("expand", F.coalesce(mark, F.lit(False))).withColumn("lone", F.col("copies") == 1)
-    fields = ["start", "n", "ah", "rh", "expand", "lone"]
-    rows = A.by_text(marked.where("expand OR copies > 1").distinct(), *fields)
-    paths = staged(arrow_map(A.with_texts(docs, rows).select("doc_id", "th", "text", *fields), _paths(k),
-                             "k1 long, k2 long, d1 long, d2 long, head long, tail long, doc_id long, th long, start int, n int, own boolean"))
-    twice = staged(paths.groupBy(*PATH).agg(
-        F.count("*").alias("copies"), F.min("head").alias("head"), F.min("tail").alias("tail"), F.min(F.when(F.col("own"), F.struct("doc_id", "th", "start", "n"))).alias("one"))
-        .where("copies > 1 AND one IS NOT NULL").select(*PATH, "head", "tail", "one.*"))
-    return paths.where("own").drop("head", "tail").join(staged(_compacted(twice)), PATH).select("doc_id", "th", "path", "start", "n")
+    known = classes.select("ah", "rh", "one", "mixed", (F.col("copies") == 1).alias("lone"), (F.col("classes") > together).alias("crowded"))
+    first = F.struct("doc_id", "th", "start", "n") == F.col("one")
+    marked = hits.join(known, ["ah", "rh"]).withColumn("expand", F.col("mixed") & F.coalesce(first, F.lit(False)))
+    fields = ["start", "n", "ah", "expand", "lone", "crowded"]
+    rows = A.by_text(marked.where("expand OR NOT lone").select("doc_id", "th", *fields).distinct(), *fields)
+    read = staged(arrow_map(A.with_texts(docs, rows).select("doc_id", "th", "text", *fields), _runs_read(k), PLACED + ", ah long, lone boolean, crowded boolean, bytes binary"))
+
+    whole = read.where("NOT lone").select(*PATH, "head", "tail", "doc_id", "th", "start", "n")
+    copied = staged(whole.groupBy(*PATH).count().where("count > 1").select(*PATH))
+    expand = read.where("bytes IS NOT NULL").select("ah", "doc_id", "th", "start", "lone", "crowded", "bytes")
+    few = expand.where("NOT crowded").repartition("ah").sortWithinPartitions("ah").mapInArrow(_shared_edges(k, chunk), PLACED)
+    each = staged(arrow_map(expand.where("crowded"), lambda b: _edges(k, b, lambda h, run: np.ones(len(h), bool)), PLACED + ", ah long, lone boolean"))
+    dense = staged(each.groupBy(*PATH).count().where("count > 1").select(*PATH))
+    many = each.where("lone").join(dense, PATH).select(*few.columns)
+    paths = staged(whole.join(copied, PATH).union(few).union(many))
+
+    distinct = staged(paths.groupBy(*PATH).agg(F.min("head").alias("head"), F.min("tail").alias("tail"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one")).select(*PATH, "head", "tail", "one.*"))
+    return paths.drop("head", "tail").join(staged(_compacted(distinct)), PATH).select("doc_id", "th", "path", "start", "n")
 
 
 def substring_dedup(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFrame:
