@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from seriesforge.llm import bpe
 from seriesforge.llm._frames import prepare, read
 from seriesforge.llm.packing import best_fit_packing
+from seriesforge.llm.quality import quality_rules
 from seriesforge.llm.simhash import simhash_components
 from seriesforge.llm.substring import substring_dedup
 from seriesforge.llm.suffix import suffix_dedup
+from seriesforge.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +69,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 ids in as few sequences as best fit finds."""
     return best_fit_packing(read(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules, and fences by language and source."""
+    return quality_rules(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op6_warc")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as segmented archives and read back."""
+    return archive_round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
