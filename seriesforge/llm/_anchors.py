@@ -74,13 +74,13 @@ def runs(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, words: bool, k: int, m: int) -> tuple[DataFrame, DataFrame]:
     """(hits, classes): all runs whose anchor occurs twice or more; and for each class of equal runs (ah, rh) the number
-    of copies, the class's first run (doc_id, th, start, n), the number of classes with that anchor, and ``mixed``:
-    whether its windows may repeat elsewhere than in its copies."""
+    of copies, the class's first run (doc_id, th, start, n), the number of classes with that anchor and about how many
+    units they have together, and ``mixed``: whether its windows may repeat elsewhere than in its copies."""
     found = runs(docs, words, k, m)
     twice = staged(found.groupBy("ah").agg(F.sum(F.col("multi").cast("int") + 1).alias("c")).where("c > 1").select("ah"))
     hits = staged(found.join(twice, "ah"))
     equal = staged(hits.groupBy("ah", "rh").agg(F.count("*").alias("copies"), F.max("multi").alias("multi"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one")))
-    among = staged(equal.groupBy("ah").agg(F.count("*").alias("classes")))
+    among = staged(equal.groupBy("ah").agg(F.count("*").alias("classes"), F.sum(F.col("one.n") + k).alias("together")))
     return hits, staged(equal.join(among, "ah").withColumn("mixed", F.expr("classes > 1 OR multi")))
 
 

@@ -1,7 +1,7 @@
 """BPE encoding and decoding over a public vocabulary file.
 
 A text is cut at ASCII white space (the vocabulary's own rules drop white space and look at nothing beyond it), each
-chunk is normalised and split into words, and each word is encoded once per worker: its symbols form a doubly linked
+chunk that a worker has not met lately is normalised and split into words: a word's symbols form a doubly linked
 list, the merges that could be done wait in a priority queue by rank and place, and an entry is skipped when one of
 its symbols has changed meanwhile. Decoding concatenates the vocabulary's strings, with a space between, as the file
 names no decoder.
@@ -22,34 +22,67 @@ from pyspark.sql import DataFrame
 from seriesforge.llm._frames import arrow_map, documents
 
 #: Chunks kept per generation of a worker's cache, and the longest chunk kept.
-CACHE, CACHED_BYTES = 200_000, 64
+CACHE, CACHED_BYTES = 400_000, 64
 #: White space of Unicode (fixed values).
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-class Chunks(dict):
-    """Chunk (bytes) -> its encoding. Bounded: two generations, the older of which is dropped when the newer is full."""
+class Chunks:
+    """Chunk of a text (bytes without white space) -> its ids, kept per worker in two generations of ``most`` chunks.
+
+    The vocabularies this serves drop white space, lower case, and have no rule that looks beyond white space. So a
+    text's ids are those of its chunks; A-Z are lowered first, unless a special token might be spelt or an accent follow
+    (lower letters and accents compose more often); and a word of letters is kept apart from the full stops and commas
+    after it."""
+
+    def __init__(self, most: int = CACHE):
+        self.now: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.most = most
+
+    def encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The little-endian unsigned 32-bit ids of each chunk."""
+        raise NotImplementedError
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as bytes of little-endian unsigned 32-bit numbers."""
+        chunks = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        now, old = self.now, self.old
+        missing = [c for c in set().union(*chunks) if c not in now]
+        joined = {}
+        for c in missing:
+            word = c.rstrip(b".,")
+            if word != c and word.decode("utf-8", "replace").isalpha():
+                joined[c] = word, c[len(word):]
+        new = []
+        for c in {x for c in missing for x in joined.get(c, (c,))}:
+            if c in old:
+                now[c] = old[c]
+            elif c not in now:
+                new.append(c)
+        now.update(self.encode_new(new))
+        now.update((c, now[x] + now[y]) for c, (x, y) in joined.items())
+        out = [b"".join(map(now.__getitem__, c)) for c in chunks]
+        for c in {*missing, *new}:
+            if len(c) > CACHED_BYTES:
+                now.pop(c, None)
+        if len(now) >= self.most:
+            self.old, self.now = now, {}
+        return out
 
-    def __init__(self, encode, most: int = CACHE):
-        super().__init__()
-        self.encode, self.most, self.old = encode, most, {}
 
-    def __missing__(self, chunk: bytes):
-        found = self.old.get(chunk)
-        if found is None:
-            found = self.encode(chunk)
-        if len(chunk) <= CACHED_BYTES:
-            self[chunk] = found
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-        return found
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the rest for the characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Bpe:
+class Bpe(Chunks):
     """Vocabulary, merges and rules of a tokenizer file of the word-end kind."""
 
     def __init__(self, path: str):
+        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -65,14 +98,9 @@ class Bpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", _WHITE))
         self.white = regex.compile(f"[{_WHITE}]+")
-        # byte-level alphabet: printable bytes stand for themselves, the rest for 256, 257, ...
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        rest = [b for b in range(256) if b not in set(plain)]
-        letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        letters = byte_letters()
         self.symbol = [vocab[letters[b]] for b in range(256)]
         self.last = [vocab[letters[b] + self.end] for b in range(256)]
-        self.known = Chunks(self._merge)
-        self.chunks = Chunks(self._chunk)
 
     def _merge(self, word: bytes) -> list[int]:
         ids = [self.symbol[b] for b in word]
@@ -103,22 +131,18 @@ class Bpe:
     def _piece(self, text: str) -> list[int]:
         text = self.white.sub(" ", unicodedata.normalize("NFC", text))
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # a sigma's lower case is the same everywhere
-        out: list[int] = []
-        for w in self.words.findall(text):
-            out += self.known[w.encode()]
-        return out
+        return [i for w in self.words.findall(text) for i in self._merge(w.encode())]
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        text, ids = chunk.decode("utf-8", "replace"), []
+    def _chunk(self, chunk: bytes) -> list[int]:
+        if chunk.isalpha() and chunk.islower():
+            return self._merge(chunk)  # ASCII letters: one word, normal as it is
+        text = chunk.decode("utf-8", "replace")
         if "<|" not in text:
-            ids = self._piece(text)
-        else:
-            for part in self.specials.split(text):
-                ids += [self.added[part]] if part in self.added else self._piece(part)
-        return np.array(ids, "<i4").tobytes()
+            return self._piece(text)
+        return [i for part in self.specials.split(text) for i in ([self.added[part]] if part in self.added else self._piece(part))]
 
-    def encode(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.split())), "<i4")
+    def encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        return {c: np.array(self._chunk(c), "<u4").tobytes() for c in chunks}
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
@@ -130,9 +154,9 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _ids_array(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
+def _ids_array(parts: list[bytes]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -140,7 +164,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     rows and null doc_ids stay. ``path`` is the vocabulary file, the same on all machines."""
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         own = bpe(path)
-        return pa.record_batch([b.column(0), _ids_array([own.encode(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()])], names=["doc_id", "ids"])
+        return pa.record_batch([b.column(0), _ids_array(own.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]))], names=["doc_id", "ids"])
     return arrow_map(documents(docs), batch, "doc_id long, ids array<int>")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.llm._frames import arrow_map, documents, staged
-from seriesforge.llm.bpe import CACHED_BYTES, CACHE
+from seriesforge.llm.bpe import Chunks, byte_letters
 
 CAPACITY, END = 4096, 1
 #: Open bins of a task, and pieces of a task.
@@ -30,35 +30,36 @@ OPEN, SHARE = 512, 200_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Library:
-    """The tokenizers library behind a bounded cache of chunks: the vocabulary drops white space and no rule looks
-    beyond it, so a text's ids are those of its chunks."""
+class Library(Chunks):
+    """The tokenizers library behind a bounded cache of chunks."""
 
-    def __init__(self, path: str, most: int = CACHE):
+    def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.now: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.most = most
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [t.split() for t in texts]
-        known = {c: self.now.get(c) or self.old.get(c) for c in set().union(*chunks)}
-        new = [c for c, ids in known.items() if ids is None]
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            done = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, done))
-        for c, ids in known.items():
-            if len(c) <= CACHED_BYTES:
-                self.now[c] = ids
-        if len(self.now) >= self.most:
-            self.old, self.now = dict(list(self.now.items())[-self.most:]), {}
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+
+        self.letters = byte_letters()
+
+    def encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """A chunk of letters only is one word for the library's model; the others go through its whole pipeline."""
+        out, rest = {}, []
+        words, normal = self.tokenizer.model.tokenize, self.tokenizer.normalizer.normalize_str
+        for c in chunks:
+            if c.isalpha() and c.islower():  # ASCII
+                word = c.decode()
+            else:
+                text = c.decode("utf-8", "replace")
+                if not (text.isalpha() and (text := normal(text)).isalpha()):
+                    rest.append(c)
+                    continue
+                word = text.encode().decode("latin-1").translate(self.letters)
+            out[c] = np.array([t.id for t in words(word)], "<u4").tobytes()
+        done = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)
+        out.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(rest, done))
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seriesforge.llm import bpe
 from seriesforge.llm._frames import prepare, read
 from seriesforge.llm.packing import best_fit_packing
+from seriesforge.llm.pii import KINDS, pii_spans
 from seriesforge.llm.quality import quality_rules
 from seriesforge.llm.simhash import simhash_components
 from seriesforge.llm.substring import substring_dedup
@@ -82,3 +83,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as segmented archives and read back."""
     return archive_round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data: those of the patterns, and those a skip-chain field adds."""
+    out = pii_spans(read(spark, sf_dir, "documents"))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda x: x["base"])
+    return out.select(
+        "doc_id", *(F.size(F.expr(f"filter(spans, x -> x.base AND x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(F.encode(written(base), "UTF-8"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

@@ -3,7 +3,7 @@
 Edges are the windows of ``k`` words, nodes the sequences of k-1 words between them. Edges that occur once are left out
 before they become rows (see _anchors). What stays are paths of edges: a run that has copies as a whole, counted by a
 digest of its words read at its source coordinates; and, where runs with one anchor differ, the single edges that they
-share, found by hash within the anchor's group and verified by their words. (An anchor with very many classes doesn't
+share, found by hash within the anchor's group and verified by their words. (An anchor with too many words of classes doesn't
 make one group: its edges are counted by digest in partial aggregates, and found again by a join.) Repeated paths then
 compact: where exactly one path ends in a node and exactly one begins there, both are one longer path. Most such joints
 lie side by side in the text that a path was first seen in, and one window over each text's own paths closes them;
@@ -28,8 +28,8 @@ from seriesforge.llm._graph import connected_components
 WINDOW = 35
 #: Words of the grams that anchor windows.
 GRAM = 12
-#: Classes of one anchor whose edges are compared together; an anchor with more is counted by digests.
-TOGETHER = 64
+#: Words of an anchor's runs that are compared together; an anchor with more is counted by digests.
+TOGETHER = 1 << 19
 #: Bytes of runs compared at once in a task.
 CHUNK = 1 << 20
 PATH = ["d1", "d2"]
@@ -138,7 +138,7 @@ def _compacted(paths: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = GRAM, together: int = TOGETHER, chunk: int = CHUNK) -> DataFrame:
     """keyed documents -> (doc_id, th, path, start, n): every occurrence, in words, of a repeated path of n windows."""
     hits, classes = A.repeated_runs(docs, True, k, m)
-    known = classes.select("ah", "rh", "one", "mixed", (F.col("copies") == 1).alias("lone"), (F.col("classes") > together).alias("crowded"))
+    known = classes.select("ah", "rh", "one", "mixed", (F.col("copies") == 1).alias("lone"), (F.col("together") > together).alias("crowded"))
     first = F.struct("doc_id", "th", "start", "n") == F.col("one")
     marked = hits.join(known, ["ah", "rh"]).withColumn("expand", F.col("mixed") & F.coalesce(first, F.lit(False)))
     fields = ["start", "n", "ah", "expand", "lone", "crowded"]

@@ -8,7 +8,7 @@ of a suffix is its neighbour if the two agree for k bytes: then the longest prev
 the neighbour before is an earlier match; the next smaller position can't add one, as a smaller position that agrees
 stands before. A suffix with an earlier match is a later copy; one that a later copy points to is an earlier one.
 
-An anchor with very many classes (a passage with as many variants) doesn't make one group: its strings are counted by
+An anchor with too many bytes of classes (a passage with very many variants) doesn't make one group: its strings are counted by
 their hash and digest in partial aggregates instead, and found again by a join, which is exact too.
 """
 
@@ -27,8 +27,8 @@ from seriesforge.llm._frames import arrow_map, staged
 LENGTH = 200
 #: Bytes of the grams that anchor strings.
 GRAM = 48
-#: Classes of one anchor that are sorted together; an anchor with more is counted by digests.
-TOGETHER = 64
+#: Bytes of an anchor's runs that are sorted together; an anchor with more is counted by digests.
+TOGETHER = 1 << 22
 #: Bytes of runs sorted at once in a task.
 CHUNK = 1 << 20
 
@@ -116,7 +116,7 @@ def repeated_spans(docs: DataFrame, k: int = LENGTH, m: int = GRAM, together: in
     copies = hits.join(classes.where("copies > 1").select("ah", "rh", "one"), ["ah", "rh"]).select(
         "doc_id", "th", "start", "n", (place > F.struct("one.doc_id", "one.th", "one.start")).alias("later"))
     fields = ["start", "n", "ah", "lone", "crowded"]
-    firsts = classes.where("mixed").select("ah", "one.*", (F.col("copies") == 1).alias("lone"), (F.col("classes") > together).alias("crowded"))
+    firsts = classes.where("mixed").select("ah", "one.*", (F.col("copies") == 1).alias("lone"), (F.col("together") > together).alias("crowded"))
     texts = A.with_texts(docs, A.by_text(firsts, *fields)).select("doc_id", "th", "text", *fields)
     strings = staged(arrow_map(texts, _strings(k), "ah long, doc_id long, th long, start int, bytes binary, lone boolean, crowded boolean"))
     found = strings.where("NOT crowded").repartition("ah").sortWithinPartitions("ah", "doc_id", "th", "start").mapInArrow(
