@@ -52,7 +52,7 @@ class Chunks:
         joined = {}
         for c in missing:
             word = c.rstrip(b".,")
-            if word != c and word.decode("utf-8", "replace").isalpha():
+            if word != c and word.decode("utf-8", "replace").lower().isalpha():
                 joined[c] = word, c[len(word):]
         new = []
         for c in {x for c in missing for x in joined.get(c, (c,))}:
