@@ -16,6 +16,7 @@ from seriesforge.llm.quality import quality_rules
 from seriesforge.llm.simhash import simhash_components
 from seriesforge.llm.substring import substring_dedup
 from seriesforge.llm.suffix import suffix_dedup
+from seriesforge.llm.toxicity import toxicity
 from seriesforge.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", *(F.size(F.expr(f"filter(spans, x -> x.base AND x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(F.encode(written(base), "UTF-8"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of texts restored by a noisy channel; labels of held-out documents are never read."""
+    out = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score", "predicted")
