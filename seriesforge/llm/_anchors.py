@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.llm import _text as T
-from seriesforge.llm._frames import arrow_map, staged
+from seriesforge.llm._frames import arrow_map, kept_aside, staged
 
 RUN = "ah long, rh long, doc_id long, th long, start int, n int, multi boolean"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, th, text: the text's hash tells rows that share a doc_id apart; equal rows get equal results."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("th"), docs["text"].cast("string").alias("text"))
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, th, text, and the columns of ``keep``: the text's hash tells rows that share a doc_id apart; equal rows
+    get equal results."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("th"), docs["text"].cast("string").alias("text"), *kept_aside(docs, keep))
 
 
 def units_of(raw: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:

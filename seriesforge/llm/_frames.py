@@ -74,9 +74,20 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, as long and string: extra columns, whatever their names, don't reach an operator."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+def documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text, as long and string, and the columns of ``keep``: other columns, whatever their names, don't reach
+    an operator."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *kept_aside(docs, keep))
+
+
+def kept_aside(docs: DataFrame, keep: tuple[str, ...]) -> list:
+    """The columns of ``keep`` under names of their own, so that none clashes on the way."""
+    return [docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)]
+
+
+def ddl(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    """The columns of ``keep`` as the end of a schema."""
+    return "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -27,7 +27,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """links: two columns of one orderable type, undirected, repeats and loops allowed. Returns (node, root) for every
-    node with a link to another; root is the least node of its component."""
+    node with a link that isn't itself a root; a root is the least node of its component."""
     a, b = links.columns
     now = staged(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     while True:

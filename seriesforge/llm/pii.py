@@ -3,9 +3,10 @@
 Nodes are the tokens of a text that hold a digit or an at sign. Their labels are the four kinds and "other". A node's
 potential comes from its shape, a chain edge joins neighbouring tokens, and skip edges join distant tokens that are
 equal (or whose digits differ in one place): they share potentials, and sum-product message passing over the loopy
-graph makes the labels of a text agree. All potentials are fitted on counts of the pattern matches over the whole
-corpus; shapes are hashed into a fixed number of buckets, so the model's size is fixed too. Tokens that patterns cover
-are clamped to their kind; tokens that a pattern caught and its check refused have a shape of their own. Other tokens
+graph makes the labels of a text agree. Potentials of shapes and chain edges are fitted on counts of the pattern matches
+over the whole corpus (a token that no pattern covers but that is like a covered one counts for nothing there: whether
+it is data too is the question); skip edges favour equal labels by a fixed strength. Shapes are hashed into a fixed
+number of buckets, so the model's size is fixed too. Tokens that patterns cover are clamped to their kind; tokens that a pattern caught and its check refused have a shape of their own. Other tokens
 whose belief in a kind is high enough are added; pattern spans always stay.
 """
 
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm._frames import arrow_map, documents
+from seriesforge.llm._frames import arrow_map, ddl, documents
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
-#: Buckets of hashed shapes; smoothing of counts; rounds of messages; belief needed; most tokens of one added span.
-BUCKETS, SMOOTH, ROUNDS, BELIEF = 1 << 14, 0.5, 12, 0.9
+#: Buckets of hashed shapes; smoothing of counts; log strength of skip edges; rounds of messages; belief needed.
+BUCKETS, SMOOTH, SKIP, ROUNDS, BELIEF = 1 << 14, 0.5, 3.0, 12, 0.9
 LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -169,35 +170,40 @@ def _graph(texts: list[str | None]) -> tuple[Graph, list]:
 
 
 def _counts(b: pa.RecordBatch) -> pa.RecordBatch | None:
-    """What a batch adds to the counts: shapes by label, and label pairs of chain and skip edges."""
+    """What a batch adds to the counts: shapes by label, and label pairs of chain edges."""
     graph, _ = _graph(b.column(1).to_pylist())
     label = np.array(graph.label, np.int64)
     if not len(label):
         return None
     wide = OTHER + 1
-    keys = [np.array(graph.bucket) * wide + label]
-    for n, edges in enumerate((graph.chain, graph.skip)):
-        if edges:
-            e = np.array(edges)
-            keys.append(BUCKETS * wide + n * wide * wide + label[e[:, 0]] * wide + label[e[:, 1]])
+    sure = np.ones(len(label), bool)
+    if graph.skip:
+        e = np.array(graph.skip)
+        for a, z in ((e[:, 0], e[:, 1]), (e[:, 1], e[:, 0])):
+            sure[a[(label[a] == OTHER) & (label[z] != OTHER)]] = False
+    keys = [(np.array(graph.bucket) * wide + label)[sure]]
+    if graph.chain:
+        e = np.array(graph.chain)
+        e = e[sure[e].all(1)]
+        keys.append(BUCKETS * wide + label[e[:, 0]] * wide + label[e[:, 1]])
     key, n = np.unique(np.concatenate(keys), return_counts=True)
     return pa.record_batch([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Log potentials of shapes, chain and skip edges, from counts over all texts: at most BUCKETS x 5 + 50 numbers."""
+    """Log potentials of shapes, and of chain and skip edges, from counts over all texts: at most BUCKETS x 5 + 25 rows."""
     wide = OTHER + 1
-    counts = np.zeros(BUCKETS * wide + 2 * wide * wide)
+    counts = np.zeros(BUCKETS * wide + wide * wide)
     for row in arrow_map(documents(docs), _counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
         counts[row["key"]] = row["n"]
-    node, edges = counts[:BUCKETS * wide].reshape(BUCKETS, wide), counts[BUCKETS * wide:].reshape(2, wide, wide)
+    node, edges = counts[:BUCKETS * wide].reshape(BUCKETS, wide), counts[BUCKETS * wide:].reshape(wide, wide)
     prior = node.sum(0) + SMOOTH
     node = np.log(node + SMOOTH * prior / prior.sum()) - np.log(node.sum(1, keepdims=True) + SMOOTH)
-    pair = edges + edges.transpose(0, 2, 1) + SMOOTH  # both ways
-    total = pair.sum((1, 2), keepdims=True)
-    own = pair.sum(2, keepdims=True) / total
+    pair = edges + edges.T + SMOOTH  # both ways
+    share = pair / pair.sum()
+    own = np.log(share.sum(1))
     # how much likelier a pair of labels is than by chance
-    return {"node": node, "edge": np.log(pair / total) - np.log(own) - np.log(own.transpose(0, 2, 1))}
+    return {"node": node, "edge": np.stack([np.log(share) - own[:, None] - own[None, :], SKIP * np.eye(wide)])}
 
 
 def beliefs(node: np.ndarray, edges: np.ndarray, kind: np.ndarray, potential: np.ndarray, clamped: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -248,34 +254,53 @@ def added_spans(graph: Graph, texts: list[str | None], model: dict[str, np.ndarr
     return [[x for x in spans if sum(c.isdigit() for c in texts[n][x[1]:x[2]]) >= 4 or "@" in texts[n][x[1]:x[2]]] for n, spans in enumerate(out)]
 
 
-def pii_spans(docs: DataFrame, belief: float = BELIEF) -> DataFrame:
-    """doc_id, text and spans (array of kind, start, end, base; code points, end exclusive; by kind as listed, then
-    start) for every row of ``docs``. ``base``: found by a pattern; the others are the field's.
+def redacted(text: str | None, spans: list[dict]) -> str | None:
+    """``text`` with each span replaced by its kind's name in angle brackets; of spans that overlap, one stands for all."""
+    if not text or not spans:
+        return text
+    out, last = [], 0
+    for s in sorted(spans, key=lambda x: (x["start"], -x["end"])):
+        if s["start"] >= last:
+            out += [text[last:s["start"]], f"<{s['kind']}>"]
+        last = max(last, s["end"])
+    return "".join(out) + text[last:]
 
-    Null and empty texts have no spans. Repeated rows and null doc_ids stay and get equal spans. An empty table gives no
-    rows.
-    """
+
+def _found(docs: DataFrame, belief: float):
+    """texts -> the spans of each, as dicts."""
     model = fit(docs)
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = b.column(1).to_pylist()
+    def run(texts: list[str | None]) -> list[list[dict]]:
         graph, bases = _graph(texts)
         rows = []
         for base, more in zip(bases, added_spans(graph, texts, model, belief)):
             all_ = sorted([(k, s, e, True) for k, s, e in base] + [(k, s, e, False) for k, s, e in more])
             rows.append([{"kind": KINDS[k], "start": s, "end": e, "base": own} for k, s, e, own in all_])
+        return rows
+    return run
+
+
+def pii_spans(docs: DataFrame, belief: float = BELIEF) -> DataFrame:
+    """doc_id and spans (array of kind, start, end, base; code points, end exclusive; by kind as listed, then start) for
+    every row of ``docs``. ``base``: found by a pattern; the others are the field's.
+
+    Null and empty texts have no spans. Repeated rows and null doc_ids stay and get equal spans. An empty table gives no
+    rows.
+    """
+    found = _found(docs, belief)
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-        return pa.record_batch([b.column(0), b.column(1), pa.array(rows, kind)], names=["doc_id", "text", "spans"])
-    return arrow_map(documents(docs), batch, "doc_id long, text string, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
+        return pa.record_batch([b.column(0), pa.array(found(b.column(1).to_pylist()), kind)], names=["doc_id", "spans"])
+    return arrow_map(documents(docs), batch, "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
 
 
-def redacted(text: str | None, spans: list[dict]) -> str | None:
-    """``text`` with each span replaced by its kind's name in angle brackets; of spans that overlap, one stands for all."""
-    if not text or not spans:
-        return text
-    out, last = [], 0
-    for s in sorted(spans, key=lambda x: (x["start"], -x["end"])):
-        if s["start"] >= last:
-            out += [text[last:s["start"]], f"<{s['kind']}>"]
-        last = max(last, s["end"])
-    return "".join(out) + text[last:]
+def redact(docs: DataFrame, keep: tuple[str, ...] = (), belief: float = BELIEF) -> DataFrame:
+    """doc_id, text without personal data, and the columns of ``keep``. Null texts stay null."""
+    found = _found(docs, belief)
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(1).to_pylist()
+        clean = [redacted(t, s) for t, s in zip(texts, found(texts))]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string()), *b.columns[2:]], names=["doc_id", "text", *keep])
+    return arrow_map(documents(docs, keep), batch, "doc_id long, text string" + ddl(docs, keep))

@@ -17,6 +17,7 @@ from seriesforge.llm.simhash import simhash_components
 from seriesforge.llm.substring import substring_dedup
 from seriesforge.llm.suffix import suffix_dedup
 from seriesforge.llm.toxicity import toxicity
+from seriesforge.llm.vectors import similar_vectors
 from seriesforge.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +42,7 @@ def query(key: str, sql: str | None = None):
 @query("op1_simhash")
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles, groups at 2 differing bits or fewer."""
-    return simhash_components(read(spark, sf_dir, "documents"))
+    return simhash_components(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 @query("op3_substring")
@@ -104,3 +105,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of texts restored by a noisy channel; labels of held-out documents are never read."""
     out = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op7_vectors")
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors whose cosine is 0.95 or more."""
+    return similar_vectors(read(spark, sf_dir, "embeddings"))

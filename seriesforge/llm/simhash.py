@@ -91,11 +91,12 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray, words: int = 3) -> np.nda
 
 
 def simhash(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of every whole text, as a signed long."""
+    """(doc_id, th, fp): the hash of every whole text, which tells rows that share a doc_id apart, and its 64-bit SimHash,
+    as signed longs."""
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = T.texts_of(b.column(1))
-        return pa.record_batch([b.column(0), pa.array(fingerprints(raw, offsets, words).view(np.int64))], names=["doc_id", "fp"])
-    return arrow_map(documents(docs), batch, "doc_id long, fp long")
+        return pa.record_batch([b.column(0), b.column(2), pa.array(fingerprints(raw, offsets, words).view(np.int64))], names=["doc_id", "th", "fp"])
+    return arrow_map(documents(docs).withColumn("th", F.xxhash64("text")), batch, "doc_id long, th long, fp long")
 
 
 def _segments(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +143,7 @@ def links_within_2(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, crowded: int = CROWDED) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of
-    at most ``max_bits``, 2 here, differing bits).
+    at most ``max_bits``, 2 here, differing bits), th (its text's hash) and component (its component's least fingerprint).
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows stay; a null doc_id stays and is
     nobody's component_id unless its component has no other. Equal fingerprints are one node, so copies cost no pairs.
@@ -155,5 +156,16 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, crowd
     nodes = connected_components(links_within_2(fps.select("fp"), crowded)).withColumnsRenamed({"node": "fp"})
     rooted = fps.join(nodes, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    classes = staged(rooted.join(first, "root").select("fp", "component_id"))
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = staged(rooted.join(first, "root").select("fp", "component_id", F.col("root").alias("component")))
+    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "th", "component")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document of each component: that with the smallest doc_id (a null one
+    only if there is no other), once if it is repeated."""
+    marked = simhash_components(docs, words, max_bits)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one")
+    first = staged(marked.groupBy("component").agg(one).select(F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th")))
+    known = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("th"))
+    kept = known.join(first, known["doc_id"].eqNullSafe(first["_doc"]) & (known["th"] == first["_th"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "th"]).select("row.*")

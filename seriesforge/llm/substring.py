@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from seriesforge.llm import _anchors as A
 from seriesforge.llm import _text as T
-from seriesforge.llm._frames import arrow_map, staged
+from seriesforge.llm._frames import arrow_map, ddl, staged
 from seriesforge.llm._graph import connected_components
 
 WINDOW = 35
@@ -158,25 +158,24 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = GRAM, together: in
     return paths.drop("head", "tail").join(staged(_compacted(distinct)), PATH).select("doc_id", "th", "path", "start", "n")
 
 
-def substring_dedup(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFrame:
-    """doc_id, th, text, kept, n_words, n_removed for every row of ``docs``: ``kept`` is the text without the words that
-    a repeated window of ``k`` words covers, joined by single spaces.
+def substring_dedup(docs: DataFrame, k: int = WINDOW, m: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept, n_words, n_removed and the columns of ``keep`` for every row of ``docs``: ``kept`` is the text without
+    the words that a repeated window of ``k`` words covers, joined by single spaces.
 
     Null text: no words, kept is empty. Texts of fewer than ``k`` words lose nothing. Repeated rows are copies of each
     other and lose all their windows; a window may also repeat inside one text, overlaps included. Null doc_ids stay.
+    An empty table gives no rows.
     """
     if not 1 <= m <= k or k < 2:
         raise ValueError("1 <= m <= k and k >= 2 are needed")
-    known = A.keyed(docs)
-    spans = A.by_text(repeated_spans(known, k, m).select("doc_id", "th", "start", "n").distinct(), "start", "n")
+    spans = A.by_text(repeated_spans(A.keyed(docs), k, m).select("doc_id", "th", "start", "n").distinct(), "start", "n")
     none = F.array().cast("array<int>")
-    joined = A.with_texts(known, spans, "left").select("doc_id", "th", "text", F.coalesce("start", none).alias("start"), F.coalesce("n", none).alias("n"))
+    joined = A.with_texts(A.keyed(docs, keep), spans, "left").select("doc_id", "text", F.coalesce("start", none).alias("start"), F.coalesce("n", none).alias("n"), *(f"_keep{i}" for i in range(len(keep))))
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = b.column("text").cast(pa.binary()).to_pylist()
-        at, start, length = b.column("start").offsets.to_numpy(), A.flat(b, "start").astype(np.int64), A.flat(b, "n").astype(np.int64)
+        at, start, length = b.column(2).offsets.to_numpy(), b.column(2).flatten().to_numpy().astype(np.int64), b.column(3).flatten().to_numpy().astype(np.int64)
         kept, total, gone = [], [], []
-        for i, text in enumerate(texts):
+        for i, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
             words = (text or b"").split()
             s, e = A.merged(start[at[i]:at[i + 1]], start[at[i]:at[i + 1]] + length[at[i]:at[i + 1]] + k - 1)
             left, last = [], 0
@@ -187,5 +186,5 @@ def substring_dedup(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFram
             kept.append(b" ".join(left))
             total.append(len(words))
             gone.append(len(words) - len(left))
-        return pa.record_batch([b.column("doc_id"), b.column("th"), b.column("text"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "th", "text", "kept", "n_words", "n_removed"])
-    return arrow_map(joined, batch, "doc_id long, th long, text string, kept string, n_words long, n_removed long")
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), *b.columns[4:]], names=["doc_id", "kept", "n_words", "n_removed", *keep])
+    return arrow_map(joined, batch, "doc_id long, kept string, n_words long, n_removed long" + ddl(docs, keep))

@@ -128,7 +128,7 @@ def repeated_spans(docs: DataFrame, k: int = LENGTH, m: int = GRAM, together: in
 
 
 def suffix_dedup(docs: DataFrame, k: int = LENGTH, m: int = GRAM, together: int = TOGETHER, chunk: int = CHUNK, keep_first: bool = False) -> DataFrame:
-    """doc_id, th, text, kept (binary), n_bytes, n_removed, spans (array of start and end) for every row of ``docs``.
+    """doc_id, kept (binary), n_bytes, n_removed, spans (array of start and end) for every row of ``docs``.
 
     A byte goes if a string of ``k`` bytes that covers it starts anywhere else too, in the UTF-8 bytes of any text.
     Null text: empty. Shorter texts lose nothing. Repeated rows are copies of each other. Null doc_ids stay.
@@ -161,5 +161,5 @@ def suffix_dedup(docs: DataFrame, k: int = LENGTH, m: int = GRAM, together: int
             gone.append(int((e - s).sum()))
             spans.append(cuts)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.record_batch([b.column("doc_id"), b.column("th"), b.column("text"), pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind)], names=["doc_id", "th", "text", "kept", "n_bytes", "n_removed", "spans"])
-    return arrow_map(joined, batch, "doc_id long, th long, text string, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>")
+        return pa.record_batch([b.column("doc_id"), pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind)], names=["doc_id", "kept", "n_bytes", "n_removed", "spans"])
+    return arrow_map(joined, batch, "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>")

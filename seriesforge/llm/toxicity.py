@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.llm import _text as T
-from seriesforge.llm._frames import arrow_map, documents, staged
+from seriesforge.llm._frames import arrow_map, ddl, documents, staged
 
 #: Letters of the language model (0: anything else, as the end of a word), and its order.
 LETTERS, ORDER = 27, 4
@@ -239,9 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int = FIT_R
     return dict(zip(top, zip(w[:len(top)], w[len(top):]))), bias
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, text, restored (a map from disguised tokens to their readings that are units of the regression), score,
-    predicted for every row of ``docs``.
+def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, restored (a map from disguised tokens to their readings that are units of the regression), score,
+    predicted, and the columns of ``keep`` for every row of ``docs``.
 
     Null and empty texts have the score of texts without any unit. Without labels of both kinds, all texts have the
     labels' smoothed rate. Repeated rows and null doc_ids stay. An empty table gives no rows.
@@ -261,6 +261,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
             z = bias + sum(weights[u][0] + weights[u][1] * density(c, len(words)) for u, c in units_of(words, only).items())
             scores.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
             found.append([(token, w) for token, w in readings.items() if w in weights])
-        return pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.map_(pa.string(), pa.string())), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
-                               names=["doc_id", "text", "restored", "score", "predicted"])
-    return arrow_map(documents(docs), batch, "doc_id long, text string, restored map<string,string>, score double, predicted int")
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.map_(pa.string(), pa.string())), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *b.columns[2:]],
+                                          names=["doc_id", "restored", "score", "predicted", *keep])
+    return arrow_map(documents(docs, keep), batch, "doc_id long, restored map<string,string>, score double, predicted int" + ddl(docs, keep))
