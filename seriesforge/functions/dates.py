@@ -33,9 +33,37 @@ def in_text_range(date_col: Column, start: Column, end: Column) -> Column:
     return lo & hi
 
 
-_FULL = re.compile(r"^\d{4}-\d{2}-\d{2}$")
-_YEAR = re.compile(r"^\d{4}$")
-_MONTH = re.compile(r"^\d{4}-\d{2}$")
+def with_bounds(requests):
+    """Add ``_lo`` and ``_hi`` (first day in, first day out) for bounds that are a day, a month or a year: the date
+    comparison equals that of ISO text then, and is done once a request instead of once a row. Other texts give null."""
+    def day(c: str, after: int) -> Column:
+        col = F.col(c)
+        whole = F.date_add(F.expr(f"try_cast({c} AS date)"), after)
+        return (F.when(col.rlike(r"^\d{4}-\d{2}-\d{2}$"), whole)
+                .when(col.rlike(r"^\d{4}-\d{2}$"), F.expr(f"try_cast(concat({c}, '-01') AS date)"))
+                .when(col.rlike(r"^\d{4}$"), F.expr(f"try_cast(concat({c}, '-01-01') AS date)")))
+    return requests.withColumn("_lo", day("start_date", 0)).withColumn("_hi", day("end_date", 1))
+
+
+def in_bounds(date_col: Column) -> Column:
+    """The rule of ``in_text_range`` on the columns of ``with_bounds``."""
+    start, end = F.col("start_date"), F.col("end_date")
+    lo = F.when(F.coalesce(start, F.lit("")) == "", F.lit(True)).when(F.col("_lo").isNotNull(), date_col >= F.col("_lo")).otherwise(iso_text(date_col) >= start)
+    hi = F.when(F.coalesce(end, F.lit("")) == "", F.lit(True)).when(F.col("_hi").isNotNull(), date_col < F.col("_hi")).otherwise(iso_text(date_col) <= end)
+    return lo & hi
+
+
+_DAY = re.compile(r"^\d{4}(-\d{2}(-\d{2})?)?$")
+
+
+def _first_day(text: str) -> date | None:
+    """First day of a bound that is a day, a month or a year; None for other texts and days that don't exist."""
+    if not _DAY.match(text):
+        return None
+    try:
+        return date.fromisoformat((text + "-01-01")[:10])
+    except ValueError:
+        return None
 
 
 def literal_range(date_col: Column, start: str | None, end: str | None) -> Column:
@@ -43,21 +71,12 @@ def literal_range(date_col: Column, start: str | None, end: str | None) -> Colum
     predicate reaches the parquet scan (PushedFilters / row-group skipping)."""
     cond = F.lit(True)
     if start:
-        if _FULL.match(start):
-            cond = cond & (date_col >= F.lit(date.fromisoformat(start)))
-        elif _YEAR.match(start):
-            cond = cond & (date_col >= F.lit(date(int(start), 1, 1)))
-        elif _MONTH.match(start):
-            cond = cond & (date_col >= F.lit(date(int(start[:4]), int(start[5:]), 1)))
-        else:
-            cond = cond & (iso_text(date_col) >= F.lit(start))
+        day = _first_day(start)
+        cond = cond & (iso_text(date_col) >= F.lit(start) if day is None else date_col >= F.lit(day))
     if end:
-        if _FULL.match(end):
-            cond = cond & (date_col <= F.lit(date.fromisoformat(end)))
-        elif _YEAR.match(end):
-            cond = cond & (date_col < F.lit(date(int(end), 1, 1)))
-        elif _MONTH.match(end):
-            cond = cond & (date_col < F.lit(date(int(end[:4]), int(end[5:]), 1)))
-        else:
+        day = _first_day(end)
+        if day is None:
             cond = cond & (iso_text(date_col) <= F.lit(end))
+        else:
+            cond = cond & (date_col <= F.lit(day) if len(end) == 10 else date_col < F.lit(day))
     return cond

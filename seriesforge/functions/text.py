@@ -85,6 +85,16 @@ def ngrams(col: Column, n: int) -> Column:
                               lambda i: F.substring(col, i, n))).otherwise(F.array())
 
 
+def grams_up_to(col: Column, n: int) -> Column:
+    """All distinct substrings of 1 to n characters, and the empty one, which every text holds."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[ngrams(col, k) for k in range(1, n + 1)]))
+
+
+def widest_grams(col: Column, n: int) -> Column:
+    """The distinct n-grams of a text; of a shorter text, the whole text."""
+    return F.when(F.length(col) >= n, F.array_distinct(ngrams(col, n))).otherwise(F.array(col))
+
+
 def sql_accent_literals() -> tuple[str, str]:
     """Accent table as SQL string literals (for the DuckDB twin queries)."""
     src, dst = accent_table()

@@ -37,14 +37,18 @@ def catalog_from_meta(meta: DataFrame) -> DataFrame:
 
 
 def owned_observations(obs: DataFrame, cat: DataFrame) -> DataFrame:
-    """Observations visible through their owner file (net effect of C1+C2).
+    """Observations visible through their owner (net effect of C1+C2).
 
-    A left-semi join on (name, frequency, source_file); the catalog side is
-    projected to the three key columns. AQE turns it into a broadcast join
-    when the measured catalog is small and splits skewed keys otherwise.
+    The one rule of visibility: name, frequency and file are the owner's and,
+    where rows know the run that wrote them, so is the run. A left-semi join;
+    AQE turns it into a broadcast join when the measured catalog is small and
+    splits skewed keys otherwise.
     """
-    owner = cat.select(*KEY, "source_file")
-    return obs.join(owner, [*KEY, "source_file"], "left_semi")
+    keys = [*KEY, "source_file"]
+    if "load_run" in obs.columns and "load_seq" in cat.columns:
+        cat = cat.withColumn("load_run", F.col("load_seq.run"))
+        keys.append("load_run")
+    return obs.join(cat.select(*keys), keys, "left_semi")
 
 
 def replace_observations(obs: DataFrame, new_obs: DataFrame, owned_keys: DataFrame) -> DataFrame:

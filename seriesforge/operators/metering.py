@@ -4,7 +4,7 @@ request logs.
 Skew: one API key or member may send a third of all requests. No step puts
 one identity's whole log into one task:
 * running counts use a bucketed prefix count (local rank inside
-  (key, hour) + an offset from per-bucket counts, see ``running_count``);
+  (key, minute) + an offset from per-bucket counts, see ``running_count``);
 * the rolling one-day windows (M7) are found with a bucketed as-of lookup
   (``next_after``) and pointer doubling over request ids - each round an
   equi-join on a unique id - so the work is split by (identity, day).
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesforge.functions.dims import DAILY_WINDOW_LIMITS, KEY_PREFIX, MONTHLY_LIMITS
+from seriesforge.operators.visibility import with_hidden
 
 CHARGED_KINDS = ["series", "multi_series"]
 ADMIN_IDENTITY = "api_key_user"
@@ -91,9 +92,15 @@ def attribute_requests(log: DataFrame, keys: DataFrame, members: DataFrame, admi
             .drop("k_email", "k_tier", "m_tier"))
 
 
-def charged(attributed: DataFrame) -> DataFrame:
-    """Requests that pass authentication and are charged (S-14)."""
-    return attributed.where((F.col("status") == 200) & F.col("kind").isin(CHARGED_KINDS))
+def charged(attributed: DataFrame, hidden=None) -> DataFrame:
+    """Requests that pass authentication and are charged (S-14): a call for one
+    hidden series (column ``series``; ``hidden``: patterns, a list or a table) is
+    answered "not found" before it is charged, unless an admin key sends it."""
+    out = attributed.where((F.col("status") == 200) & F.col("kind").isin(CHARGED_KINDS))
+    if hidden is None or "series" not in attributed.columns:
+        return out
+    refused = (F.col("kind") == "series") & (F.col("auth_type") != "api_key") & F.col("_hidden")
+    return with_hidden(out, hidden, "series").where(~refused).drop("_hidden")
 
 
 # ---- distributed running count ---------------------------------------------------------
@@ -120,9 +127,9 @@ def month_key(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
-def monthly_usage(attributed: DataFrame) -> DataFrame:
+def monthly_usage(attributed: DataFrame, hidden=None) -> DataFrame:
     """M5: charged requests per key and UTC month (refused ones included)."""
-    c = charged(attributed).where(F.col("auth_type") == "user_api_key")
+    c = charged(attributed, hidden).where(F.col("auth_type") == "user_api_key")
     return c.groupBy("api_key", month_key(F.col("ts")).alias("month")).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -133,9 +140,9 @@ def monthly_limit(tier: Column) -> Column:
     return expr.otherwise(F.lit(None)).cast("int")  # unknown tier: unlimited here
 
 
-def monthly_admission(attributed: DataFrame, bucket: str = "hour") -> DataFrame:
+def monthly_admission(attributed: DataFrame, bucket: str = "minute", hidden=None) -> DataFrame:
     """M6: used = running number in (key, month); refused when used > limit."""
-    c = (charged(attributed).where(F.col("auth_type") == "user_api_key")
+    c = (charged(attributed, hidden).where(F.col("auth_type") == "user_api_key")
          .withColumn("month", month_key(F.col("ts"))))
     r = running_count(c, ["api_key", "month"], ["ts", "event_id"], F.date_trunc(bucket, "ts"), "used")
     lim = monthly_limit(F.col("tier"))
@@ -227,11 +234,11 @@ def window_anchors(req: DataFrame, window: str = "1 day") -> DataFrame:
     return out
 
 
-def anchored_admission(attributed: DataFrame, bucket: str = "hour") -> DataFrame:
+def anchored_admission(attributed: DataFrame, bucket: str = "minute", hidden=None) -> DataFrame:
     """M7: requests of member / admin identities under a rolling window that
     starts at the first request; admitted while fewer than ``limit`` were
     admitted in the window (refused requests are not counted)."""
-    c = charged(attributed).where(F.col("auth_type").isin("member", "api_key")) \
+    c = charged(attributed, hidden).where(F.col("auth_type").isin("member", "api_key")) \
         .withColumn("identity", F.col("email"))
     anchors = window_anchors(c, "1 day")
     # each request's window: the latest anchor <= request, found among anchors of its day and the day before

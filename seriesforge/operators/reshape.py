@@ -41,11 +41,18 @@ def repeated_dates(long: DataFrame) -> DataFrame:
 
 def pivot_wide(long: DataFrame, names: Sequence[str], check_repeats: bool = True) -> DataFrame:
     """One row per date (outer union of all dates), one column per
-    requested name that has data, in request order; sorted by Date."""
-    present = {r["name"] for r in long.select("name").distinct().where(F.col("name").isin(list(names))).collect()}
-    cols = [n for n in dict.fromkeys(names) if n in present]
-    if check_repeats and repeated_dates(long).take(1):
+    requested name that has data, in request order; sorted by Date. One pass
+    over the input (checkpointed) decides which names have data and whether a
+    date repeats."""
+    from seriesforge.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(long.sparkSession)
+    long = long.where(F.col("name").isin(list(names))).checkpoint(eager=True)
+    per_name = (long.groupBy("name", "date").agg(F.count(F.lit(1)).alias("n"))
+                .groupBy("name").agg(F.max("n").alias("n")).collect())  # a row for each requested name
+    if check_repeats and any(r["n"] > 1 for r in per_name):
         raise RepeatedDateError("a series repeats a date; the wide frame would be ambiguous")
+    present = {r["name"] for r in per_name}
+    cols = [n for n in dict.fromkeys(names) if n in present]
     if not cols:
         return long.sparkSession.createDataFrame([], "Date date")
     wide = long.groupBy(F.col("date").alias("Date")).pivot("name", cols).agg(F.first("value"))
@@ -65,11 +72,13 @@ def to_records(wide: DataFrame) -> DataFrame:
                        .alias("record"))
 
 
-def to_columns(long: DataFrame) -> DataFrame:
-    """Per series two parallel arrays (dates, values) in date order.
-    One row per series: use for bounded series, as the API answer does."""
-    s = long.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("date", "value"))).alias("_p"))
-    return s.select(F.col("name").alias("series_name"), F.transform("_p", lambda p: p["date"]).alias("dates"),
+def to_columns(long: DataFrame, keys: Sequence[str] = ("name", "frequency")) -> DataFrame:
+    """Per series (``keys``: request, name, frequency as the caller has
+    them) two parallel arrays (dates, values) in date order. One row per
+    series: use for bounded series, as the API answer does."""
+    s = long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "value"))).alias("_p"))
+    return s.select(*[F.col(k).alias("series_name" if k == "name" else k) for k in keys],
+                    F.transform("_p", lambda p: p["date"]).alias("dates"),
                     F.transform("_p", lambda p: p["value"]).alias("values"))
 
 

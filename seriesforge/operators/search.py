@@ -6,10 +6,11 @@ Plan shape
   token (document frequency from the index), then verified with a substring
   test on the space-joined token text - exact, and a hot token such as a
   country name never fans a query out to a third of the catalog;
-* substring (E3): queries whose LIKE pattern has a literal run of >= 3
-  characters join a character-trigram index on the rarest trigram of that run
-  and are verified with LIKE; shorter patterns (few by nature) are checked by
-  a broadcast nested-loop join behind a row-count bound;
+* substring (E3): the index holds the 1-, 2- and 3-character grams of each
+  name, and the empty gram; a query joins it on the rarest 3-gram of its
+  longest literal run, on that run itself if it is shorter, and on the empty
+  gram if it has no literal at all (such a pattern matches by length alone),
+  and is verified with LIKE - an equi-join for every pattern;
 * fallback (E5): the substring path runs only for queries with no phrase hit
   after facets (``left_anti`` on query_id);
 * grouping + top-k (E6): hash aggregate per (query, name), then
@@ -26,7 +27,6 @@ from seriesforge.functions import text as TX
 from seriesforge.functions.dims import ANONYMOUS_SEARCH_LIMIT, DEFAULT_SEARCH_LIMIT, MAX_SEARCH_LIMIT
 from seriesforge.operators import visibility as V
 
-MAX_SHORT_QUERIES = 100_000
 NGRAM = 3
 
 
@@ -39,9 +39,8 @@ def build_token_index(cat: DataFrame) -> DataFrame:
 
 
 def build_gram_index(cat: DataFrame, n: int = NGRAM) -> DataFrame:
-    """Character n-grams of the ASCII-folded name: (gram, name, frequency, country)."""
-    folded = TX.ascii_fold(F.col("name"))
-    return (cat.select("name", "frequency", "country", F.explode(F.array_distinct(TX.ngrams(folded, n))).alias("gram")))
+    """Character grams of up to ``n`` characters of the ASCII-folded name: (gram, name, frequency, country)."""
+    return cat.select("name", "frequency", "country", F.explode(TX.grams_up_to(TX.ascii_fold(F.col("name")), n)).alias("gram"))
 
 
 def _facets(freq: Column, country: Column) -> Column:
@@ -73,28 +72,15 @@ def match_phrase(cat: DataFrame, queries: DataFrame, index: DataFrame | None = N
 
 
 def match_like(cat: DataFrame, queries: DataFrame, gram_index: DataFrame | None = None) -> DataFrame:
-    """E3 (+E4): ``name LIKE '%q%'`` with SQLite semantics (raw q)."""
-    runs = TX.like_literal_runs(F.col("q"))
-    q = queries.select("query_id", F.col("q").alias("_q"), F.col("freq").alias("_freq"),
-                       F.col("country").alias("_country"), F.element_at(runs, 1).alias("_run"))
-    long_q = q.where(F.length("_run") >= NGRAM)
-    short_q = q.where(F.coalesce(F.length("_run"), F.lit(0)) < NGRAM)
-    cat_cols = cat.select("name", "frequency", "country")
-    verify = TX.like_contains(F.col("name"), F.col("_q")) & _facets(F.col("_freq"), F.col("_country"))
-
-    gram_index = gram_index if gram_index is not None else build_gram_index(cat_cols)
-    keys = long_q.select("query_id", F.explode(F.array_distinct(TX.ngrams(F.col("_run"), NGRAM))).alias("gram"))
-    pick = _rarest(keys, gram_index, "gram")
-    long_hits = (pick.join(gram_index, "gram").join(long_q, "query_id").where(verify)
-                 .select("query_id", "name", "frequency", "country"))
-
-    # Short patterns: no selective key exists; their number is bounded before broadcasting.
-    n_short = short_q.limit(MAX_SHORT_QUERIES + 1).count()
-    if n_short > MAX_SHORT_QUERIES:
-        raise ValueError(f"more than {MAX_SHORT_QUERIES} substring queries without a 3-character literal")
-    short_hits = (cat_cols.join(F.broadcast(short_q), verify, "inner")
-                  .select("query_id", "name", "frequency", "country")) if n_short else None
-    return long_hits if short_hits is None else long_hits.unionByName(short_hits)
+    """E3 (+E4): ``name LIKE '%q%'`` with SQLite semantics (raw q). A null q matches nothing."""
+    gram_index = gram_index if gram_index is not None else build_gram_index(cat.select("name", "frequency", "country"))
+    run = F.coalesce(F.try_element_at(TX.like_literal_runs(F.col("q")), F.lit(1)), F.lit(""))
+    q = queries.where(F.col("q").isNotNull()).select(
+        "query_id", F.col("q").alias("_q"), F.col("freq").alias("_freq"), F.col("country").alias("_country"), run.alias("_run"))
+    pick = _rarest(q.select("query_id", F.explode(TX.widest_grams(F.col("_run"), NGRAM)).alias("gram")), gram_index, "gram")
+    hits = pick.join(gram_index, "gram").join(q, "query_id")
+    return (hits.where(TX.like_contains(F.col("name"), F.col("_q")) & _facets(F.col("_freq"), F.col("_country")))
+            .select("query_id", "name", "frequency", "country"))
 
 
 def search_fallback(cat: DataFrame, queries: DataFrame, index: DataFrame | None = None,
@@ -177,22 +163,11 @@ def search_names(cat: DataFrame, queries: DataFrame, **kw) -> DataFrame:
 
 def substring_semi_join(left: DataFrame, left_col: str, patterns: DataFrame, pat_col: str,
                         lower: bool = True) -> DataFrame:
-    """Distinct ``left_col`` values containing any pattern (exact).
-
-    Patterns of >= 3 characters join on one of their trigrams (an equi-join,
-    no broadcast needed); shorter ones are few by construction and are
-    broadcast behind a count bound.
-    """
+    """Distinct ``left_col`` values containing any pattern (exact): an equi-join
+    on a pattern's first 3-gram, or on the whole pattern if it is shorter."""
     txt = F.lower(F.col(left_col)) if lower else F.col(left_col)
-    L = left.select(F.col(left_col).alias("_v"), txt.alias("_t")).distinct()
-    P = patterns.select(F.col(pat_col).alias("_p")).distinct()
-    long_p = P.where(F.length("_p") >= NGRAM).withColumn("gram", F.substring("_p", 1, NGRAM))
-    grams = L.select("_v", "_t", F.explode(F.array_distinct(TX.ngrams(F.col("_t"), NGRAM))).alias("gram"))
-    hits = grams.join(long_p, "gram").where(F.col("_t").contains(F.col("_p"))).select("_v")
-    short_p = P.where(F.length("_p") < NGRAM)
-    n_short = short_p.limit(MAX_SHORT_QUERIES + 1).count()
-    if n_short > MAX_SHORT_QUERIES:
-        raise ValueError("too many patterns shorter than 3 characters")
-    if n_short:
-        hits = hits.unionByName(L.join(F.broadcast(short_p), F.col("_t").contains(F.col("_p"))).select("_v"))
-    return hits.distinct().withColumnRenamed("_v", left_col)
+    values = left.select(F.col(left_col).alias("_v"), txt.alias("_t")).distinct()
+    wanted = patterns.select(F.col(pat_col).alias("_p")).where("_p IS NOT NULL").distinct().withColumn("gram", F.substring("_p", 1, NGRAM))
+    grams = values.select("_v", "_t", F.explode(TX.grams_up_to(F.col("_t"), NGRAM)).alias("gram"))
+    hits = grams.join(wanted, "gram").where(F.col("_t").contains(F.col("_p")))
+    return hits.select(F.col("_v").alias(left_col)).distinct()

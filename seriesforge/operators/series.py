@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.functions.dates import in_text_range, literal_range
+from seriesforge.functions.dates import in_bounds, literal_range, with_bounds
 
 _CAT = ["country", "frequency", "source_file", "min_date", "max_date", "count"]
 
@@ -31,11 +31,13 @@ def resolve_series(requests: DataFrame, cat: DataFrame, req_keys=("request_id",)
     keys = list(req_keys)
     carry = [c for c in carry if c in requests.columns]
     r = requests.select(*keys, "name", "freq", *carry).distinct()
-    c = cat.select("name", *_CAT)
+    cols = [*_CAT, F.col("load_seq.run").alias("load_run")] if "load_seq" in cat.columns else _CAT
+    names = [*_CAT, "load_run"] if "load_seq" in cat.columns else _CAT
+    c = cat.select("name", *cols)
     j = r.join(c, "name").where(_blank("freq") | (F.col("frequency") == F.col("freq")))
     pref = F.struct((F.col("frequency") != "m").alias("not_m"), F.col("frequency"))
-    picked = j.groupBy(*keys, "name", "freq", *carry).agg(F.min_by(F.struct(*_CAT), pref).alias("_s"))
-    return picked.select(*keys, "name", "freq", *carry, *[F.col(f"_s.{x}").alias(x) for x in _CAT])
+    picked = j.groupBy(*keys, "name", "freq", *carry).agg(F.min_by(F.struct(*names), pref).alias("_s"))
+    return picked.select(*keys, "name", "freq", *carry, *[F.col(f"_s.{x}").alias(x) for x in names])
 
 
 def slice_range(obs: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -44,12 +46,15 @@ def slice_range(obs: DataFrame, start: str | None = None, end: str | None = None
 
 
 def series_slice(resolved: DataFrame, obs: DataFrame, req_keys=("request_id",)) -> DataFrame:
-    """Owned observations of each resolved request inside its own range."""
+    """Owned observations of each resolved request inside its own range (the
+    rule of visibility of C3: the owner's file and, where known, its run)."""
     keys = list(req_keys)
-    r = resolved.select(*keys, "name", "frequency", "source_file", "start_date", "end_date")
-    o = obs.select("name", "frequency", "source_file", "date", "value")
-    j = r.join(o, ["name", "frequency", "source_file"])
-    return j.where(in_text_range(F.col("date"), F.col("start_date"), F.col("end_date")))
+    owner = ["name", "frequency", "source_file"]
+    if "load_run" in obs.columns and "load_run" in resolved.columns:
+        owner.append("load_run")
+    r = with_bounds(resolved.select(*keys, *owner, "start_date", "end_date"))
+    o = obs.select(*owner, "date", "value")
+    return r.join(o, owner).where(in_bounds(F.col("date")))
 
 
 def get_series(resolved: DataFrame, obs: DataFrame, req_keys=("request_id",), nested: bool = False) -> DataFrame:

@@ -31,20 +31,25 @@ def stats_by_frequency(cat: DataFrame) -> DataFrame:
     return cat.groupBy("frequency").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _json_object(df: DataFrame, k: str) -> DataFrame:
-    entries = F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col("count").cast("long").alias("v"))))
-    return df.agg(F.coalesce(F.to_json(F.map_from_entries(entries)), F.lit("{}")).alias("value"))
-
-
 def stats_table(cat: DataFrame) -> DataFrame:
-    """D-4: five (key, value) rows; numbers as text, breakdowns as JSON text."""
-    tot = stats_totals(cat)
-    nums = tot.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value"))
-        for k in STAT_KEYS[:3]])))
-    by_c = _json_object(stats_by_country(cat), "country").select(F.lit("by_country").alias("key"), "value")
-    by_f = _json_object(stats_by_frequency(cat), "frequency").select(F.lit("by_frequency").alias("key"), "value")
-    return nums.unionByName(by_c).unionByName(by_f)
+    """D-4: five (key, value) rows; numbers as text, breakdowns as JSON text.
+    One pass over the catalog: name, country and frequency counts are the
+    grouping sets of one aggregate, of which a few rows are folded."""
+    per = cat.groupingSets([["name"], ["country", "name"], ["frequency"]], "name", "country", "frequency").agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.sum("count").alias("points"))
+    # _g bits: name, country, frequency (1 = folded away)
+    names, places, freqs = F.col("_g") == 3, F.col("_g") == 1, F.col("_g") == 6
+    few = per.groupBy("_g", "country", "frequency").agg(F.count(F.lit(1)).alias("names"), F.sum("n").alias("n"), F.sum("points").alias("points"))
+
+    def breakdown(which, code: str, number: str):
+        entries = F.array_sort(F.collect_list(F.when(which, F.struct(F.col(code).alias("k"), F.col(number).alias("v")))))
+        return F.coalesce(F.to_json(F.map_from_entries(entries)), F.lit("{}"))
+
+    def total(which, number: str):
+        return F.coalesce(F.sum(F.when(which, F.col(number))), F.lit(0)).cast("string")
+    one = few.agg(total(names, "names").alias("total_series"), total(names, "n").alias("total_series_freq"), total(names, "points").alias("total_data_points"),
+                  breakdown(places, "country", "names").alias("by_country"), breakdown(freqs, "frequency", "n").alias("by_frequency"))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in STAT_KEYS])))
 
 
 def read_stats(stats: DataFrame | None, cat: DataFrame) -> DataFrame:

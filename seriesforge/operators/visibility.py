@@ -1,10 +1,9 @@
 """Hide series whose lower-cased name contains a hidden pattern.
 
-Pattern lists are configuration (a handful of lower-case substrings). Up to
-``MAX_INLINE_PATTERNS`` they become one boolean expression that stays inside
-whole-stage codegen - no join at all. Larger lists use an exact n-gram
-equi-join (see ``search.substring_semi_join``) so nothing is broadcast whose
-size is unchecked.
+A list of patterns that the caller writes out becomes one boolean expression
+that stays inside whole-stage codegen - no join at all. A table of patterns is
+joined on n-grams (see ``search.substring_semi_join``), whatever its size:
+nothing is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -14,52 +13,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_INLINE_PATTERNS = 1_000
-
-
-def pattern_list(patterns: Sequence[str] | DataFrame | None) -> list[str] | DataFrame:
-    if patterns is None:
-        return []
-    if isinstance(patterns, DataFrame):
-        small = patterns.select(F.lower(F.col(patterns.columns[0])).alias("pattern")).limit(MAX_INLINE_PATTERNS + 1)
-        rows = [r["pattern"] for r in small.collect() if r["pattern"] is not None]
-        if len(rows) <= MAX_INLINE_PATTERNS:
-            return rows
-        return patterns.select(F.lower(F.col(patterns.columns[0])).alias("pattern"))
-    return [p.lower() for p in patterns]
-
 
 def hidden_expr(name: Column, patterns: Sequence[str]) -> Column:
     low = F.lower(name)
     cond = F.lit(False)
     for p in patterns:
-        cond = cond | low.contains(F.lit(p))
+        cond = cond | low.contains(F.lit(p.lower()))
     return cond
 
 
-def hide_series(df: DataFrame, patterns, name_col: str = "name",
+def with_hidden(df: DataFrame, patterns: Sequence[str] | DataFrame | None, name_col: str, out: str = "_hidden") -> DataFrame:
+    """Add a boolean column: whether the row's name is hidden (a null name isn't)."""
+    if isinstance(patterns, DataFrame):
+        from seriesforge.operators.search import substring_semi_join
+        lowered = patterns.select(F.lower(F.col(patterns.columns[0])).alias("pattern"))
+        hits = substring_semi_join(df.select(name_col).distinct(), name_col, lowered, "pattern").withColumn(out, F.lit(True))
+        return df.join(hits, name_col, "left").withColumn(out, F.coalesce(out, F.lit(False))).select(*df.columns, out)
+    return df.withColumn(out, F.coalesce(hidden_expr(F.col(name_col), patterns or []), F.lit(False)))
+
+
+def hide_series(df: DataFrame, patterns: Sequence[str] | DataFrame | None, name_col: str = "name",
                 admin: Column | None = None) -> DataFrame:
     """Drop rows whose name is hidden; rows where ``admin`` is true are kept."""
-    pats = pattern_list(patterns)
-    if isinstance(pats, list):
-        if not pats:
-            return df
-        hidden = hidden_expr(F.col(name_col), pats)
-        keep = ~hidden if admin is None else (admin | ~hidden)
-        return df.where(keep)
-    from seriesforge.operators.search import substring_semi_join
-    hits = substring_semi_join(df.select(name_col).distinct(), name_col, pats, "pattern", lower=True)
-    flagged = df.join(hits.withColumn("_hidden", F.lit(True)), name_col, "left")
-    keep = F.col("_hidden").isNull() if admin is None else (admin | F.col("_hidden").isNull())
-    return flagged.where(keep).drop("_hidden")
+    keep = ~F.col("_hidden") if admin is None else (admin | ~F.col("_hidden"))
+    return with_hidden(df, patterns, name_col).where(keep).drop("_hidden")
 
 
-def guard_visible(requests: DataFrame, patterns, name_col: str = "name",
+def guard_visible(requests: DataFrame, patterns: Sequence[str] | DataFrame | None, name_col: str = "name",
                   role_col: str = "role") -> DataFrame:
     """non-admin requests for a hidden name get status ``not_found``."""
-    pats = pattern_list(patterns)
-    if not isinstance(pats, list):
-        raise ValueError("guard_visible expects an inline-sized pattern list")
-    hidden = hidden_expr(F.col(name_col), pats) if pats else F.lit(False)
-    status = F.when((F.col(role_col) != "admin") & hidden, F.lit("not_found")).otherwise(F.lit("ok"))
-    return requests.withColumn("status", status)
+    status = F.when((F.col(role_col) != "admin") & F.col("_hidden"), F.lit("not_found")).otherwise(F.lit("ok"))
+    return with_hidden(requests, patterns, name_col).withColumn("status", status).drop("_hidden")

@@ -63,8 +63,16 @@ SELECT * FROM (VALUES
   (4, 'S&P PMI', NULL, NULL, 50, 'user'), (5, 'cafe', NULL, 'jp', 50, 'user'), (6, 'rder', NULL, NULL, 30, 'anonymous'),
   (7, 'NATION_1%MACH', NULL, NULL, 50, 'user'), (8, ',', NULL, NULL, 5, 'user'), (9, 'orders furniture', 'q', NULL, 50, 'user'),
   (10, 'no such thing', NULL, NULL, 50, 'user'), (11, '"pmi, building"', NULL, NULL, 50, 'admin'),
-  (12, 'pmi', NULL, 'zz', 50, 'admin'), (13, 'machinery', '', '', 200, 'user'), (14, 'machinery', NULL, NULL, 500, 'user')
-) AS t(query_id, q, freq, country, lim, role)"""
+  (12, 'pmi', NULL, 'zz', 50, 'admin'), (13, 'machinery', '', '', 200, 'user'), (14, 'machinery', NULL, NULL, 500, 'user'),
+  (15, '%', 'a', 'cn', 7, 'user'), (16, '_', 'q', NULL, 9, 'admin'), (17, '', 'm', 'jp', 4, 'anonymous'), (18, 'y', 'a', 'jp', 50, 'user'),
+  (19, '&P', NULL, 'cn', 50, 'user'), (20, '%_%_%', 'a', 'tw', 3, 'user'), (21, 'a.)', 'q', 'kr', 50, 'user'), (22, NULL, NULL, NULL, 50, 'user')
+) AS t(query_id, q, freq, country, lim, role)
+UNION ALL
+SELECT 100 + n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN concat(n_name, ' orders') WHEN 1 THEN substring(n_name, 3, 6)
+       WHEN 2 THEN concat('%', substring(n_name, length(n_name), 1), ', _') ELSE lower(n_name) END,
+       CASE n_nationkey % 3 WHEN 0 THEN 'q' WHEN 1 THEN '' ELSE NULL END, NULL, 20 * (n_nationkey % 13),
+       CASE n_nationkey % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'anonymous' ELSE 'user' END
+FROM {nation}"""
 
 SERIES_REQUESTS_SQL = """
 SELECT * FROM (VALUES
@@ -74,11 +82,20 @@ SELECT * FROM (VALUES
   (4, 'NATION_0, S&P PMI, BUILDING;NATION_2, Orders (s.a.), BUILDING', 'a', NULL, '', 'user'),
   (5, 'NATION_0, S&P PMI, BUILDING', 'a', NULL, NULL, 'admin'),
   (6, 'NATION_2, Orders (s.a.), BUILDING;NATION_2, Orders (s.a.), BUILDING;missing;missing', 'm', '2030-01-01', NULL, 'user')
-) AS t(request_id, columns, freq, start_date, end_date, role)"""
+) AS t(request_id, columns, freq, start_date, end_date, role)
+UNION ALL
+SELECT 100 + n_nationkey, concat(n_name, ', Orders (s.a.), BUILDING ; ', n_name, ', S&P PMI, MACHINERY;', lower(n_name)),
+       CASE n_nationkey % 3 WHEN 0 THEN 'q' WHEN 1 THEN NULL ELSE 'a' END,
+       CASE n_nationkey % 4 WHEN 0 THEN '1995-07' WHEN 1 THEN '1996-02-15' WHEN 2 THEN '1994' ELSE NULL END,
+       CASE n_nationkey % 5 WHEN 0 THEN '1997-03' WHEN 1 THEN '1998' WHEN 2 THEN '1997-xx' ELSE '' END,
+       CASE n_nationkey % 2 WHEN 0 THEN 'admin' ELSE 'user' END
+FROM {nation}"""
 
 REQUEST_LOG_SQL = """
 SELECT event_id, ts, user_id,
        CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'multi_series' ELSE 'series' END AS kind,
+       CASE WHEN event_type NOT IN ('view', 'click') THEN concat('NATION_', CAST(user_id % 25 AS VARCHAR(10)),
+            CASE WHEN event_id % 7 = 0 THEN ', S&P PMI, BUILDING' ELSE ', Orders (s.a.), BUILDING' END) END AS series,
        CASE WHEN user_id % 10 = 9 THEN NULL WHEN user_id % 10 = 8 THEN 'admin-key' WHEN user_id % 10 = 7 THEN 'eae_unknown'
             WHEN user_id % 10 = 6 THEN 'other' ELSE concat('eae_', CAST(user_id AS VARCHAR(10))) END AS api_key,
        CASE WHEN user_id % 10 IN (6, 7, 9) AND user_id % 20 < 10 THEN concat('u', CAST(user_id AS VARCHAR(10)), '@x.org') END AS bearer_email

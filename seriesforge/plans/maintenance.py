@@ -9,6 +9,7 @@ run only writes the files it loaded plus the small tables.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -94,32 +95,40 @@ def incremental_state(state: State, listing: DataFrame, loader: Callable[[DataFr
 
 # ---- on-disk runs ---------------------------------------------------------------------
 
-def build_store(spark, root: str, roots, countries: Sequence[str] | None = None, rebuild: bool = False):
+def build_store(spark, root: str, roots, countries: Sequence[str] | None = None, rebuild: bool = False) -> DataFrame:
     """C7/C8 on files: list the country roots, then rebuild or update the
-    store under ``root`` and publish a new snapshot. Returns the change report
-    (None for a rebuild). Ingest runs case-sensitive (series names may differ
-    only by case)."""
+    store under ``root`` and publish a new snapshot. Returns the change report,
+    or the build summary after a rebuild. Each panel is read once: the run's
+    observations are written first, and catalog and manifest follow from the
+    written rows. Ingest runs case-sensitive (series names may differ only by
+    case). Unknown country codes are named in a warning and left out."""
+    from seriesforge.operators import stats as ST
+    from seriesforge.session import ensure_checkpoint_dir
     from seriesforge.sources import files as FL
     from seriesforge.sources import panels as P
     from seriesforge.sources import snapshot as SN
 
     order = [c for c, _ in roots]
+    unknown = [c for c in countries or [] if c not in order]
+    if unknown:
+        warnings.warn(f"unknown countries: {', '.join(unknown)}", stacklevel=2)
     chosen = [c for c in (countries or order) if c in order]
-    listing = FL.classify_files(FL.discover_files(spark, [(c, r) for c, r in roots if c in chosen]))
+    ensure_checkpoint_dir(spark)
+    # one view of the listing: what is loaded and what the manifest says of it belong together
+    listing = FL.classify_files(FL.discover_files(spark, [(c, r) for c, r in roots if c in chosen])).checkpoint(eager=True)
     with P.case_sensitive(spark):
+        version, run = SN.new_run(spark, root)
+
+        def load(files: DataFrame) -> DataFrame:
+            return SN.write_run(spark, root, I.drop_missing(P.read_panels(spark, files)), run).drop("load_run")
         snap = SN.open_snapshot(spark, root)
-        version = (snap.version if snap else 0) + 1
         if rebuild or snap is None or C.needs_rebuild(spark, snap.catalog, snap.manifest):
-            raw = P.read_panels(spark, listing)
-            st = rebuild_state(raw, run=version, mtimes=listing, country_order=chosen)
-            st = State(st.catalog, st.observations, st.manifest)
-            SN.publish_snapshot(spark, root, st, st.observations, version)
-            return None
+            st = rebuild_state(load(listing), run=run, mtimes=listing, country_order=chosen)
+            SN.publish_snapshot(spark, root, st.catalog, st.manifest, version, run)
+            done = SN.open_snapshot(spark, root)
+            return ST.build_summary(done.manifest, done.catalog)
         state = snap.state()
-        new_state, report = incremental_state(state, listing, lambda changed: P.read_panels(spark, changed),
-                                              run=version, countries=chosen, country_order=chosen)
-        if new_state is state:
-            return report
-        new_obs = new_state.observations.where(F.col("load_run") == version)
-        SN.publish_snapshot(spark, root, new_state, new_obs, version)
+        new_state, report = incremental_state(state, listing, load, run=run, countries=chosen, country_order=chosen)
+        if new_state is not state:
+            SN.publish_snapshot(spark, root, new_state.catalog, new_state.manifest, version, run)
         return report

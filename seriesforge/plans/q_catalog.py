@@ -153,18 +153,31 @@ def incremental_report(spark, d):
 
 
 @query("remove_source", with_ctes(
-    "SELECT name, frequency, country, source_file FROM cat1 WHERE source_file NOT IN "
-    "(SELECT path FROM changes WHERE status <> 'unchanged')",
-    **BASE, listing=FX.fx_sql(FX.FILE_LISTING_SQL), classified=(
-        "SELECT *, regexp_extract(file_name, '_([mqa])\\.parquet$', 1) AS frequency FROM listing "
-        "WHERE regexp_matches(file_name, '_([mqa])\\.parquet$') AND NOT regexp_matches(lower(file_name), "
-        "'latest|recent|hist')"), manifest=MANIFEST, changes=CHANGES))
+    """SELECT 'catalog' AS part, name, frequency, source_file, CAST(count AS BIGINT) AS n FROM cat1 WHERE source_file NOT IN
+         (SELECT path FROM gone)
+       UNION ALL SELECT 'observations', o.name, o.frequency, o.source_file, count(*) FROM obs1 o WHERE NOT EXISTS
+         (SELECT 1 FROM cat1 c JOIN gone g ON g.path = c.source_file WHERE c.name = o.name AND c.frequency = o.frequency)
+         GROUP BY o.name, o.frequency, o.source_file
+       UNION ALL SELECT 'manifest', NULL, NULL, source_file, count(DISTINCT name) FROM meta1 WHERE source_file NOT IN
+         (SELECT path FROM gone) GROUP BY source_file
+       UNION ALL SELECT 'removed', NULL, NULL, g.path, count(c.name) FROM gone g LEFT JOIN cat1 c ON c.source_file = g.path
+         GROUP BY g.path""",
+    **BASE, listing=LISTING, classified=CLASSIFIED, manifest=MANIFEST, changes=CHANGES,
+    gone="SELECT DISTINCT path FROM changes WHERE status <> 'unchanged'"))
 def remove_source(spark, d):
-    """Drop what changed or vanished files own (paths from C4 on FX4)."""
+    """Drop what changed or vanished files own (paths from C4 on FX4): catalog, observations, manifest, counts."""
     changes = C.detect_changes(FL.classify_files(_listing(spark, d)), _manifest(spark, d))
     paths = changes.where(F.col("status") != "unchanged").select("path")
-    cat2, _, _, _ = C.remove_source(S.catalog1(spark, d), S.obs1(spark, d), S.manifest1(spark, d), paths)
-    return cat2.select("name", "frequency", "country", "source_file")
+    cat, obs, man, gone = C.remove_source(S.catalog1(spark, d), S.obs1(spark, d), S.manifest1(spark, d), paths)
+    none = F.lit(None).cast("string")
+    rows = [cat.select(F.lit("catalog").alias("part"), "name", "frequency", "source_file", F.col("count").cast("long").alias("n")),
+            obs.groupBy("name", "frequency", "source_file").agg(F.count("*").alias("n")).select(F.lit("observations").alias("part"), "name", "frequency", "source_file", "n"),
+            man.select(F.lit("manifest").alias("part"), none.alias("name"), none.alias("frequency"), F.col("filepath").alias("source_file"), F.col("series_count").alias("n")),
+            gone.select(F.lit("removed").alias("part"), none.alias("name"), none.alias("frequency"), F.col("path").alias("source_file"), F.col("series_removed").alias("n"))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 @query("upsert_manifest", with_ctes(
@@ -176,16 +189,16 @@ def remove_source(spark, d):
                     CAST(NULL AS BIGINT) AS series_count FROM manifest) m
        FULL OUTER JOIN (SELECT source_file AS filepath, any_value(country) AS country, any_value(frequency) AS frequency,
                                1800000000 AS mtime_s, count(DISTINCT name) AS series_count
-                        FROM meta1 WHERE country IN ('cn', 'jp') GROUP BY source_file) n ON m.filepath = n.filepath""",
+                        FROM meta1 GROUP BY source_file) n ON m.filepath = n.filepath""",
     **{k: BASE[k] for k in ("obs1", "meta1")}, manifest=MANIFEST))
 def upsert_manifest(spark, d):
-    """FX4 manifest, then the Chinese and Japanese FX1 files are (re)loaded."""
+    """FX4 manifest, then every FX1 file is (re)loaded."""
     man = (FX.manifest(spark, d).select(F.col("path").alias("filepath"), "country",
                                        F.regexp_extract("path", r"_([mqa])\.parquet$", 1).alias("frequency"),
                                        F.timestamp_seconds("mtime_s").alias("mtime"),
                                        F.lit(None).cast("long").alias("series_count"),
                                        F.lit(None).cast("timestamp").alias("last_processed")))
-    meta = I.series_metadata(S.obs1(spark, d)).where(F.col("country").isin("cn", "jp"))
+    meta = I.series_metadata(S.obs1(spark, d))
     loaded = (meta.groupBy("source_file").agg(F.any_value("country").alias("country"),
                                               F.any_value("frequency").alias("frequency"),
                                               F.count_distinct("name").alias("series_count"))

@@ -12,7 +12,7 @@ T = dict(log=FX.fx_sql(FX.REQUEST_LOG_SQL), keys=FX.fx_sql(FX.KEYS_SQL), members
 MT_SQL = """SELECT email, name, CASE WHEN lower(tier_names) LIKE '%east asia%' OR lower(tier_names) LIKE '%data%' THEN 'premium'
   WHEN lower(tier_names) LIKE '%daily%' THEN 'daily' WHEN status = 'comped' THEN 'premium' ELSE 'free' END AS tier FROM members"""
 ADMIN = ", ".join(f"'{k}'" for k in FX.ADMIN_KEYS)
-ATTR = f"""SELECT l.event_id, CAST(l.ts AS TIMESTAMP) AS ts, l.user_id, l.kind, l.api_key, l.bearer_email, x.auth_type,
+ATTR = f"""SELECT l.event_id, CAST(l.ts AS TIMESTAMP) AS ts, l.user_id, l.kind, l.series, l.api_key, l.bearer_email, x.auth_type,
   CASE x.auth_type WHEN 'user_api_key' THEN k.email WHEN 'member' THEN l.bearer_email WHEN 'api_key' THEN 'api_key_user' END AS email,
   CASE x.auth_type WHEN 'user_api_key' THEN k.tier WHEN 'member' THEN m.tier WHEN 'api_key' THEN 'premium' END AS tier,
   CASE WHEN x.auth_type IS NULL THEN 401 ELSE 200 END AS status
@@ -21,7 +21,8 @@ LEFT JOIN mt m ON m.email = l.bearer_email,
 LATERAL (SELECT CASE WHEN coalesce(starts_with(l.api_key, 'eae_'), false) THEN
                   CASE WHEN k.email IS NOT NULL THEN 'user_api_key' END
                 WHEN m.tier IS NOT NULL THEN 'member' WHEN l.api_key IN ({ADMIN}) THEN 'api_key' END AS auth_type) x"""
-CHARGED = "SELECT * FROM attr WHERE status = 200 AND kind IN ('series', 'multi_series')"
+CHARGED = """SELECT * FROM attr WHERE status = 200 AND (kind = 'multi_series' OR (kind = 'series'
+  AND (auth_type = 'api_key' OR series IS NULL OR lower(series) NOT LIKE '%s&p pmi%')))"""
 BASE_M = dict(T, mt=MT_SQL, attr=ATTR, charged=CHARGED)
 MONTHLY = """SELECT event_id, ts, api_key, tier, month, used, quota, quota IS NULL OR used <= quota AS admitted,
   CAST(CASE WHEN quota IS NOT NULL THEN greatest(0, quota - used) END AS INTEGER) AS remaining FROM (
@@ -59,7 +60,7 @@ def derive_tier(spark, d):
 
 ISSUES_SQL = """SELECT concat('u', CAST(user_id AS VARCHAR(10)), '@x.org') AS email,
   concat('eae_', CAST(user_id AS VARCHAR(10)), '_', CAST(event_id AS VARCHAR(20))) AS api_key, ts AS created_at
-  FROM {events} WHERE event_type = 'signup' AND user_id % 10 < 6"""
+  FROM {events} WHERE event_type = 'signup'"""
 
 
 @query("active_keys", with_ctes(
@@ -91,17 +92,17 @@ def attribute_requests(spark, d):
     "SELECT api_key, strftime(ts, '%Y-%m') AS month, count(*) AS count FROM charged "
     "WHERE auth_type = 'user_api_key' GROUP BY api_key, strftime(ts, '%Y-%m')", **BASE_M))
 def monthly_usage(spark, d):
-    return MT.monthly_usage(_attr(spark, d))
+    return MT.monthly_usage(_attr(spark, d), FX.hidden_patterns(spark))
 
 
 @query("monthly_admission", with_ctes(MONTHLY, **BASE_M))
 def monthly_admission(spark, d):
-    return MT.monthly_admission(_attr(spark, d))
+    return MT.monthly_admission(_attr(spark, d), hidden=FX.HIDDEN_PATTERNS)
 
 
 @query("anchored_admission", with_ctes(ANCHORED, _recursive=True, **BASE_M, anch=ANCH, walk=WALK))
 def anchored_admission(spark, d):
-    return MT.anchored_admission(_attr(spark, d))
+    return MT.anchored_admission(_attr(spark, d), hidden=FX.HIDDEN_PATTERNS)
 
 
 @query("usage_report", with_ctes(
@@ -113,7 +114,7 @@ def anchored_admission(spark, d):
          AND strftime(ts, '%Y-%m') = '2024-01' GROUP BY api_key) u ON u.api_key = k.api_key WHERE k.is_active""",
     **BASE_M))
 def usage_report(spark, d):
-    out = MT.usage_report(FX.keys(spark, d), MT.monthly_usage(_attr(spark, d)), "2024-01")
+    out = MT.usage_report(FX.keys(spark, d), MT.monthly_usage(_attr(spark, d), FX.HIDDEN_PATTERNS), "2024-01")
     return out.withColumnRenamed("limit", "quota")
 
 
@@ -124,4 +125,4 @@ def usage_report(spark, d):
        FROM walk w WHERE window_start = (SELECT max(window_start) FROM walk v WHERE v.identity = w.identity)
        GROUP BY identity, window_start""", _recursive=True, **BASE_M, anch=ANCH, walk=WALK))
 def anchored_usage_report(spark, d):
-    return MT.anchored_usage_report(MT.anchored_admission(_attr(spark, d)))
+    return MT.anchored_usage_report(MT.anchored_admission(_attr(spark, d), hidden=FX.HIDDEN_PATTERNS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seriesforge.operators import reshape as RS
@@ -25,19 +27,34 @@ def pivot_wide(spark, d):
     return RS.require_data(RS.pivot_wide(long, WIDE_NAMES))
 
 
-@query("records_json")
+@query("records_json", with_ctes(f"""SELECT date, name, value FROM obs1
+      WHERE name IN ('{WIDE_NAMES[0]}', '{WIDE_NAMES[1]}') AND frequency = 'q'
+        AND strftime(date, '%Y-%m-%d') >= '1997' AND strftime(date, '%Y-%m-%d') <= '1999'""", obs1=BASE["obs1"]))
 def records_json(spark, d):
-    """B10 (JSON number text differs between engines: rows-only check)."""
+    """B10, each JSON object parsed back to (date, name, value): number text differs between engines, values don't."""
     long = RS.wide_slice(spark, S.catalog1(spark, d), S.obs1(spark, d), WIDE_NAMES, "q", "1997", "1999")
-    return RS.to_records(RS.pivot_wide(long, WIDE_NAMES))
+    records = RS.to_records(RS.pivot_wide(long, WIDE_NAMES))
+    cells = records.select("Date", F.explode(F.from_json("record", "map<string,string>")).alias("name", "value"))
+    return cells.where("name <> 'Date'").select(F.col("Date").alias("date"), "name", F.col("value").cast("double").alias("value"))
 
 
 @query("columns_arrays", with_ctes(
-    """SELECT name AS series_name, CAST(row_number() OVER (PARTITION BY name ORDER BY date, value) - 1 AS BIGINT) AS idx,
-              date, value FROM obs1 WHERE frequency = 'a'""", obs1=BASE["obs1"]))
+    """SELECT name AS series_name, frequency, CAST(row_number() OVER (PARTITION BY name, frequency ORDER BY date, value) - 1
+       AS BIGINT) AS idx, date, value FROM obs1""", obs1=BASE["obs1"]))
 def columns_arrays(spark, d):
-    """B11 for every annual series, flattened back to (series, idx, date, value)."""
-    cols = RS.to_columns(S.obs1(spark, d).where(F.col("frequency") == "a"))
-    z = cols.select("series_name", F.posexplode(F.arrays_zip("dates", "values")).alias("idx", "p"))
-    return z.select("series_name", F.col("idx").cast("long").alias("idx"), F.col("p.dates").alias("date"),
+    """B11 for every series, flattened back to (series, frequency, idx, date, value)."""
+    cols = RS.to_columns(S.obs1(spark, d))
+    z = cols.select("series_name", "frequency", F.posexplode(F.arrays_zip("dates", "values")).alias("idx", "p"))
+    return z.select("series_name", "frequency", F.col("idx").cast("long").alias("idx"), F.col("p.dates").alias("date"),
                     F.col("p.values").alias("value"))
+
+
+@query("csv_roundtrip", _pivot_sql("q", "1996", "1999"))
+def csv_roundtrip(spark, d):
+    """The wide frame written as CSV below the shared folder and read back."""
+    from seriesforge.session import ensure_checkpoint_dir
+    long = RS.wide_slice(spark, S.catalog1(spark, d), S.obs1(spark, d), WIDE_NAMES, "q", "1996", "1999")
+    wide = RS.pivot_wide(long, WIDE_NAMES)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    RS.write_csv(wide, path)
+    return spark.read.option("header", True).schema(wide.schema).csv(path)

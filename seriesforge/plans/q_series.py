@@ -153,6 +153,40 @@ def read_stats(spark, d):
                     F.to_json("by_country").alias("by_country"), F.to_json("by_frequency").alias("by_frequency"))
 
 
+@query("read_stats_stored", with_ctes(
+    """SELECT count(DISTINCT name) AS total_series, count(*) AS total_series_freq,
+              CAST(sum(count) AS BIGINT) AS total_data_points FROM cat1""", **BASE))
+def read_stats_stored(spark, d):
+    """D-5 from a stored table (as publishing writes it), with another catalog beside it: the table wins."""
+    stored = ST.stats_table(S.catalog1(spark, d)).checkpoint()
+    r = ST.read_stats(stored, S.catalog1(spark, d).limit(0))
+    return r.select("total_series", "total_series_freq", "total_data_points")
+
+
+@query("get_series_data", with_ctes(
+    f"""SELECT r.request_id, r.name AS series_name, r.frequency,
+               CAST(row_number() OVER (PARTITION BY r.request_id, r.name ORDER BY o.date, o.value) - 1 AS BIGINT) AS idx, o.date, o.value
+        FROM resolved r JOIN obs1 o ON o.name = r.name AND o.frequency = r.frequency
+        AND o.source_file = r.source_file AND {IN_RANGE}""", **RQ, resolved=RESOLVED.format(parsed="parsed")))
+def get_series_data(spark, d):
+    """F3 + F4: the nested answer's data, in its order."""
+    r = SR.resolve_series(_parsed(spark, d), S.catalog1(spark, d))
+    nested = SR.get_series(r, S.obs1(spark, d), nested=True)
+    each = nested.select("request_id", "series_name", "frequency", F.posexplode("data").alias("idx", "p"))
+    return each.select("request_id", "series_name", "frequency", F.col("idx").cast("long").alias("idx"), "p.date", "p.value")
+
+
+@query("series_info_map", with_ctes(
+    """SELECT c.name, x.country, c.frequency, c.count, c.min_date, c.max_date FROM cat1 c
+       JOIN (SELECT name, arg_max(country, frequency) AS country FROM cat1 GROUP BY name) x ON x.name = c.name
+       WHERE c.name IN (SELECT name FROM parsed)""", **RQ))
+def series_info_map(spark, d):
+    """F8: the nested answer's map of frequencies, flattened back."""
+    info = SR.series_info_nested(_parsed(spark, d).select("name"), S.catalog1(spark, d))
+    return info.select("name", "country", F.explode("frequencies").alias("frequency", "f")).select(
+        "name", "country", "frequency", "f.count", "f.min_date", "f.max_date")
+
+
 @query("build_summary", with_ctes(
     "SELECT (SELECT count(DISTINCT source_file) FROM meta1) AS files_processed, count(*) AS series, "
     "CAST(coalesce(sum(count), 0) AS BIGINT) AS data_points FROM cat1", **BASE))

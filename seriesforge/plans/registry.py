@@ -75,4 +75,4 @@ def hidden_sql(col: str) -> str:
 
 
 # The query modules register themselves on import.
-from seriesforge.plans import q_ingest, q_catalog, q_series, q_search, q_metering, q_reshape, q_streaming  # noqa: E402,F401
+from seriesforge.plans import q_ingest, q_catalog, q_series, q_search, q_metering, q_reshape, q_streaming, q_store  # noqa: E402,F401

@@ -23,6 +23,8 @@ from seriesforge.plans.broadcast import broadcast_if_small
 DATE_COLUMN = "Date"
 _INDEX_COL = re.compile(r"^__index_level_\d+__$")
 LONG_SCHEMA = "source_file string, date date, name string, value double"
+#: Forms of text dates other than ISO that are read (month first, as the usual reader does).
+TEXT_DATES = ("yyyy/M/d", "M/d/yyyy", "yyyyMMdd", "yyyy.M.d", "d MMM yyyy", "MMM d, yyyy", "MMM yyyy")
 
 
 def quote(name: str) -> str:
@@ -32,13 +34,17 @@ def quote(name: str) -> str:
 
 @contextmanager
 def case_sensitive(spark: SparkSession):
-    """Series names may differ only by case; resolve columns case-sensitively."""
-    old = spark.conf.get("spark.sql.caseSensitive", "false")
-    spark.conf.set("spark.sql.caseSensitive", "true")
+    """Series names may differ only by case: resolve columns case-sensitively. Nanosecond dates are read as numbers
+    (S-1). Holds while a panel is read, so run what ``read_panels`` returns inside it."""
+    conf = {"spark.sql.caseSensitive": "true", "spark.sql.legacy.parquet.nanosAsLong": "true"}
+    old = {k: spark.conf.get(k, "false") for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.caseSensitive", old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def normalize_date(col: Column, dtype: T.DataType) -> Column:
@@ -50,7 +56,9 @@ def normalize_date(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(col)
     if isinstance(dtype, T.StringType):
-        return F.to_date(F.expr(f"try_cast({col._jc.toString()} AS timestamp)"))
+        # ISO first, then the day-first/month-first forms with a separator, compact digits and month names
+        forms = [F.to_date(F.try_to_timestamp(F.trim(col), F.lit(f))) for f in TEXT_DATES]
+        return F.coalesce(F.to_date(col.try_cast("timestamp")), *forms)
     return F.lit(None).cast("date")
 
 
@@ -61,7 +69,7 @@ def coerce_value(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         return col.cast("double")
     if isinstance(dtype, T.StringType):
-        return F.expr(f"try_cast({col._jc.toString()} AS double)")
+        return col.try_cast("double")
     return F.lit(None).cast("double")
 
 

@@ -3,28 +3,37 @@ path (local, HDFS, object stores).
 
 Layout under ``root``::
 
-    observations/frequency=<f>/load_run=<n>/part-*.parquet   append-only
-    versions/v<n>/{catalog,manifest,stats,token_index}/        small tables
-    CURRENT                                                    "v<n>"
-
-A run writes its new observation partitions and a complete new version
-directory, then replaces ``CURRENT`` (write a temp file, rename). Readers
-only follow ``CURRENT``, so a half-written run is never seen and a failed or
-retried run leaves unreferenced partitions only. No table is ever
-overwritten by a plan that reads it.
+    observations/frequency=<f>/load_run=<run>/part-*.parquet       append-only
+    versions/v<n>_<run>/{catalog,manifest,stats,token_index,gram_index}/, _COMPLETE
+    CURRENT                                                         "v<n>_<run>"
+
+Every attempt of a run has a run id and a version directory of its own, so a
+run that died and is repeated never adds to what the dead one left. Rows are
+visible only through the catalog of the current version, which names file and
+run. A version directory counts once ``_COMPLETE`` is in it; ``CURRENT`` is
+replaced in one rename, and if it is missing the newest complete version is
+taken. What no kept version names is deleted by ``vacuum``; ``compact``
+rewrites the visible rows as one run.
 """
 
 from __future__ import annotations
 
+import re
+import secrets
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesforge.operators import catalog as C
 from seriesforge.operators import search as E
 from seriesforge.operators import stats as ST
 from seriesforge.plans.maintenance import State
 
+OBS_SCHEMA = ("name string, frequency string, country string, source_file string, date date, "
+              "value double, load_run bigint")
+_TAG = re.compile(r"^v(\d+)_(\d+)$")
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -46,17 +55,70 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file of its own, then rename it over ``path``: readers see the old text or the new."""
+    sc = spark.sparkContext
     fs, p = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    tmp = sc._jvm.org.apache.hadoop.fs.Path(f"{path}.{secrets.token_hex(8)}.tmp")
     out = fs.create(tmp, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = sc._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    tmp, p = fs.makeQualified(tmp), fs.makeQualified(p)
+    sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), sc._jsc.hadoopConfiguration()).rename(tmp, p, options)
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _numbers(tag: str) -> tuple[int, int]:
+    m = _TAG.match(tag.strip())
+    return (int(m[1]), int(m[2])) if m else (0, 0)
+
+
+def complete_versions(spark: SparkSession, root: str) -> list[str]:
+    """Tags of the complete versions, oldest first."""
+    tags = [t for t in _children(spark, f"{root}/versions") if _TAG.match(t)]
+    done = [t for t in tags if read_text(spark, f"{root}/versions/{t}/_COMPLETE") is not None]
+    return sorted(done, key=_numbers)
+
+
+def current_tag(spark: SparkSession, root: str) -> str | None:
+    """What ``CURRENT`` names; the newest complete version if it is missing."""
+    tag = (read_text(spark, f"{root}/CURRENT") or "").strip()
+    if _TAG.match(tag):
+        return tag
+    done = complete_versions(spark, root)
+    return done[-1] if done else None
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    tag = current_tag(spark, root)
+    return _numbers(tag)[0] if tag else 0
+
+
+def new_run(spark: SparkSession, root: str) -> tuple[int, int]:
+    """(version, run id) of a new attempt: later than every version there, and nobody else's."""
+    tags = [*_children(spark, f"{root}/versions"), current_tag(spark, root) or ""]
+    version = max((_numbers(t)[0] for t in tags), default=0) + 1
+    return version, version << 32 | secrets.randbits(32)
+
+
+def stored_observations(spark: SparkSession, root: str) -> DataFrame:
+    fs, p = _fs(spark, f"{root}/observations")
+    if not fs.exists(p):
+        return spark.createDataFrame([], OBS_SCHEMA)
+    return spark.read.schema(OBS_SCHEMA).parquet(f"{root}/observations")
 
 
 @dataclass
@@ -64,54 +126,96 @@ class Snapshot:
     root: str
     version: int
     catalog: DataFrame
-    manifest: DataFrame
+    manifest: DataFrame | None  # None: a store from before there were manifests
     stats: DataFrame
     token_index: DataFrame
+    gram_index: DataFrame
     observations: DataFrame  # every stored row; use ``visible_observations``
 
     def visible_observations(self) -> DataFrame:
-        owner = self.catalog.select("name", "frequency", "source_file", F.col("load_seq.run").alias("load_run"))
-        return self.observations.join(owner, ["name", "frequency", "source_file", "load_run"], "left_semi")
+        return C.owned_observations(self.observations, self.catalog)
 
     def state(self) -> State:
         return State(self.catalog, self.observations, self.manifest)
 
 
-def current_version(spark: SparkSession, root: str) -> int:
-    v = read_text(spark, f"{root}/CURRENT")
-    return int(v.strip().lstrip("v")) if v else 0
-
-
-def publish_snapshot(spark: SparkSession, root: str, state: State, new_observations: DataFrame | None,
-                     version: int, compression: str = "gzip") -> None:
-    """A5: write new observation partitions + the version's small tables, then
-    move ``CURRENT``. ``new_observations`` carry ``load_run`` = ``version``."""
-    if new_observations is not None:
-        (new_observations.select("name", "frequency", "country", "source_file", "date", "value", "load_run")
-         .repartition("frequency", "source_file")
-         .sortWithinPartitions("frequency", "load_run", "source_file", "name", "date")
-         .write.mode("append").option("compression", compression)
-         .partitionBy("frequency", "load_run").parquet(f"{root}/observations"))
-    vdir = f"{root}/versions/v{version}"
-    state.catalog.write.mode("overwrite").option("compression", compression).parquet(f"{vdir}/catalog")
+def write_run(spark: SparkSession, root: str, rows: DataFrame, run: int, compression: str = "gzip") -> DataFrame:
+    """Write a run's observations and return them as they were written, so that all that follows from them is derived
+    from the same rows and the input is read once. Names get a bloom filter."""
+    columns = ["name", "frequency", "country", "source_file", "date", "value"]
+    (rows.select(*columns, F.lit(run).cast("long").alias("load_run"))
+     .hint("rebalance", "frequency", "source_file")  # a huge file is split, small ones share a task
+     .sortWithinPartitions("frequency", "source_file", "name", "date")
+     .write.mode("append").option("compression", compression)
+     .option("parquet.bloom.filter.enabled#name", "true")
+     .partitionBy("frequency", "load_run").parquet(f"{root}/observations"))
+    return stored_observations(spark, root).where(F.col("load_run") == run)
+
+
+def publish_snapshot(spark: SparkSession, root: str, catalog: DataFrame, manifest: DataFrame, version: int, run: int,
+                     compression: str = "gzip") -> None:
+    """A5: write the version's small tables, mark it complete, then move ``CURRENT``."""
+    tag = f"v{version}_{run}"
+    vdir = f"{root}/versions/{tag}"
+    catalog.write.mode("overwrite").option("compression", compression).parquet(f"{vdir}/catalog")
     cat = spark.read.parquet(f"{vdir}/catalog")
-    state.manifest.write.mode("overwrite").option("compression", compression).parquet(f"{vdir}/manifest")
+    manifest.write.mode("overwrite").option("compression", compression).parquet(f"{vdir}/manifest")
     ST.stats_table(cat).write.mode("overwrite").parquet(f"{vdir}/stats")
     E.build_token_index(cat).write.mode("overwrite").option("compression", compression).parquet(f"{vdir}/token_index")
-    write_text_atomic(spark, f"{root}/CURRENT", f"v{version}")
+    E.build_gram_index(cat).write.mode("overwrite").option("compression", compression).parquet(f"{vdir}/gram_index")
+    write_text_atomic(spark, f"{vdir}/_COMPLETE", tag)
+    write_text_atomic(spark, f"{root}/CURRENT", tag)
+
 
+def open_snapshot(spark: SparkSession, root: str, tag: str | None = None) -> Snapshot | None:
+    """Open the current version, or the one named (None when there is no store yet). Tables an older store lacks
+    are derived from its catalog; a missing manifest is None, which calls for a rebuild."""
+    tag = tag or current_tag(spark, root)
+    if tag is None:
+        return None
+    vdir = f"{root}/versions/{tag}"
+    there = set(_children(spark, vdir))
 
-def open_snapshot(spark: SparkSession, root: str) -> Snapshot | None:
-    """Open the current version (None when there is no store yet).
-    Re-opening after a publish is the refresh; callers ``unpersist`` caches."""
-    v = current_version(spark, root)
-    if v == 0:
+    def table(name: str) -> DataFrame | None:
+        return spark.read.parquet(f"{vdir}/{name}") if name in there else None
+    raw = table("catalog")
+    if raw is None:
         return None
-    vdir = f"{root}/versions/v{v}"
-    obs_path = f"{root}/observations"
-    obs_schema = ("name string, frequency string, country string, source_file string, date date, "
-                  "value double, load_run bigint")
-    fs, p = _fs(spark, obs_path)
-    obs = spark.read.schema(obs_schema).parquet(obs_path) if fs.exists(p) else spark.createDataFrame([], obs_schema)
-    return Snapshot(root, v, spark.read.parquet(f"{vdir}/catalog"), spark.read.parquet(f"{vdir}/manifest"),
-                    spark.read.parquet(f"{vdir}/stats"), spark.read.parquet(f"{vdir}/token_index"), obs)
+    cat = C.evolve_catalog(raw)
+    manifest = table("manifest") if "source_file" in raw.columns else None
+    derived = {n: table(n) for n in ("stats", "token_index", "gram_index")}
+    make = {"stats": ST.stats_table, "token_index": E.build_token_index, "gram_index": E.build_gram_index}
+    derived = {n: make[n](cat) if t is None else t for n, t in derived.items()}
+    return Snapshot(root, _numbers(tag)[0], cat, manifest, observations=stored_observations(spark, root), **derived)
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> tuple[int, int]:
+    """Delete versions older than the last ``keep`` complete ones, and runs that no kept version names (also what dead
+    attempts left). Not to be run while a build is under way. Returns (versions, run partitions) deleted."""
+    done = complete_versions(spark, root)
+    kept = set(done[-max(1, keep):]) | {current_tag(spark, root)}
+    live: set[int] = set()
+    for tag in kept - {None}:  # a handful of versions; a version names as many runs as were not compacted since
+        snap = open_snapshot(spark, root, tag)
+        live |= {r["run"] for r in snap.catalog.select(F.col("load_seq.run").alias("run")).distinct().collect()}
+    gone_versions = [t for t in _children(spark, f"{root}/versions") if t not in kept]
+    for t in gone_versions:
+        _delete(spark, f"{root}/versions/{t}")
+    gone = 0
+    for f in _children(spark, f"{root}/observations"):
+        for r in _children(spark, f"{root}/observations/{f}") if f.startswith("frequency=") else []:
+            if r.startswith("load_run=") and int(r.removeprefix("load_run=")) not in live:
+                _delete(spark, f"{root}/observations/{f}/{r}")
+                gone += 1
+    return len(gone_versions), gone
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """Rewrite the visible rows as one run and publish it: superseded rows are then in no run that is named."""
+    snap = open_snapshot(spark, root)
+    if snap is None or snap.manifest is None:
+        return
+    version, run = new_run(spark, root)
+    write_run(spark, root, snap.visible_observations(), run)
+    cat = snap.catalog.withColumn("load_seq", F.struct(F.lit(run).cast("long").alias("run"), F.col("load_seq.country_rank"), F.col("load_seq.file")))
+    publish_snapshot(spark, root, cat, snap.manifest, version, run)

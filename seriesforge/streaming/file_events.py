@@ -4,13 +4,13 @@ H1/H2 are row-local expressions (no join: the roots are a short ordered
 list, so "first root that is a prefix" is an ordered CASE). H3 in batch form
 sessionises with a 30 s gap using hour buckets (no single-task global
 window over events); the streaming form uses ``session_window`` keyed by a
-constant, which Spark requires for streaming session windows - file events
-are low-rate, so one task per micro-batch is the right size.
+constant, which Spark requires for streaming session windows. H4 needs no
+sessions: a micro-batch is a burst.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,22 +81,32 @@ def debounced_stream(events: DataFrame, watermark: str = "1 minute") -> DataFram
             .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "countries"))
 
 
-def continuous_refresh(spark, events_dir: str, schema, roots: Sequence[tuple[str, str]], on_batch,
-                       checkpoint: str, once: bool = False):
-    """H4: read change events as a stream, debounce, and call ``on_batch(countries)``
-    (normally ``maintenance.build_store``) for each session. Failures are
-    logged by the caller's function and the stream goes on; ``once`` runs the
-    available events and stops (trigger availableNow)."""
-    ev = spark.readStream.schema(schema).parquet(events_dir)
-    sessions = debounced_stream(route_country(relevant_changes(ev), roots))
+def continuous_refresh(spark, events_dir: str, schema, roots: Sequence[tuple[str, str]], on_batch: Callable[[list[str]], object],
+                       checkpoint: str, once: bool = False, every: str = DEBOUNCE):
+    """H4: read change events as a stream and call ``on_batch(countries)`` (normally ``maintenance.build_store``) once for
+    each burst: what comes in ``every`` is one micro-batch, its countries are one update. There is no watermark, so a late
+    event refreshes too; an update compares files by time, so one more does no harm. A failed update is printed and its
+    countries are tried again with the next batch. ``once`` takes what is there as read and updates all countries."""
+    events = route_country(relevant_changes(spark.readStream.schema(schema).parquet(events_dir)), roots)
+    failed: set[str] = set()
+
+    def update(countries: list[str]) -> None:
+        try:
+            on_batch(countries)
+            failed.clear()
+        except Exception as exc:  # a failed update is reported, the stream continues
+            print(f"update failed for {countries}: {exc}")
+            failed.update(countries)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        for row in batch.select("countries").collect():  # one row per finished session
-            try:
-                on_batch(list(row["countries"]))
-            except Exception as exc:  # a failed update is reported, the stream continues
-                print(f"update failed for {row['countries']}: {exc}")
-
-    w = sessions.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
-    w = w.trigger(availableNow=True) if once else w.trigger(processingTime="5 seconds")
-    return w.start()
+        seen = {r["country"] for r in batch.select("country").distinct().collect()}  # one row a root at most
+        if seen and not once:
+            update(sorted(seen | failed))
+
+    w = events.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
+    if not once:
+        return w.trigger(processingTime=every).start()
+    q = w.trigger(availableNow=True).start()
+    q.awaitTermination()
+    update([c for c, _ in roots])
+    return q

@@ -1,15 +1,17 @@
 """H5/H6: request logs as streams.
 
 H5 keeps M5 up to date (update mode, state = one count per key and month).
-H6 applies M6 / M7 per identity with ``applyInPandasWithState``: the state is
-one small tuple per identity (month and count, or window start and admitted
-count), so state size grows with identities, not with requests. Rows of one
-identity may arrive in several Arrow chunks of a call; they are sorted over
-all chunks of the call before the rule runs.
+H6 applies M6 / M7 per identity with ``applyInPandasWithState``. The state is
+small: a count for each month seen, or the open window's start and admitted
+count; it grows with identities, not with requests. A late request counts in
+its own month, and never gives a newer month its quota back. Requests of one
+micro-batch are taken in time order; how many an identity can have in one is
+bounded by the source's rate option (``maxFilesPerTrigger``).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,28 +23,26 @@ from seriesforge.functions.dims import DAILY_WINDOW_LIMITS, MONTHLY_LIMITS
 from seriesforge.operators import metering as MT
 
 
-def monthly_usage_stream(attributed: DataFrame) -> DataFrame:
-    """H5: streaming M5 (use output mode ``update`` or ``complete``)."""
-    return MT.monthly_usage(attributed)
+def monthly_usage_stream(attributed: DataFrame, hidden=None) -> DataFrame:
+    """H5: streaming M5 (use output mode ``update`` or ``complete``). ``hidden``: a list of patterns."""
+    return MT.monthly_usage(attributed, hidden)
 
 
 OUT_SCHEMA = "identity string, event_id long, ts timestamp, used long, admitted boolean"
-STATE_SCHEMA = "period string, anchor timestamp, count long"
+STATE_SCHEMA = "months string, anchor timestamp, count long"
 
 
 def _monthly_fn(key, chunks: Iterator[pd.DataFrame], state):
     (identity,) = key
     pdf = pd.concat(list(chunks)).sort_values(["ts", "event_id"])
-    month, count = (state.get[0], state.get[2]) if state.exists else (None, 0)
+    months = json.loads(state.get[0]) if state.exists else {}
     out = []
     for ts, eid, tier in zip(pdf["ts"], pdf["event_id"], pdf["tier"]):
         m = pd.Timestamp(ts).strftime("%Y-%m")
-        if m != month:
-            month, count = m, 0
-        count += 1  # refused requests are counted too
+        months[m] = count = months.get(m, 0) + 1  # refused requests are counted too
         lim = MONTHLY_LIMITS.get(tier)
         out.append((identity, int(eid), ts, count, lim is None or count <= lim))
-    state.update((month, None, count))
+    state.update((json.dumps(months), None, 0))
     yield pd.DataFrame(out, columns=["identity", "event_id", "ts", "used", "admitted"])
 
 
@@ -65,10 +65,10 @@ def _anchored_fn(key, chunks: Iterator[pd.DataFrame], state):
     yield pd.DataFrame(out, columns=["identity", "event_id", "ts", "used", "admitted"])
 
 
-def admission_stream(attributed: DataFrame, rule: str = "monthly") -> DataFrame:
+def admission_stream(attributed: DataFrame, rule: str = "monthly", hidden=None) -> DataFrame:
     """H6: per-identity admission with state; ``rule`` is monthly (M6) or
     anchored (M7). Output mode ``append``."""
-    c = MT.charged(attributed)
+    c = MT.charged(attributed, hidden)
     if rule == "monthly":
         c = c.where(F.col("auth_type") == "user_api_key").withColumn("identity", F.col("api_key"))
         fn = _monthly_fn

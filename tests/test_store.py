@@ -4,9 +4,11 @@ import os
 import time
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from seriesforge.operators import reshape as RS
+from seriesforge.operators import series as SR
 from seriesforge.plans.maintenance import build_store
 from seriesforge.sources import snapshot as SN
 
@@ -31,7 +33,8 @@ def test_rebuild_then_incremental(spark, scratch):
     _panel(f"{data}/cn/a_m.parquet", ["2020-01-01", "2020-02-01", "2020-03-01"],
            {"S1": [1.0, 2.0, 3.0], "S2": [10.0, None, 30.0]}, t0)
     _panel(f"{data}/jp/b_m.parquet", ["2020-01-01", "2020-02-01"], {"S1": [100.0, 200.0], "S3": [5.0, None]}, t0)
-    assert build_store(spark, root, roots) is None  # no store yet -> rebuild
+    summary = build_store(spark, root, roots).first()  # no store yet -> rebuild
+    assert (summary["files_processed"], summary["series"], summary["data_points"]) == (2, 3, 5)
     cat, snap = _catalog(spark, root)
     assert cat == {"S1": ("b_m.parquet", 2), "S2": ("a_m.parquet", 2), "S3": ("b_m.parquet", 1)}
     vis = snap.visible_observations()
@@ -67,6 +70,129 @@ def test_rebuild_then_incremental(spark, scratch):
     assert man == {"b_m.parquet", "c_m.parquet"}
 
 
+def _two_panels(scratch):
+    data = os.path.join(scratch, "data")
+    t0 = time.time() - 1000
+    _panel(f"{data}/cn/a_m.parquet", ["2020-01-01", "2020-02-01"], {"S1": [1.0, 2.0]}, t0)
+    _panel(f"{data}/jp/b_m.parquet", ["2020-01-01", "2020-02-01"], {"S2": [5.0, 6.0]}, t0)
+    return data, [("cn", f"{data}/cn"), ("jp", f"{data}/jp")], t0
+
+
+def _served(spark, root):
+    """What lookups on the stored tables answer: name -> (count, values)."""
+    snap = SN.open_snapshot(spark, root)
+    names = spark.createDataFrame([(n,) for n in ("S1", "S2", "S3")], "name string")
+    req = names.select(F.lit(1).alias("request_id"), "name", F.lit("m").alias("freq"), F.lit(None).cast("string").alias("start_date"), F.lit(None).cast("string").alias("end_date"))
+    got = SR.get_series(SR.resolve_series(req, snap.catalog), snap.observations, nested=True).collect()
+    return {r["series_name"]: (r["count"], sorted(x["value"] for x in r["data"])) for r in got}
+
+
+def test_run_that_died_before_the_pointer_moved(spark, scratch, monkeypatch):
+    """Rows were written, then the run died; the next one must not see them twice."""
+    data, roots, t0 = _two_panels(scratch)
+    root = os.path.join(scratch, "store")
+    publish = SN.publish_snapshot
+
+    def dies(*args, **kw):
+        raise RuntimeError("lost")
+    monkeypatch.setattr(SN, "publish_snapshot", dies)
+    with pytest.raises(RuntimeError):
+        build_store(spark, root, roots)
+    assert SN.open_snapshot(spark, root) is None
+    monkeypatch.setattr(SN, "publish_snapshot", publish)
+    build_store(spark, root, roots)
+    assert _served(spark, root) == {"S1": (2, [1.0, 2.0]), "S2": (2, [5.0, 6.0])}
+    # an update that dies after its tables, before the pointer
+    _panel(f"{data}/jp/b_m.parquet", ["2020-01-01", "2020-02-01"], {"S2": [7.0, 8.0]}, t0 + 10)
+    write = SN.write_text_atomic
+    monkeypatch.setattr(SN, "write_text_atomic", lambda sp, path, text: dies() if path.endswith("_COMPLETE") else write(sp, path, text))
+    with pytest.raises(RuntimeError):
+        build_store(spark, root, roots)
+    assert _served(spark, root)["S2"] == (2, [5.0, 6.0])
+    monkeypatch.setattr(SN, "write_text_atomic", write)
+    build_store(spark, root, roots)
+    assert _served(spark, root) == {"S1": (2, [1.0, 2.0]), "S2": (2, [7.0, 8.0])}
+    assert SN.open_snapshot(spark, root).visible_observations().count() == 4
+    # what the dead runs left goes, what is visible stays
+    versions, runs = SN.vacuum(spark, root, keep=1)
+    assert versions >= 2 and runs >= 2
+    assert _served(spark, root) == {"S1": (2, [1.0, 2.0]), "S2": (2, [7.0, 8.0])}
+
+
+def test_lost_pointer(spark, scratch):
+    _, roots, _ = _two_panels(scratch)
+    root = os.path.join(scratch, "store")
+    build_store(spark, root, roots)
+    os.remove(f"{root}/CURRENT")
+    assert SN.current_version(spark, root) == 1 and _served(spark, root)["S1"] == (2, [1.0, 2.0])
+    report = build_store(spark, root, roots).first()  # found again, nothing to do: no second copy
+    assert report["changed"] == 0 and SN.open_snapshot(spark, root).visible_observations().count() == 4
+
+
+def test_pointer_is_replaced_in_one_step(spark, scratch):
+    path = os.path.join(scratch, "pointer")
+    for text in ("one", "two"):
+        SN.write_text_atomic(spark, path, text)
+        assert SN.read_text(spark, path) == text
+    assert [f for f in os.listdir(scratch) if f.endswith(".tmp")] == []
+
+
+def test_compact(spark, scratch):
+    data, roots, t0 = _two_panels(scratch)
+    root = os.path.join(scratch, "store")
+    build_store(spark, root, roots)
+    _panel(f"{data}/jp/b_m.parquet", ["2020-01-01"], {"S3": [9.0]}, t0 + 10)
+    build_store(spark, root, roots)
+    assert SN.open_snapshot(spark, root).observations.count() == 5
+    SN.compact(spark, root)
+    SN.vacuum(spark, root, keep=1)
+    snap = SN.open_snapshot(spark, root)
+    assert snap.observations.count() == snap.visible_observations().count() == 3
+    assert _served(spark, root) == {"S1": (2, [1.0, 2.0]), "S3": (1, [9.0])}
+    _panel(f"{data}/jp/b_m.parquet", ["2020-01-01"], {"S3": [10.0]}, t0 + 20)
+    build_store(spark, root, roots)  # updates go on after it
+    assert _served(spark, root)["S3"] == (1, [10.0])
+
+
+def test_old_stores_are_rebuilt(spark, scratch):
+    """No manifest, or a catalog without files: the next run loads everything again."""
+    _, roots, _ = _two_panels(scratch)
+    root = os.path.join(scratch, "store")
+    build_store(spark, root, roots)
+    tag = SN.current_tag(spark, root)
+    SN._delete(spark, f"{root}/versions/{tag}/manifest")
+    SN._delete(spark, f"{root}/versions/{tag}/gram_index")
+    snap = SN.open_snapshot(spark, root)
+    assert snap.manifest is None and snap.gram_index.count() > 0
+    assert build_store(spark, root, roots).columns == ["files_processed", "series", "data_points"]
+    assert SN.current_version(spark, root) == 2 and _served(spark, root)["S2"] == (2, [5.0, 6.0])
+
+
+def test_unknown_countries_are_told(spark, scratch):
+    _, roots, _ = _two_panels(scratch)
+    with pytest.warns(UserWarning, match="zz"):
+        build_store(spark, os.path.join(scratch, "store"), roots, countries=["cn", "zz"])
+
+
+def test_stored_lookup_prunes(spark, scratch):
+    """Lookups on the stored rows name the run and the frequency (partitions) and the first day (row groups)."""
+    from seriesforge.plans import serving as SV
+    _, roots, _ = _two_panels(scratch)
+    root = os.path.join(scratch, "store")
+    build_store(spark, root, roots)
+    snap = SN.open_snapshot(spark, root)
+    req = spark.createDataFrame([(1, "S1", "m", "2020-02", None)], "request_id int, name string, freq string, start_date string, end_date string")
+    out = SV.get_series(snap, req)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("FileScan") if "load_run" in x and "PartitionFilters" in x)
+    partition = scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "load_run" in partition and "frequency" in partition
+    assert "date" in scan.split("PushedFilters: [")[1].split("]")[0]
+    assert [(r["count"], str(r["min_date"])) for r in out.collect()] == [(1, "2020-02-01")]
+    q = spark.createDataFrame([(1, "s", None, None, 50), (2, "%", None, "jp", 50)], "query_id int, q string, freq string, country string, lim int")
+    assert sorted((r["query_id"], r["name"]) for r in SV.search(snap, q).collect()) == [(1, "S1"), (1, "S2"), (2, "S2")]
+
+
 def test_csv_roundtrip(spark, scratch):
     wide = spark.createDataFrame([("2020-01-01", 1.5, 2.0)], "Date string, `Japan, CPI` double, `Japan, PPI` double")
     wide = wide.withColumn("Date", F.to_date("Date"))

@@ -56,14 +56,59 @@ def test_admission_stream_equals_batch(spark, scratch):
     assert got_a == want_a
 
 
-def test_continuous_refresh_once(spark, scratch):
-    ev_dir = os.path.join(scratch, "events")
-    FX.file_events(spark, SF).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(ev_dir)
+def test_late_requests_give_no_quota_back(spark, scratch):
+    """Out of order over several micro-batches: January counts in January, February goes on where it was."""
+    log_dir = os.path.join(scratch, "log")
+    rows = [(i, f"2024-02-01 00:00:{i:02d}") for i in range(10)] + [(10, "2024-01-31 23:00:00")] + [(11, "2024-02-02 00:00:00"), (12, "2024-01-31 23:30:00")]
+    for part in (rows[:10], rows[10:11], rows[11:]):
+        df = spark.createDataFrame([(i, t, "eae_1", "series", 200, "user_api_key", "free", "a@x.org") for i, t in part],
+                                   "event_id long, ts string, api_key string, kind string, status int, auth_type string, tier string, email string")
+        df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(log_dir)
+    stream = spark.readStream.schema(spark.read.parquet(log_dir).schema).option("maxFilesPerTrigger", 1).parquet(log_dir)
+    got = {r["event_id"]: (r["used"], r["admitted"]) for r in _run(U.admission_stream(stream, "monthly"), "h6late", "append", scratch).collect()}
+    assert got[10] == (1, True) and got[11] == (11, False) and got[12] == (2, True)
+
+
+def _events(spark, scratch, rows, name="events"):
+    path = os.path.join(scratch, name)
+    spark.createDataFrame(rows, "ts string, path string, kind string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_continuous_refresh(spark, scratch):
+    """A micro-batch is one update of its countries, late events included; a failed one is tried again."""
+    path = _events(spark, scratch, [("2024-01-01 00:00:00", "cn/a_m.parquet", "modified"), ("2024-01-01 00:10:00", "jp/b_q.parquet", "created"), ("2024-01-01 00:10:01", "jp/c.csv", "created")])
     seen = []
-    q = H.continuous_refresh(spark, ev_dir, spark.read.parquet(ev_dir).schema, FX.EVENT_ROOTS,
-                             lambda countries: seen.append(countries), os.path.join(scratch, "ck"), once=True)
-    q.awaitTermination(120)
-    batch = H.debounced_batches(H.route_country(H.relevant_changes(FX.file_events(spark, SF)), FX.EVENT_ROOTS))
-    n_batch = batch.count()
-    # every session but the last open one is emitted once the watermark passes
-    assert 0 < len(seen) <= n_batch and len(seen) >= n_batch - 1
+
+    def on_batch(countries):
+        seen.append(countries)
+        if len(seen) == 1:
+            raise RuntimeError("no luck")
+    q = H.continuous_refresh(spark, path, spark.read.parquet(path).schema, FX.EVENT_ROOTS, on_batch, os.path.join(scratch, "ck"), every="0 seconds")
+    q.processAllAvailable()
+    assert seen == [["cn", "jp"]]
+    _events(spark, scratch, [("2023-06-01 00:00:00", "kr/late_a.parquet", "deleted")])
+    q.processAllAvailable()
+    q.stop()
+    assert seen[1:] == [["cn", "jp", "kr"]]
+
+
+def test_refresh_once_builds_the_store(spark, scratch):
+    """One shot: what is there is taken as read, and all countries are updated in one run."""
+    import pandas as pd
+
+    from seriesforge.plans.maintenance import build_store
+    from seriesforge.sources import snapshot as SN
+    roots = [(c, os.path.join(scratch, c) + "/") for c in ("cn", "jp")]
+    for c, folder in roots:
+        os.makedirs(folder)
+        pd.DataFrame({"Date": pd.to_datetime(["2020-01-01"]), f"{c} x": [1.0]}).to_parquet(f"{folder}a_m.parquet", index=False)
+    path = _events(spark, scratch, [("2024-01-01 00:00:00", f"{roots[0][1]}a_m.parquet", "created")])
+    calls, store = [], os.path.join(scratch, "store")
+
+    def update(countries):
+        calls.append(countries)
+        build_store(spark, store, [(c, r.rstrip("/")) for c, r in roots], countries=countries)
+    H.continuous_refresh(spark, path, spark.read.parquet(path).schema, roots, update, os.path.join(scratch, "ck"), once=True)
+    assert calls == [["cn", "jp"]]
+    assert SN.open_snapshot(spark, store).catalog.count() == 2
