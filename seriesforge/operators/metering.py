@@ -41,12 +41,15 @@ def derive_tier(members: DataFrame) -> DataFrame:
     return members.select("email", "name", tier_expr(F.col("tiers"), F.col("status")).alias("tier"))
 
 
-def active_keys(issues: DataFrame) -> DataFrame:
+def active_keys(issues: DataFrame, carry: tuple[str, ...] = ("name", "tier", "member_uuid")) -> DataFrame:
     """M2: from a key-issue log (email, api_key, created_at): the latest key
-    of each email is active, rotated ones are not."""
+    of each email is active, rotated ones are not. A rotation keeps what the
+    key before it had: null columns of ``carry`` take the last value given."""
     latest = issues.groupBy("email").agg(F.max_by("api_key", F.struct("created_at", "api_key")).alias("_latest"))
+    before = Window.partitionBy("email").orderBy("created_at", "api_key").rowsBetween(Window.unboundedPreceding, 0)
+    kept = [F.last(c, ignorenulls=True).over(before).alias(c) for c in carry if c in issues.columns]
     return (issues.join(latest, "email")
-            .select("api_key", "email", "created_at", (F.col("api_key") == F.col("_latest")).alias("is_active")))
+            .select("api_key", "email", "created_at", (F.col("api_key") == F.col("_latest")).alias("is_active"), *kept))
 
 
 def sync_tiers(keys: DataFrame, members: DataFrame, now: Column | None = None) -> DataFrame:

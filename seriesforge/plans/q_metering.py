@@ -59,13 +59,15 @@ def derive_tier(spark, d):
 
 
 ISSUES_SQL = """SELECT concat('u', CAST(user_id AS VARCHAR(10)), '@x.org') AS email,
-  concat('eae_', CAST(user_id AS VARCHAR(10)), '_', CAST(event_id AS VARCHAR(20))) AS api_key, ts AS created_at
+  concat('eae_', CAST(user_id AS VARCHAR(10)), '_', CAST(event_id AS VARCHAR(20))) AS api_key, ts AS created_at,
+  CASE WHEN event_id % 3 = 0 THEN concat('User ', CAST(event_id AS VARCHAR(20))) END AS name, CASE WHEN event_id % 4 = 0 THEN 'daily' WHEN event_id % 4 = 1 THEN 'free' END AS tier
   FROM {events} WHERE event_type = 'signup'"""
 
 
 @query("active_keys", with_ctes(
-    """SELECT api_key, email, created_at, row_number() OVER (PARTITION BY email ORDER BY created_at DESC, api_key DESC) = 1
-       AS is_active FROM issues""", issues=FX.fx_sql(ISSUES_SQL)))
+    """SELECT api_key, email, created_at, row_number() OVER (PARTITION BY email ORDER BY created_at DESC, api_key DESC) = 1 AS is_active,
+         last_value(name IGNORE NULLS) OVER (PARTITION BY email ORDER BY created_at, api_key ROWS UNBOUNDED PRECEDING) AS name,
+         last_value(tier IGNORE NULLS) OVER (PARTITION BY email ORDER BY created_at, api_key ROWS UNBOUNDED PRECEDING) AS tier FROM issues""", issues=FX.fx_sql(ISSUES_SQL)))
 def active_keys(spark, d):
     """M2 over a key-issue log derived from signup events (re-issue = rotation)."""
     return MT.active_keys(FX.fx(spark, ISSUES_SQL, d))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.functions.dims import COUNTRIES, EXCLUDED_PATTERNS, country_rank
+from seriesforge.functions.dims import COUNTRIES, EXCLUDED_PATTERNS
 
 VALID_SUFFIX_REGEX = r"_([mqa])\.parquet$"
 
@@ -80,17 +80,3 @@ def restrict_countries(files: DataFrame, codes: Sequence[str] | None) -> tuple[D
     chosen = [c for c in codes if c in known]
     return files.where(F.col("country").isin(chosen)), unknown
 
-
-def load_order(files: DataFrame, run: int | Column, country_order: Sequence[str] | None = None) -> DataFrame:
-    """Attach ``load_seq`` = (run, country rank, path): later loads win."""
-    if country_order:
-        rank = F.when(F.lit(False), F.lit(0))
-        for i, c in enumerate(country_order):
-            rank = rank.when(F.col("country") == c, F.lit(i))
-        rank = rank.otherwise(F.lit(len(country_order)))
-    else:
-        rank = country_rank(F.col("country"))
-    run_col = run if isinstance(run, Column) else F.lit(run)
-    return files.withColumn("load_seq", F.struct(run_col.cast("long").alias("run"),
-                                                 rank.cast("int").alias("country_rank"),
-                                                 F.col("path").alias("file")))
