@@ -33,18 +33,26 @@ def units_of(raw: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndar
     if not words:
         return raw, offsets
     starts, ends, first = T.words_of(raw, offsets)
-    return T.Sums(raw, T.ROOTS[0]).spans(starts, ends), first
+    return T.word_hashes(raw, starts, ends, T.ROOTS[0]), first
 
 
-def batch_runs(raw: np.ndarray, offsets: np.ndarray, words: bool, k: int, m: int):
-    """(ah, rh, text number, start, windows, multi) of the runs of a batch, or None."""
+def batch_runs(raw: np.ndarray, offsets: np.ndarray, words: bool, k: int, m: int, block: int = 1 << 21):
+    """(ah, rh, text number, start, windows, multi) of the runs of a batch, or None. Of very long texts ``block`` windows
+    are looked at at a time; a run ends there too, which only makes two classes of what could be one."""
     units, first = units_of(raw, offsets, words)
-    n = len(units) - k + 1
-    if n < 1:
+    windows = len(units) - k + 1
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    parts = [_runs(units[at:at + block + k - 1], text[at:at + block + k - 1], at, k, m) for at in range(0, windows, block)]
+    if not parts:
         return None
+    ah, rh, own, start, n, multi = (np.concatenate(c) for c in zip(*parts))
+    return ah, rh, own, start - first[own], n, multi
+
+
+def _runs(units: np.ndarray, text: np.ndarray, offset: int, k: int, m: int):
+    n = len(units) - k + 1
     grams = T.Sums(units, T.ROOTS[0]).windows(m)
     anchor = T.window_min(grams, k - m + 1)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     inside = text[:n] == text[k - 1:]
     moved = np.append(True, anchor[1:] != anchor[:-1])
     changed = moved.copy()
@@ -56,7 +64,7 @@ def batch_runs(raw: np.ndarray, offsets: np.ndarray, words: bool, k: int, m: int
     ends = edges[np.searchsorted(edges, starts, side="right")]
     moves = np.cumsum(moved)
     rh = T.Sums(units, T.ROOTS[1]).spans(starts, ends + k - 1)
-    return grams[anchor[starts]], rh, text[starts], starts - first[text[starts]], ends - starts, moves[ends - 1] > moves[starts]
+    return grams[anchor[starts]], rh, text[starts], starts + offset, ends - starts, moves[ends - 1] > moves[starts]
 
 
 def runs(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:

@@ -92,6 +92,18 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, root: int, block: int = 1 << 21) -> np.ndarray:
+    """Hash of each word, worked out over about ``block`` bytes at a time."""
+    out = np.empty(len(starts), U)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, side="right")))
+        at = starts[i]
+        out[i:j] = Sums(raw[at:ends[j - 1]], root).spans(starts[i:j] - at, ends[i:j] - at)
+        i = j
+    return out
+
+
 def window_min(values: np.ndarray, width: int, block: int = 1 << 23) -> np.ndarray:
     """For each i the position of a least one of values[i:i+width], by its upper 40 bits, the first if several are.
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ from seriesforge.llm._frames import arrow_map, documents
 
 #: Chunks kept per generation of a worker's cache, and the longest chunk kept.
 CACHE, CACHED_BYTES = 400_000, 64
+#: The words of a lower-case ASCII chunk without apostrophes, and the signs that may stand after a word.
+PIECES, AFTER = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+"), b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space of Unicode (fixed values).
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -32,14 +35,24 @@ class Chunks:
 
     The vocabularies this serves drop white space, lower case, and have no rule that looks beyond white space. So a
     text's ids are those of its chunks; A-Z are lowered first, unless a special token might be spelt or an accent follow
-    (lower letters and accents compose more often); and a word of letters is kept apart from the full stops and commas
-    after it."""
+    (lower letters and accents compose more often); and the words of a chunk are kept apart where that is plain."""
 
     def __init__(self, most: int = CACHE):
         self.now: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.most = most
 
+    @staticmethod
+    def parts(chunk: bytes) -> list[bytes] | tuple[bytes, ...]:
+        """The words of a chunk where the vocabularies' rule is plain: lower-case ASCII without apostrophes, or a word of
+        letters with ASCII signs after it. Else the chunk itself."""
+        if chunk.isalpha() or b"'" in chunk or b"<|" in chunk:
+            return (chunk,)
+        if chunk.isascii():
+            return PIECES.findall(chunk) if chunk == chunk.lower() and chunk.decode().isprintable() else (chunk,)
+        word = chunk.rstrip(AFTER)
+        return (word, chunk[len(word):]) if word != chunk and word.decode("utf-8", "replace").lower().isalpha() else (chunk,)
+
     def encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """The little-endian unsigned 32-bit ids of each chunk."""
         raise NotImplementedError
@@ -48,24 +61,17 @@ class Chunks:
         """The ids of each text, as bytes of little-endian unsigned 32-bit numbers."""
         chunks = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         now, old = self.now, self.old
-        missing = [c for c in set().union(*chunks) if c not in now]
-        joined = {}
-        for c in missing:
-            word = c.rstrip(b".,")
-            if word != c and word.decode("utf-8", "replace").lower().isalpha():
-                joined[c] = word, c[len(word):]
-        new = []
-        for c in {x for c in missing for x in joined.get(c, (c,))}:
-            if c in old:
-                now[c] = old[c]
-            elif c not in now:
-                new.append(c)
+        missing = set().union(*chunks).difference(now)
+        joined = {c: parts for c in missing if not c.isalpha() and len(parts := self.parts(c)) > 1}
+        wanted = missing.difference(joined).union(*joined.values()).difference(now)
+        kept = wanted.intersection(old)
+        now.update((c, old[c]) for c in kept)
+        new = list(wanted - kept)
         now.update(self.encode_new(new))
-        now.update((c, now[x] + now[y]) for c, (x, y) in joined.items())
+        now.update((c, b"".join([now[p] for p in parts])) for c, parts in joined.items())
         out = [b"".join(map(now.__getitem__, c)) for c in chunks]
-        for c in {*missing, *new}:
-            if len(c) > CACHED_BYTES:
-                now.pop(c, None)
+        for c in [c for c in missing if len(c) > CACHED_BYTES] + [c for c in new if len(c) > CACHED_BYTES]:
+            now.pop(c, None)
         if len(now) >= self.most:
             self.old, self.now = now, {}
         return out

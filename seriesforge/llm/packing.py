@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +46,22 @@ class Library(Chunks):
         self.letters = byte_letters()
 
     def encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """A chunk of letters only is one word for the library's model; the others go through its whole pipeline."""
-        out, rest = {}, []
-        words, normal = self.tokenizer.model.tokenize, self.tokenizer.normalizer.normalize_str
+        """A word of letters goes to the library's model, other chunks through its whole pipeline."""
+        out: dict[bytes, bytes] = {}
+        rest = []
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
         for c in chunks:
             if c.isalpha() and c.islower():  # ASCII
-                word = c.decode()
+                out[c] = array("I", [t.id for t in tokenize(c.decode())]).tobytes()
+                continue
+            text = c.decode("utf-8", "replace")
+            if text.isalpha() and is_normalized("NFC", text) and "Σ" not in text and (text := text.lower()).isalpha():
+                out[c] = array("I", [t.id for t in tokenize(text.encode().decode("latin-1").translate(letters))]).tobytes()
             else:
-                text = c.decode("utf-8", "replace")
-                if not (text.isalpha() and (text := normal(text)).isalpha()):
-                    rest.append(c)
-                    continue
-                word = text.encode().decode("latin-1").translate(self.letters)
-            out[c] = np.array([t.id for t in words(word)], "<u4").tobytes()
-        done = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)
-        out.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(rest, done))
+                rest.append(c)
+        if rest:
+            done = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)
+            out.update((c, array("I", e.ids).tobytes()) for c, e in zip(rest, done))
         return out
 
 

@@ -79,11 +79,12 @@ def fences(rows: DataFrame, sketch: int = SKETCH, group: int = GROUP, spreads: f
         return sketches.groupBy(*by).agg(F.sum("n").alias(f"{prefix}_n"), *(F.kll_merge_agg_double(m, F.lit(sketch)).alias(f"{prefix}_{m}") for m in SLACK))
 
     of_lang = merged(["lang"], "lang").withColumnRenamed("lang", "_lang")
-    both = sketches.join(of_lang, sketches["lang"].eqNullSafe(of_lang["_lang"])).crossJoin(F.broadcast(merged([], "all")))  # one row beside each group
+    both = sketches.join(of_lang, sketches["lang"].eqNullSafe(of_lang["_lang"]))
+    every = merged([], "all").first()  # one row: a sketch a measure
 
     def fence(m: str):
-        best = F.when(F.col("n") >= group, F.col(m)).when(F.col("lang_n") >= group, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
-        q = [F.when(F.col("all_n") > 0, F.kll_sketch_get_quantile_double(best, F.lit(r))) for r in (0.1, 0.5)]
+        best = F.when(F.col("n") >= group, F.col(m)).when(F.col("lang_n") >= group, F.col(f"lang_{m}")).otherwise(F.lit(bytearray(every[f"all_{m}"] or b"")))
+        q = [F.kll_sketch_get_quantile_double(best, F.lit(r)) if every["all_n"] else F.lit(None).cast("double") for r in (0.1, 0.5)]
         return q[1], spreads * (q[1] - q[0]) + SLACK[m]
 
     return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import bpe
+from seriesforge.llm import bpe, sql
 from seriesforge.llm._frames import prepare, read
 from seriesforge.llm.packing import best_fit_packing
 from seriesforge.llm.pii import KINDS, pii_spans
@@ -27,14 +27,15 @@ ORACLE: dict[str, str] = {}
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
-def query(key: str, sql: str | None = None):
+def query(key: str, twin: str | None = None):
+    """Register a query, with its DuckDB SQL if there is any."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(prepare(spark), sf_dir)
         run.__name__, run.__doc__ = key, fn.__doc__
         QUERIES[key] = run
-        if sql is not None:
-            ORACLE[key] = sql
+        if twin is not None:
+            ORACLE[key] = twin
         return fn
     return deco
 
@@ -45,14 +46,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-@query("op3_substring")
+@query("op3_substring", sql.SUBSTRING)
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after repeated windows of 35 words are removed."""
     out = substring_dedup(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
-@query("op9_suffix")
+@query("op9_suffix", sql.SUFFIX)
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left after repeated strings of 200 bytes are removed."""
     out = suffix_dedup(read(spark, sf_dir, "documents"))
@@ -81,7 +82,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@query("op6_warc")
+@query("op6_warc", sql.WARC)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as segmented archives and read back."""
     return archive_round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

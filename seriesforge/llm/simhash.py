@@ -68,7 +68,7 @@ def near_codewords(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(raw: np.ndarray, offsets: np.ndarray, words: int = 3) -> np.ndarray:
     """Fingerprint of each text: majority bits of the XXH64 of its shingles."""
-    out = np.zeros(len(offsets) - 1, np.uint64)
+    out, h = np.zeros(len(offsets) - 1, np.uint64), xxhash.xxh64_intdigest
     low = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
     for t in range(len(out)):
         parts = low[offsets[t]:offsets[t + 1]].tobytes().split()
@@ -76,17 +76,15 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray, words: int = 3) -> np.nda
             continue
         line, n = b" ".join(parts), len(parts)
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        if n <= words:
-            hashes = [xxhash.xxh64_intdigest(line, SEED)]
-        else:
-            h = xxhash.xxh64_intdigest
-            hashes = [h(line[a:b], SEED) for a, b in zip(starts[:n - words + 1].tolist(), ends[words - 1:].tolist())]
+        del parts
+        many = max(1, n - words + 1)
+        starts = np.concatenate(([0], ends[:-1] + 1))[:many]
+        ends = ends[n - many:]
         votes = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 1 << 16):
-            part = np.array(hashes[i:i + (1 << 16)], "<u8")
+        for i in range(0, many, 1 << 16):
+            part = np.array([h(line[a:b], SEED) for a, b in zip(starts[i:i + (1 << 16)].tolist(), ends[i:i + (1 << 16)].tolist())], "<u8")
             votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[t] = np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0]
+        out[t] = np.packbits(votes * 2 > many, bitorder="little").view("<u8")[0]
     return out
 
 

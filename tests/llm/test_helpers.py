@@ -41,6 +41,21 @@ def test_hashes_tell_windows_apart():
     assert (T.Sums(units[1:], T.ROOTS[0]).windows(3) == h[1:]).all()
 
 
+def test_blocks():
+    """Runs of a text that is looked at in blocks cover the same windows, with the same anchors."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ab", "c", "def", "g"]) for _ in range(400)).encode(), b"", b"x " * 50]
+    raw, offsets = joined(texts)
+
+    def windows(found):
+        return {(int(t), int(s) + i): int(a) for a, _, t, s, n, _ in zip(*found) for i in range(n)}
+    for words in (True, False):
+        whole, parts = (windows(A.batch_runs(raw, offsets, words, 20, 8, b)) for b in (1 << 21, 37))
+        assert whole == parts and len(whole) == sum(max(0, (len(t.split()) if words else len(t)) - 19) for t in texts)
+    starts, ends, _ = T.words_of(raw, offsets)
+    assert (T.word_hashes(raw, starts, ends, T.ROOTS[0], 16) == T.Sums(raw, T.ROOTS[0]).spans(starts, ends)).all()
+
+
 def test_merged():
     s, e = A.merged(np.array([5, 0, 3, 9]), np.array([7, 2, 6, 10]))
     assert list(zip(s.tolist(), e.tolist())) == [(0, 2), (3, 7), (9, 10)]
