@@ -1,4 +1,4 @@
-"""Registered queries that go through files: A1, A4, A5/A6 with C7/C8, H5 and H6. Panels, stores and stream sinks lie below
+"""Registered queries that go through files: A1, A4, A5/A6 with C7/C8, and H4 to H6. Panels, stores and stream sinks lie below
 the session's checkpoint folder, which all machines share."""
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from seriesforge.plans import fixtures as FX
 from seriesforge.plans import state as S
 from seriesforge.plans.maintenance import build_store
 from seriesforge.plans.q_metering import BASE_M, MONTHLY
+from seriesforge.plans.q_streaming import EV, REL, ROUTE
 from seriesforge.plans.registry import BASE, BASE13, OBS1, query, with_ctes
 from seriesforge.session import ensure_checkpoint_dir
 from seriesforge.sources import files as FL
 from seriesforge.sources import panels as P
 from seriesforge.sources import snapshot as SN
+from seriesforge.streaming import file_events as H
 from seriesforge.streaming import usage as U
 
 
@@ -92,6 +94,24 @@ def snapshot_roundtrip(spark, d):
 
 # ---- streams over the events table ------------------------------------------------------
 
+@query("continuous_refresh", with_ctes(
+    """SELECT name, frequency, country, concat(country, '_', frequency, '.parquet') AS file_name, min_date, max_date, count FROM cat1
+       WHERE country IN (SELECT country FROM routed WHERE country IS NOT NULL)""", **BASE, ev=EV, rel=REL, routed=ROUTE))
+def continuous_refresh(spark, d):
+    """H4 joined to C7 and C8: the file events (FX8) come as a stream, and the store holds the panels of the countries
+    that they touch."""
+    roots = write_panels(spark, S.obs1(spark, d), scratch(spark, "panels"))
+    waiting, store = scratch(spark, "events"), scratch(spark, "store")
+    FX.file_events(spark, d).write.parquet(waiting)
+    q = H.continuous_refresh(spark, waiting, spark.read.parquet(waiting).schema, FX.EVENT_ROOTS,
+                             lambda countries: build_store(spark, store, roots, countries=countries), scratch(spark, "offsets"), every="0 seconds")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return SN.open_snapshot(spark, store).catalog.select("name", "frequency", "country", base_name("source_file").alias("file_name"), "min_date", "max_date", "count")
+
+
 def _attributed_stream(spark: SparkSession, d: str) -> DataFrame:
     """The request log (FX7) as a stream over the events table; keys and members as they stand."""
     events = spark.read.parquet(f"{d}/events.parquet")
