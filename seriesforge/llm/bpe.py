@@ -13,6 +13,7 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,17 @@ PIECES, AFTER = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+"), b"!\"#$%&()*+,-./:;<=>?
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+class Young(dict):
+    """Chunk -> ids; chunks that aren't there are asked for."""
+
+    def __init__(self, find: Callable[[bytes], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        return self.find(chunk)
+
+
 class Chunks:
     """Chunk of a text (bytes without white space) -> its ids, kept per worker in two generations of ``most`` chunks.
 
@@ -38,9 +50,9 @@ class Chunks:
     (lower letters and accents compose more often); and the words of a chunk are kept apart where that is plain."""
 
     def __init__(self, most: int = CACHE):
-        self.now: dict[bytes, bytes] = {}
+        self.now, self.most = Young(self.find), most
         self.old: dict[bytes, bytes] = {}
-        self.most = most
+        self.long: list[bytes] = []  # chunks that are dropped again after a batch
 
     @staticmethod
     def parts(chunk: bytes) -> list[bytes] | tuple[bytes, ...]:
@@ -53,27 +65,30 @@ class Chunks:
         word = chunk.rstrip(AFTER)
         return (word, chunk[len(word):]) if word != chunk and word.decode("utf-8", "replace").lower().isalpha() else (chunk,)
 
-    def encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The little-endian unsigned 32-bit ids of each chunk."""
+    def encode_new(self, chunk: bytes) -> bytes:
+        """The little-endian unsigned 32-bit ids of a chunk."""
         raise NotImplementedError
 
+    def find(self, chunk: bytes) -> bytes:
+        """The ids of a chunk that isn't in the young generation; it is kept there."""
+        ids = self.old.get(chunk)
+        if ids is None:
+            parts = (chunk,) if chunk.isalpha() else self.parts(chunk)
+            ids = b"".join([self.now[p] for p in parts]) if len(parts) > 1 else self.encode_new(chunk)
+        self.now[chunk] = ids
+        if len(chunk) > CACHED_BYTES:
+            self.long.append(chunk)
+        return ids
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes of little-endian unsigned 32-bit numbers."""
-        chunks = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
-        now, old = self.now, self.old
-        missing = set().union(*chunks).difference(now)
-        joined = {c: parts for c in missing if not c.isalpha() and len(parts := self.parts(c)) > 1}
-        wanted = missing.difference(joined).union(*joined.values()).difference(now)
-        kept = wanted.intersection(old)
-        now.update((c, old[c]) for c in kept)
-        new = list(wanted - kept)
-        now.update(self.encode_new(new))
-        now.update((c, b"".join([now[p] for p in parts])) for c, parts in joined.items())
-        out = [b"".join(map(now.__getitem__, c)) for c in chunks]
-        for c in [c for c in missing if len(c) > CACHED_BYTES] + [c for c in new if len(c) > CACHED_BYTES]:
-            now.pop(c, None)
-        if len(now) >= self.most:
-            self.old, self.now = now, {}
+        look = self.now.__getitem__
+        out = [b"".join(map(look, (t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split())) for t in texts]
+        for c in self.long:
+            self.now.pop(c, None)
+        self.long.clear()
+        if len(self.now) >= self.most:
+            self.old, self.now = self.now, Young(self.find)
         return out
 
 
@@ -147,8 +162,8 @@ class Bpe(Chunks):
             return self._piece(text)
         return [i for part in self.specials.split(text) for i in ([self.added[part]] if part in self.added else self._piece(part))]
 
-    def encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        return {c: np.array(self._chunk(c), "<u4").tobytes() for c in chunks}
+    def encode_new(self, chunk: bytes) -> bytes:
+        return np.array(self._chunk(chunk), "<u4").tobytes()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))

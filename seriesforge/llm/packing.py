@@ -42,27 +42,16 @@ class Library(Chunks):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
 
-        self.letters = byte_letters()
-
-    def encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+    def encode_new(self, chunk: bytes) -> bytes:
         """A word of letters goes to the library's model, other chunks through its whole pipeline."""
-        out: dict[bytes, bytes] = {}
-        rest = []
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        for c in chunks:
-            if c.isalpha() and c.islower():  # ASCII
-                out[c] = array("I", [t.id for t in tokenize(c.decode())]).tobytes()
-                continue
-            text = c.decode("utf-8", "replace")
-            if text.isalpha() and is_normalized("NFC", text) and "Σ" not in text and (text := text.lower()).isalpha():
-                out[c] = array("I", [t.id for t in tokenize(text.encode().decode("latin-1").translate(letters))]).tobytes()
-            else:
-                rest.append(c)
-        if rest:
-            done = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)
-            out.update((c, array("I", e.ids).tobytes()) for c, e in zip(rest, done))
-        return out
+        if chunk.isalpha() and chunk.islower():  # ASCII
+            return array("I", [t.id for t in self.tokenize(chunk.decode())]).tobytes()
+        text = chunk.decode("utf-8", "replace")
+        if text.isalpha() and is_normalized("NFC", text) and "Σ" not in text and (low := text.lower()).isalpha():
+            return array("I", [t.id for t in self.tokenize(low.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
 
 @lru_cache(maxsize=2)
