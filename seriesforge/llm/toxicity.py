@@ -3,7 +3,8 @@
 A character language model (order 4 over a-z and word ends, counted over all texts) says what writing looks like, and a
 channel model says how writers hide words: digits and signs for letters, spread-out letters, repeated letters, signs put
 in. A token that shows such signs becomes a lattice of the characters that each position may stand for, and a Viterbi
-search finds the likeliest reading. Texts with these readings put in are then scored by what labels taught: words, and
+search finds the likeliest reading; a run of spread-out letters, of any length, is cut into words by the same search.
+Texts with these readings put in are then scored by what labels taught: words, and
 beginnings of words, that are commoner in toxic texts enter a logistic regression by their presence and their density.
 """
 
@@ -32,8 +33,9 @@ STEMS, LEAST = (3, 4, 5, 6, 7, 8), 6
 #: What a sign may stand for (fixed values).
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
-#: Channel costs (log): a sign for a letter, a sign put in, a letter written twice on purpose, an own letter.
-COST = {"sign": 1.0, "put in": 3.5, "double": 0.7}
+#: Channel costs (log): a sign for a letter, a sign put in, a letter written twice on purpose, a spread letter that is a
+#: word by itself, whatever letters the corpus has as words.
+COST = {"sign": 1.0, "put in": 3.5, "double": 0.7, "alone": 9.0}
 BEAM, LONGEST = 48, 24
 OUTER = ".,;:!?\"'()[]{}#*$%&|<>-_~"
 DISGUISE = re.compile(r"[a-z].*[0-9@$!|+(<€£*_.\-].*[a-z]|[0-9@$!|+(<€£][a-z]|[a-z][0-9@€£]|([a-z])\1\1")
@@ -77,45 +79,67 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(np.maximum(p, 1e-12)).astype(np.float32)
 
 
+@lru_cache(maxsize=None)
+def _options(ch: str, times: int, spread: bool) -> list[tuple[str, float]]:
+    """What a run of one character may stand for, with costs; words may end (a space) between and after spread letters."""
+    out: list[tuple[str, float]] = []
+    if "a" <= ch <= "z":
+        kinds, one, two = ch, 0.0, 0.0 if times == 2 else COST["double"]
+    else:
+        kinds, one, two = SIGNS.get(ch, ""), COST["sign"], COST["sign"] * 1.3
+        out.append(("", COST["put in"]) if kinds else ("", 0.0))
+    for x in kinds:
+        out.append((x, one))
+        if times >= 2:
+            out.append((x * 2, two))
+        if spread:
+            out += [(f"{x * i} {x * j}", two) for i in (1, 2) for j in (1, 2) if i + j <= times]
+    return out + [(f"{x} ", cost) for x, cost in out if x] if spread else out
+
+
 class Decoder:
     """Readings of disguised tokens under a language model."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.model = model.ravel().tolist()
         self.read = lru_cache(maxsize=50_000)(self._read)
 
     def _read(self, token: str) -> str:
         """The likeliest letters behind a token (lower case); the token itself if it has none or is too long."""
         runs = [(m.group()[0], len(m.group())) for m in re.finditer(r"(.)\1*", token)]
-        if not runs or len(runs) > LONGEST:
-            return token
-        model = self.model
-        paths = {(0, 0, 0): (0.0, "")}
+        return self._decode(runs, False) or token if len(runs) <= LONGEST else token
+
+    def read_spread(self, letters: str) -> str:
+        """The likeliest words behind letters that were written apart, however many, with a space between words."""
+        return self._decode([(m.group()[0], m.end() - m.start()) for m in re.finditer(r"(.)\1*", letters)], True) or letters
+
+    def _decode(self, runs: list[tuple[str, int]], spread: bool) -> str:
+        """Viterbi over the runs' options. A path is a chain of back pointers, so its cost is linear in the runs."""
+        model, states = self.model, LETTERS ** (ORDER - 1)
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for ch, times in runs:
-            options: list[tuple[str, float]] = []
-            if "a" <= ch <= "z":
-                options.append((ch, 0.0))
-                if times >= 2:
-                    options.append((ch * 2, 0.0 if times == 2 else COST["double"]))
-            else:
-                options += [(x, COST["sign"]) for x in SIGNS.get(ch, "")]
-                if times >= 2:
-                    options += [(x * 2, COST["sign"] * 1.3) for x in SIGNS.get(ch, "")]
-                options.append(("", COST["put in"]) if ch in SIGNS else ("", 0.0))
-            after: dict[tuple, tuple[float, str]] = {}
-            for (a, b, c), (score, text) in paths.items():
-                for letters, cost in options:
-                    x, y, z, s = a, b, c, score - cost
-                    for letter in letters:
-                        code = ord(letter) - 96
-                        s += float(model[x, y, z, code])
-                        x, y, z = y, z, code
-                    if (x, y, z) not in after or after[x, y, z][0] < s:
-                        after[x, y, z] = (s, text + letters)
-            if len(after) > BEAM:
-                after = dict(sorted(after.items(), key=lambda kv: -kv[1][0])[:BEAM])
-            paths = after
-        return max(((s + float(model[a, b, c, 0]), t) for (a, b, c), (s, t) in paths.items()), default=(0, token))[1] or token
+            options = [(x, cost, [ord(c) - 96 if c != " " else 0 for c in x]) for x, cost in _options(ch, min(times, 4), spread)]
+            after: dict[int, tuple[float, tuple | None]] = {}
+            if spread and times == 1 and "a" <= ch <= "z":
+                ended = [(s + (model[x * LETTERS] if x % LETTERS else 0.0), back, x % LETTERS) for x, (s, back) in paths.items()]
+                score, back, letter = max(ended, key=lambda p: p[0])
+                after[(ord(ch) - 96) * LETTERS] = score - COST["alone"], (back, f" {ch} " if letter else f"{ch} ")
+            for state, (score, back) in paths.items():
+                for text, cost, codes in options:
+                    x, s = state, score - cost
+                    for code in codes:
+                        x = x * LETTERS + code
+                        s += model[x]
+                        x %= states
+                    if x not in after or after[x][0] < s:
+                        after[x] = s, (back, text) if text else back
+            paths = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda kv: -kv[1][0])[:BEAM])
+        _, back = max(((s + (model[x * LETTERS] if x % LETTERS else 0.0), back) for x, (s, back) in paths.items()), key=lambda p: p[0])
+        out = []
+        while back:
+            back, text = back
+            out.append(text)
+        return "".join(reversed(out)).strip()
 
     def words(self, text: str) -> tuple[list[str], dict[str, str]]:
         """The words of a text in lower case, with readings put in for disguised ones; and those readings."""
@@ -140,10 +164,8 @@ class Decoder:
         if len(low) > 4:
             for m in SPREAD.finditer(low):
                 spread = m.group()
-                form = re.sub(r"[ ._*\-]", "", spread) if len(spread) <= 2 * LONGEST else ""
-                if form:
-                    readings[spread] = self.read(form)
-                    out.append(readings[spread])
+                readings[spread] = self.read_spread(spread[::2])
+                out += readings[spread].split()
         return out, readings
 
 
@@ -240,7 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int = FIT_R
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, restored (a map from disguised tokens to their readings that are units of the regression), score,
+    """doc_id, restored (a map from disguised tokens to their readings that are units of the regression,
+    or for spread letters hold one), score,
     predicted, and the columns of ``keep`` for every row of ``docs``.
 
     Null and empty texts have the score of texts without any unit. Without labels of both kinds, all texts have the
@@ -260,7 +283,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, keep: tup
             words, readings = kept[0].words(text or "")
             z = bias + sum(weights[u][0] + weights[u][1] * density(c, len(words)) for u, c in units_of(words, only).items())
             scores.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
-            found.append([(token, w) for token, w in readings.items() if w in weights])
+            found.append([(token, w) for token, w in readings.items() if any(x in weights for x in w.split())])
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.map_(pa.string(), pa.string())), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *b.columns[2:]],
                                           names=["doc_id", "restored", "score", "predicted", *keep])
     return arrow_map(documents(docs, keep), batch, "doc_id long, restored map<string,string>, score double, predicted int" + ddl(docs, keep))

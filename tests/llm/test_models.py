@@ -107,6 +107,18 @@ def test_readings(lab):
     assert {"stupid", "moron", "idiot", "trash", "plain", "the", "man"} <= set(words) and readings["s t u p i d"] == "stupid"
 
 
+def test_spread_words(lab):
+    """Spread letters beside other single letters, several spread words in a row, and runs of any length."""
+    decoder = X.Decoder(X.language_model(read(lab, SF, "documents")))
+    for text, want in [("you are a s t u p i d man", {"stupid"}), ("i d i o t i said", {"idiot"}), ("s t u p i d m o r o n", {"stupid", "moron"}), ("s-t-u-p-1-d-i-d-1-0-t", {"stupid", "idiot"})]:
+        assert want <= set(decoder.words(text)[0]), text
+    words = decoder.words("s t u p i d m o r o n " * 40 + "t r a s h c l o w n " * 2000)[0]
+    assert words.count("trash") == words.count("clown") == 2000
+    taught = ["idiot", "moron", "stupid", "trash", "scum", "pathetic", "clown"]
+    beside = [(w, form) for w in taught for c in "abcdefghijklmnopqrstuvwxyz" for form in (f"{c}{w}", f"{w}{c}")]
+    assert sum(w in decoder.words(" ".join(form))[0] for w, form in beside) > 0.9 * len(beside)
+
+
 def test_toxicity_cases(lab):
     clean = [(i, f"quiet words number {chr(97 + i % 26)}{chr(97 + i // 26)} stand here", "en", "a", 1) for i in range(200)]
     bad = [(1000 + i, f"quiet nasty words number {chr(97 + i % 26)}{chr(97 + i // 26)} stand here", "en", "a", 1) for i in range(100)]
