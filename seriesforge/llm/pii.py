@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that carries their labels on.
 
 Nodes are the tokens of a text that hold a digit or an at sign. Their labels are the four kinds and "other". A node's
-potential comes from its shape, a chain edge joins neighbouring tokens, and skip edges join distant tokens that are
-equal (or whose digits differ in one place): they share potentials, and sum-product message passing over the loopy
+potential comes from its shape, a chain edge joins neighbouring tokens, and skip edges join each token to hubs: one hub a
+text for every form that repeats in it, and one for tokens whose digits differ in the same place. A hub has no shape of
+its own, so every copy is two edges from any other, however many there are; sum-product message passing over the loopy
 graph makes the labels of a text agree. Potentials of shapes and chain edges are fitted on counts of the pattern matches
 over the whole corpus (a token that no pattern covers but that is like a covered one counts for nothing there: whether
 it is data too is the question); skip edges favour equal labels by a fixed strength. Shapes are hashed into a fixed
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,9 @@ from seriesforge.llm._frames import arrow_map, ddl, documents
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
-#: Buckets of hashed shapes; smoothing of counts; log strength of skip edges; rounds of messages; belief needed.
-BUCKETS, SMOOTH, SKIP, ROUNDS, BELIEF = 1 << 14, 0.5, 3.0, 12, 0.9
+#: Buckets of hashed shapes; smoothing of counts; log strength of skip edges (two of them, by a hub, join
+#: two copies: 0.91 for a copy without evidence of its own); rounds of messages; belief needed.
+BUCKETS, SMOOTH, SKIP, ROUNDS, BELIEF = 1 << 14, 0.5, 4.5, 12, 0.9
 LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -120,8 +123,10 @@ class Graph:
         self.bucket: list[int] = []
         self.label: list[int] = []  # of pattern matches; OTHER elsewhere
         self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
+        self.skip: list[tuple[int, int]] = []  # hub, node
         self.place: list[tuple[int, int, int]] = []  # text, start, end
+        self.share: list[float] = []  # what a node's shape counts for: copies of a form are one piece of evidence
+        self.hubs = 0
 
     def add(self, number: int, text: str, found, failed) -> None:
         tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)] if len(text) < 1 << 16 else list(_long_tokens(text))
@@ -133,22 +138,29 @@ class Graph:
             label[_covered([(s, e) for k, s, e in found if k == kind], starts, ends)] = kind
         refused = _covered(failed, starts, ends)
         base = len(self.label)
-        seen: dict[str, int] = {}
+        like: dict[str, list[int]] = {}
+        copies: Counter = Counter()
+        forms = []
         for i, (s, e) in enumerate(tokens):
             word = text[s:e].strip(".,;:!?\"'")
             self.bucket.append(zlib.crc32(f"{int(refused[i])}{_shape(word)}".encode()) % BUCKETS)
             self.place.append((number, s, e))
             if i and s - tokens[i - 1][1] == 1:
                 self.chain.append((base + i - 1, base + i))
-            if len(word) < 4:
+            forms.append(word.lower() if len(word) >= 4 else "")
+            if not forms[-1]:
                 continue
+            copies[forms[-1]] += int(label[i] == OTHER)
             digits = "".join(c for c in word if c.isdigit())
-            keys = [word.lower()]
+            keys = [forms[-1]]
             if 6 <= len(digits) <= 24:
                 keys += [f"{digits[:j]}?{digits[j + 1:]}" for j in range(len(digits))]
-            linked = {seen[k] for k in keys if k in seen}
-            self.skip += [(j, base + i) for j in linked]  # to the last like token only: a list, not all pairs
-            seen.update((k, base + i) for k in keys)
+            for k in keys:
+                like.setdefault(k, []).append(base + i)
+        for nodes in dict.fromkeys(tuple(nodes) for nodes in like.values() if len(nodes) > 1):  # equal sets share a hub
+            self.skip += [(self.hubs, i) for i in nodes]
+            self.hubs += 1
+        self.share += [1 / max(copies[form], 1) for form in forms]
         self.label += label.tolist()
 
 
@@ -178,9 +190,10 @@ def _counts(b: pa.RecordBatch) -> pa.RecordBatch | None:
     wide = OTHER + 1
     sure = np.ones(len(label), bool)
     if graph.skip:
-        e = np.array(graph.skip)
-        for a, z in ((e[:, 0], e[:, 1]), (e[:, 1], e[:, 0])):
-            sure[a[(label[a] == OTHER) & (label[z] != OTHER)]] = False
+        hub, node = np.array(graph.skip).T
+        known = np.zeros(graph.hubs, bool)
+        known[hub[label[node] != OTHER]] = True
+        sure[node[known[hub] & (label[node] == OTHER)]] = False
     keys = [(np.array(graph.bucket) * wide + label)[sure]]
     if graph.chain:
         e = np.array(graph.chain)
@@ -236,9 +249,11 @@ def added_spans(graph: Graph, texts: list[str | None], model: dict[str, np.ndarr
     if not graph.label:
         return out
     label = np.array(graph.label)
-    edges = np.array(graph.chain + graph.skip, np.int64).reshape(-1, 2)
+    edges = np.array(graph.chain + [(len(label) + hub, i) for hub, i in graph.skip], np.int64).reshape(-1, 2)
     kind = np.concatenate((np.zeros(len(graph.chain), int), np.ones(len(graph.skip), int)))
-    p = beliefs(model["node"][np.array(graph.bucket)], edges, kind, model["edge"], np.where(label == OTHER, -1, label))
+    node = np.vstack((model["node"][np.array(graph.bucket)] * np.array(graph.share)[:, None], np.zeros((graph.hubs, OTHER + 1))))
+    clamped = np.concatenate((np.where(label == OTHER, -1, label), np.full(graph.hubs, -1)))
+    p = beliefs(node, edges, kind, model["edge"], clamped)[:len(label)]
     best = p.argmax(1)
     sure = (label == OTHER) & (best != OTHER) & (p.max(1) >= belief)
     last = None

@@ -159,6 +159,19 @@ def test_pii(make_docs):
     assert P.pii_spans(make_docs(rows).limit(0)).count() == 0
 
 
+def test_pii_many_copies(make_docs):
+    """A number that a pattern catches once is found wherever it comes again, however often."""
+    bare = ["555-0199" if k % 2 else "555-0199," for k in range(50)]
+    text = "call +1 (222) 555-0199 now " + " then some words and ".join(bare) + " and no more of 12 things"
+    rows = pii_rows() + [(300, text)]
+    got = {r["doc_id"]: r["spans"] for r in P.pii_spans(make_docs(rows)).collect()}[300]
+    assert [text[s["start"]:s["end"]] for s in got if not s["base"]] == ["555-0199"] * 50 and {s["kind"] for s in got} == {"phone"}
+    # bare copies whose shape nothing else in the corpus shows
+    rare = "mail +44-20-7946-0958-1 here " + "and 44-20-7946-0958-1 there " * 50
+    got = P.pii_spans(make_docs([(1, rare), (2, "5 of 9 rooms")])).collect()
+    assert [sum(not s["base"] for s in r["spans"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [50, 0]
+
+
 def test_redact(make_docs):
     rows = pii_rows()
     got = {r["row"]: r for r in P.redact(make_docs(rows), keep=("lang", "row", "score")).collect()}
