@@ -2,9 +2,12 @@
 
 Fixed base rules reject texts that are too short or repeat themselves. The other measures have no fixed cutoff: for
 each language and source a quantile sketch of each measure is kept (KLL, merged from the tasks' partial sketches), and
-sketches of small groups give way to the merged sketch of their language, or of all. A fence stands a number of lower
-half-spreads (median minus first decile) beyond the median, and a slack: as long as most texts of a group are sound, the
-fence is theirs, however bad the rest. Fences are joined back to the texts, which are filtered.
+sketches of small groups give way to the merged sketch of their language, or of all. The fence of a rate (signs a word,
+repeated lines a line) stands a number of spreads beyond the median (the larger of median minus first decile and sixth
+decile minus median), and one occurrence in a text of the group's median size, the least step that the rate of such a
+text can take: all of it comes from the group's sketches, and holds as long as three fifths of its texts are sound. The
+fences of the mean word length stand as many lower half-spreads (median minus first decile) and a fixed slack on either
+side of the median. Fences are joined back to the texts, which are filtered.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from seriesforge.llm import _text as T
 from seriesforge.llm._frames import arrow_map, staged
 
 SYMBOLS = b"#*$%&|<>"
-#: Items of a sketch, texts that a group needs for fences of its own, half-spreads from the median to a fence.
+#: Items of a sketch, texts that a group needs for fences of its own, spreads from the median to a fence.
 SKETCH, GROUP, SPREADS = 400, 200, 6.0
-#: Measure -> slack of its fence; the mean word length has a fence on either side.
-SLACK = {"symbol_rate": 0.1, "dup_line_rate": 0.4, "word_length": 1.5}
+#: Rate -> what it is counted over; the slack of the mean word length (letters), which has a fence on either side.
+RATES, SLACK = {"symbol_rate": "n_words", "dup_line_rate": "n_lines"}, 1.5
+#: What is sketched.
+SKETCHED = (*RATES, *RATES.values(), "word_length")
 MEASURED = ("doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, "
             "n_dup_lines long, n_repeat_words long")
 
@@ -73,22 +78,29 @@ def fences(rows: DataFrame, sketch: int = SKETCH, group: int = GROUP, spreads: f
     """lang, source -> the fences of each measure, from sketches of the rows that pass the base rules."""
     sketches = staged(rows.groupBy("lang", "source").agg(
         F.count(F.when(~F.col("base_failed"), 1)).alias("n"),
-        *(F.kll_sketch_agg_double(F.when(~F.col("base_failed"), F.col(m)), F.lit(sketch)).alias(m) for m in SLACK)))
+        *(F.kll_sketch_agg_double(F.when(~F.col("base_failed"), F.col(m).cast("double")), F.lit(sketch)).alias(m) for m in SKETCHED)))
 
     def merged(by: list[str], prefix: str) -> DataFrame:
-        return sketches.groupBy(*by).agg(F.sum("n").alias(f"{prefix}_n"), *(F.kll_merge_agg_double(m, F.lit(sketch)).alias(f"{prefix}_{m}") for m in SLACK))
+        return sketches.groupBy(*by).agg(F.sum("n").alias(f"{prefix}_n"), *(F.kll_merge_agg_double(m, F.lit(sketch)).alias(f"{prefix}_{m}") for m in SKETCHED))
 
     of_lang = merged(["lang"], "lang").withColumnRenamed("lang", "_lang")
     both = sketches.join(of_lang, sketches["lang"].eqNullSafe(of_lang["_lang"]))
     every = merged([], "all").first()  # one row: a sketch a measure
 
-    def fence(m: str):
-        best = F.when(F.col("n") >= group, F.col(m)).when(F.col("lang_n") >= group, F.col(f"lang_{m}")).otherwise(F.lit(bytearray(every[f"all_{m}"] or b"")))
-        q = [F.kll_sketch_get_quantile_double(best, F.lit(r)) if every["all_n"] else F.lit(None).cast("double") for r in (0.1, 0.5)]
-        return q[1], spreads * (q[1] - q[0]) + SLACK[m]
+    def quantile(m: str, rank: float):
+        if not every["all_n"]:
+            return F.lit(None).cast("double")
+        best = F.when(F.col("n") >= group, F.col(m)).when(F.col("lang_n") >= group, F.col(f"lang_{m}")).otherwise(F.lit(bytearray(every[f"all_{m}"])))
+        return F.kll_sketch_get_quantile_double(best, F.lit(rank))
 
-    return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),
-                       *(x for m in SLACK for mid, width in [fence(m)] for x in ((mid - width).alias(f"{m}_low"), (mid + width).alias(f"{m}_high"))))
+    limits = []
+    for m, size in RATES.items():
+        mid = quantile(m, 0.5)
+        spread = F.greatest(mid - quantile(m, 0.1), quantile(m, 0.6) - mid)
+        limits.append((mid + spreads * spread + 1 / F.greatest(quantile(size, 0.5), F.lit(1.0))).alias(f"{m}_high"))
+    mid = quantile("word_length", 0.5)
+    width = spreads * (mid - quantile("word_length", 0.1)) + SLACK
+    return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *limits, (mid - width).alias("word_length_low"), (mid + width).alias("word_length_high"))
 
 
 def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat: float = 0.5, sketch: int = SKETCH, group: int = GROUP, spreads: float = SPREADS) -> DataFrame:
@@ -106,7 +118,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat: float = 0.5,
     limits = staged(fences(rows, sketch, group, spreads))
     beside = rows.join(limits, rows["lang"].eqNullSafe(limits["_lang"]) & rows["source"].eqNullSafe(limits["_source"]), "left")
     out = F.lit(False)
-    for m in SLACK:
+    for m in (*RATES, "word_length"):
         out = out | (F.col(m) > F.col(f"{m}_high"))
     out = out | (F.col("word_length") < F.col("word_length_low"))
     return beside.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(out, F.lit(False))).select(

@@ -55,6 +55,23 @@ def test_fences_follow_the_group(lab):
     assert all(kept[i] for i in range(200)) and not kept[1000]
 
 
+def test_fences_of_rates(lab):
+    """Where a group has no signs and repeats no lines, few are enough; where its texts often do, they are not."""
+    rng = random.Random(4)
+
+    def signs(text, n):
+        return text.replace(" ", " # ", n)
+    rows = [(i, prose(rng, 200), "en", "news", 1) for i in range(60)]
+    rows += [(100 + i, signs(prose(rng, 200), i % 12), "en", "shop", 1) for i in range(60)]
+    rows += [(200 + k, signs(prose(rng, 200), 12), "en", s, 1) for k, s in enumerate(("news", "shop"))]
+    for k, n in ((300, 1), (301, 5)):  # of 20 lines
+        text = prose(rng, 10 * (20 - n))
+        rows.append((k, "\n".join([text, *text.split("\n")[:n]]), "en", "news", 1))
+    kept = {r["doc_id"]: r["kept"] for r in Q.quality_rules(lab.createDataFrame(rows, DOCUMENTS), group=20, max_repeat=0.9).collect()}
+    assert all(kept[i] for i in range(60)) and all(kept[100 + i] for i in range(60))
+    assert not kept[200] and kept[201] and kept[300] and not kept[301]
+
+
 def test_quality_empty(lab):
     assert Q.quality_rules(lab.createDataFrame([], DOCUMENTS)).count() == 0
     assert Q.quality_rules(lab.createDataFrame([(1, "too short", None, None, 1)], DOCUMENTS)).first()["kept"] is False
