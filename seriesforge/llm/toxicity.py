@@ -1,6 +1,7 @@
 """Toxicity of texts behind disguises, by a noisy channel.
 
-A character language model (order 4 over a-z and word ends, counted over all texts) says what writing looks like, and a
+A character language model (order 4 over the corpus's letters and word ends, counted over all texts in lower case and
+without accents) says what writing looks like, and a
 channel model says how writers hide words: digits and signs for letters, spread-out letters, repeated letters, signs put
 in. A token that shows such signs becomes a lattice of the characters that each position may stand for, and a Viterbi
 search finds the likeliest reading; a run of spread-out letters, of any length, is cut into words by the same search.
@@ -12,9 +13,12 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 from seriesforge.llm import _text as T
 from seriesforge.llm._frames import arrow_map, ddl, documents, staged
 
-#: Letters of the language model (0: anything else, as the end of a word), and its order.
-LETTERS, ORDER = 27, 4
+#: Codes of the language model at most (0: anything else, as the end of a word), and its order. A corpus with more letters
+#: has codes of their own for the commonest; the others share the last SHARED ones.
+LETTERS, SHARED, ORDER = 48, 8, 4
 #: Labelled texts that the classifier is fitted on at most, by hash of the id; units it may look at; L2 penalty.
 FIT_ROWS, UNITS, PENALTY = 10_000, 150, 2.0
 #: Lengths of beginnings of words that are units beside whole words (written with a star), and texts a unit must be in.
@@ -33,58 +38,121 @@ STEMS, LEAST = (3, 4, 5, 6, 7, 8), 6
 #: What a sign may stand for (fixed values).
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
-#: Channel costs (log): a sign for a letter, a sign put in, a letter written twice on purpose, a spread letter that is a
-#: word by itself, whatever letters the corpus has as words.
-COST = {"sign": 1.0, "put in": 3.5, "double": 0.7, "alone": 9.0}
-BEAM, LONGEST = 48, 24
+#: Channel costs (log): a sign for a letter, a sign put in, a letter written twice on purpose, a letter written twice by mistake
+#: or on purpose where one is meant, a spread letter that is a word by itself, whatever letters the corpus has as words.
+COST = {"sign": 1.0, "put in": 3.5, "double": 0.7, "drop": 2.0, "alone": 9.0}
+#: Paths kept a step; characters of a token whose reading is kept for later ones.
+BEAM, CACHED = 48, 72
 OUTER = ".,;:!?\"'()[]{}#*$%&|<>-_~"
-DISGUISE = re.compile(r"[a-z].*[0-9@$!|+(<€£*_.\-].*[a-z]|[0-9@$!|+(<€£][a-z]|[a-z][0-9@€£]|([a-z])\1\1")
-SPREAD = re.compile(r"(?<![^\s])[a-z0-9@$!](?:[ ._*\-][a-z0-9@$!]){2,}(?=[\s.,;:!?]|$)")
-TRIPLE = re.compile(r"([a-z])\1\1")
+LETTER = re.compile(r"[^\W\d_]")
+BETWEEN = re.compile(r"[0-9@$!|+(<€£*_.\-]")
+EDGE = re.compile(r"[0-9@$!|+(<€£][^\W\d_]|[^\W\d_][0-9@€£]|([^\W\d_])\1\1")
+DOUBLE = re.compile(r"([^\W\d_])\1")
+SPREAD = re.compile(r"(?<!\S)[\w@$!](?:[ ._*\-][\w@$!]){2,}(?=[\s.,;:!?]|$)")
 PARTS = re.compile(r"[^\W\d_]+")
-CODE = np.zeros(256, np.int64)
-CODE[97:123] = np.arange(1, 27)
-CODE[65:91] = np.arange(1, 27)
-
-
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the character 4-grams of a task's texts; at most LETTERS ** ORDER rows."""
-    total = np.zeros(LETTERS ** ORDER, np.int64)
-    for b in batches:
-        raw, offsets = T.texts_of(b.column(0))
-        for i, j in T.groups(offsets):
-            pad = np.zeros(ORDER - 1, np.int64)
-            c = np.concatenate([pad, CODE[raw[offsets[i]:offsets[j]]], pad])
-            index = c[:len(c) - ORDER + 1].copy()
-            for k in range(1, ORDER):
-                index = index * LETTERS + c[k:len(c) - ORDER + 1 + k]
-            total += np.bincount(index, minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["gram", "n"])
-
-
-def language_model(docs: DataFrame) -> np.ndarray:
-    """log p(character | three before it), interpolated over shorter contexts: 27^4 numbers, whatever the corpus."""
-    rows = documents(docs).select("text").mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    n = np.zeros(LETTERS ** ORDER)
+MARKS = re.compile("[\u0300-\u036f]+")
+
+
+def fold(text: str) -> str:
+    """Lower case, without accents."""
+    return text.lower() if text.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
+
+
+def _disguised(token: str) -> bool:
+    """A sign between or beside letters, or a letter three times; in linear time."""
+    first = LETTER.search(token)
+    if not first:
+        return False
+    last = len(token) - 1
+    while not token[last].isalpha():
+        last -= 1
+    return BETWEEN.search(token, first.start(), last) is not None or EDGE.search(token) is not None
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def _points(column: pa.Array) -> Iterator[np.ndarray]:
+    """The code points of a column's folded texts, some MB at a time; 0 for what is no letter."""
+    raw, offsets = T.texts_of(column)
+    for i, j in T.groups(offsets):
+        text = fold(raw[offsets[i]:offsets[j]].tobytes().decode())
+        points = np.frombuffer(text.encode(), np.uint8).astype(np.uint32) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        yield np.where(_letters()[points], points, 0)
+
+
+def _letter_counts(b: pa.RecordBatch) -> pa.RecordBatch:
+    seen: Counter = Counter()
+    for points in _points(b.column(0)):
+        n = np.bincount(points)
+        at = np.flatnonzero(n)
+        seen.update(dict(zip(at.tolist(), n[at].tolist())))
+    return pa.record_batch([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["letter", "n"])
+
+
+class Model(NamedTuple):
+    """log p(code | three before it), flat; the number of codes; the codes of letters."""
+    table: np.ndarray
+    size: int
+    codes: dict[int, int]
+
+
+def alphabet(texts: DataFrame) -> tuple[dict[int, int], int]:
+    """Code of every folded letter of the texts, and the number of codes."""
+    rows = arrow_map(texts, _letter_counts, "letter int, n long").where("letter > 0").groupBy("letter").agg(F.sum("n").alias("n"))
+    order = [r["letter"] for r in rows.orderBy(F.desc("n"), "letter").collect()]  # letters of all scripts: at most 140,000
+    if len(order) < LETTERS:
+        return {x: i + 1 for i, x in enumerate(order)}, max(len(order) + 1, 2)
+    own = LETTERS - 1 - SHARED
+    return {x: i + 1 if i < own else own + 1 + x % SHARED for i, x in enumerate(order)}, LETTERS
+
+
+def _gram_counts(codes: dict[int, int], size: int):
+    """Counts of the character 4-grams of a task's texts; at most size ** ORDER rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = np.zeros(0x110000, np.int64)
+        code[list(codes)] = list(codes.values())
+        total = np.zeros(size ** ORDER, np.int64)
+        pad = np.zeros(ORDER - 1, np.int64)
+        for b in batches:
+            for points in _points(b.column(0)):
+                c = np.concatenate([pad, code[points], pad])
+                index = c[:len(c) - ORDER + 1].copy()
+                for k in range(1, ORDER):
+                    index = index * size + c[k:len(c) - ORDER + 1 + k]
+                total += np.bincount(index, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["gram", "n"])
+    return run
+
+
+def language_model(docs: DataFrame) -> Model:
+    """log p(character | three before it), interpolated over shorter contexts: at most 48^4 numbers, whatever the corpus."""
+    texts = documents(docs).select("text")
+    codes, size = alphabet(texts)
+    rows = texts.mapInArrow(_gram_counts(codes, size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    n = np.zeros(size ** ORDER)
     for r in rows.collect():
         n[r["gram"]] = r["n"]
-    n = n.reshape((LETTERS,) * ORDER)
-    p = (n.sum((0, 1, 2)) + 1) / (n.sum() + LETTERS)
+    n = n.reshape((size,) * ORDER)
+    p = (n.sum((0, 1, 2)) + 1) / (n.sum() + size)
     for k in range(2, ORDER + 1):
         c = n.sum(tuple(range(ORDER - k)))
         context = c.sum(-1, keepdims=True)
         kinds = (c > 0).sum(-1, keepdims=True)  # Witten-Bell: a context's own variety says how far to trust it
         p = (c + kinds * p) / np.maximum(context + kinds, 1e-9) if k == 2 else np.where(context > 0, (c + kinds * p) / np.maximum(context + kinds, 1e-9), p)
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
+    return Model(np.log(np.maximum(p, 1e-12)).astype(np.float32).ravel(), size, codes)
 
 
 @lru_cache(maxsize=None)
 def _options(ch: str, times: int, spread: bool) -> list[tuple[str, float]]:
     """What a run of one character may stand for, with costs; words may end (a space) between and after spread letters."""
     out: list[tuple[str, float]] = []
-    if "a" <= ch <= "z":
-        kinds, one, two = ch, 0.0, 0.0 if times == 2 else COST["double"]
+    if ch.isalpha():
+        kinds, one, two = ch, COST["drop"] if times == 2 else 0.0, 0.0 if times == 2 else COST["double"]
     else:
         kinds, one, two = SIGNS.get(ch, ""), COST["sign"], COST["sign"] * 1.3
         out.append(("", COST["put in"]) if kinds else ("", 0.0))
@@ -100,14 +168,30 @@ def _options(ch: str, times: int, spread: bool) -> list[tuple[str, float]]:
 class Decoder:
     """Readings of disguised tokens under a language model."""
 
-    def __init__(self, model: np.ndarray):
-        self.model = model.ravel().tolist()
-        self.read = lru_cache(maxsize=50_000)(self._read)
+    def __init__(self, model: Model):
+        self.model = array("f", model.table.tobytes())
+        self.size, self.codes = model.size, model.codes
+        self._kept = lru_cache(maxsize=50_000)(self._read)
+        self._plain_kept = lru_cache(maxsize=200_000)(self._plain)
+
+    def read(self, token: str) -> str:
+        """The likeliest letters behind a token; the token itself if it has none."""
+        return self._kept(token) if len(token) <= CACHED else self._read(token)
 
     def _read(self, token: str) -> str:
-        """The likeliest letters behind a token (lower case); the token itself if it has none or is too long."""
-        runs = [(m.group()[0], len(m.group())) for m in re.finditer(r"(.)\1*", token)]
-        return self._decode(runs, False) or token if len(runs) <= LONGEST else token
+        token = fold(token)
+        return self._decode([(m.group()[0], m.end() - m.start()) for m in re.finditer(r"(.)\1*", token)], False) or token
+
+    def plain(self, word: str) -> str:
+        """The reading of a word of letters alone: itself, but where letters are written twice or more."""
+        return self._plain_kept(word) if len(word) <= CACHED else self._plain(word)
+
+    def _plain(self, word: str) -> str:
+        return self._read(word) if DOUBLE.search(word) else word
+
+    def _code(self, letter: str) -> int:
+        point = ord(letter)
+        return 0 if letter == " " else self.codes.get(point) or max(self.size - SHARED, 1) + point % min(SHARED, self.size - 1)
 
     def read_spread(self, letters: str) -> str:
         """The likeliest words behind letters that were written apart, however many, with a space between words."""
@@ -115,26 +199,26 @@ class Decoder:
 
     def _decode(self, runs: list[tuple[str, int]], spread: bool) -> str:
         """Viterbi over the runs' options. A path is a chain of back pointers, so its cost is linear in the runs."""
-        model, states = self.model, LETTERS ** (ORDER - 1)
+        model, size, states = self.model, self.size, self.size ** (ORDER - 1)
         paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for ch, times in runs:
-            options = [(x, cost, [ord(c) - 96 if c != " " else 0 for c in x]) for x, cost in _options(ch, min(times, 4), spread)]
+            options = [(x, cost, [self._code(c) for c in x]) for x, cost in _options(ch, min(times, 4), spread)]
             after: dict[int, tuple[float, tuple | None]] = {}
-            if spread and times == 1 and "a" <= ch <= "z":
-                ended = [(s + (model[x * LETTERS] if x % LETTERS else 0.0), back, x % LETTERS) for x, (s, back) in paths.items()]
+            if spread and times == 1 and ch.isalpha():
+                ended = [(s + (model[x * size] if x % size else 0.0), back, x % size) for x, (s, back) in paths.items()]
                 score, back, letter = max(ended, key=lambda p: p[0])
-                after[(ord(ch) - 96) * LETTERS] = score - COST["alone"], (back, f" {ch} " if letter else f"{ch} ")
+                after[self._code(ch) * size % states] = score - COST["alone"], (back, f" {ch} " if letter else f"{ch} ")
             for state, (score, back) in paths.items():
                 for text, cost, codes in options:
                     x, s = state, score - cost
                     for code in codes:
-                        x = x * LETTERS + code
+                        x = x * size + code
                         s += model[x]
                         x %= states
                     if x not in after or after[x][0] < s:
                         after[x] = s, (back, text) if text else back
             paths = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda kv: -kv[1][0])[:BEAM])
-        _, back = max(((s + (model[x * LETTERS] if x % LETTERS else 0.0), back) for x, (s, back) in paths.items()), key=lambda p: p[0])
+        _, back = max(((s + (model[x * size] if x % size else 0.0), back) for x, (s, back) in paths.items()), key=lambda p: p[0])
         out = []
         while back:
             back, text = back
@@ -142,25 +226,34 @@ class Decoder:
         return "".join(reversed(out)).strip()
 
     def words(self, text: str) -> tuple[list[str], dict[str, str]]:
-        """The words of a text in lower case, with readings put in for disguised ones; and those readings."""
-        low = text.lower()
-        out, readings = [], {}
-        tripled = TRIPLE.search(low) is not None
+        """The words of a folded text, with readings put in for disguised ones; and those readings."""
+        low = fold(text)
+        out: list[str] = []
+        readings: dict[str, str] = {}
+
+        def put(word: str) -> None:
+            out.append(word)
+            reading = self.plain(word)
+            if reading != word:
+                readings[word] = reading
+                out.append(reading)
         for token in low.split():
-            if token.isalpha() and not tripled:
-                out.append(token)
+            if token.isalpha():
+                put(token)
                 continue
             word = token.strip(OUTER)
-            if word.isalpha() and not (tripled and TRIPLE.search(word)):
-                out.append(word)
+            if word.isalpha():
+                put(word)
                 continue
             parts = PARTS.findall(word)
-            if len(token) <= 3 * LONGEST and (DISGUISE.search(token) or DISGUISE.search(word)):
+            for part in parts:
+                put(part)
+            if _disguised(token) or _disguised(word):
                 for form in {token.rstrip(".,;:?"), word}:
                     readings[form] = self.read(form)
                     if readings[form] not in parts:
                         parts.append(readings[form])
-            out += parts
+                        out.append(readings[form])
         if len(low) > 4:
             for m in SPREAD.finditer(low):
                 spread = m.group()
@@ -172,7 +265,7 @@ class Decoder:
 def units_of(words: list[str], only: dict[int, set[str]] | None = None) -> dict[str, int]:
     """How often each unit occurs: words, and beginnings of longer words. ``only``: units by length of beginning (0:
     whole words)."""
-    counts = Counter(w for w in words if 2 < len(w) <= LONGEST)
+    counts = Counter(w for w in words if len(w) > 2)
     if only is None:
         out = Counter(counts)
         for w, n in counts.items():
@@ -228,7 +321,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> D
     return texts.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int = FIT_ROWS) -> tuple[dict[str, tuple[float, float]], float]:
+def fit(docs: DataFrame, labels: DataFrame, model: Model, rows: int = FIT_ROWS) -> tuple[dict[str, tuple[float, float]], float]:
     """(weights of each unit's presence and density, bias). Units are counted in Spark; only the best of them, of at most ``rows`` texts, are
     collected for the regression."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

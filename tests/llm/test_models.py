@@ -119,6 +119,21 @@ def test_spread_words(lab):
     assert sum(w in decoder.words(" ".join(form))[0] for w, form in beside) > 0.9 * len(beside)
 
 
+def test_letters_beyond_a_to_z(lab):
+    """Accents fold, letters of any script are letters, doubled letters and long tokens are decoded."""
+    texts = ["quiet cretín and дурак stand here, a cretín and a stupid idiot", "Straße und Süden, ein дурак sagt nichts von idiot oder stupid", "little people will see all the good books"] * 30
+    docs = lab.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCUMENTS)
+    decoder = X.Decoder(X.language_model(docs))
+    for token, word in [("cr3tín", "cretin"), ("CR3TÍN", "cretin"), ("дуррак", "дурак"), ("д-у-р-а-к", "дурак"), ("stuupid", "stupid"), ("iddiot", "idiot"), ("s" * 80 + "tupid", "stupid"), ("st" + ".-" * 60 + "up1d", "stupid"), ("1d" + "i" * 90 + "ot", "idiot")]:
+        assert word in decoder.words(f"the {token} man")[0], (token, decoder.words(token))
+    assert "cretin" in decoder.words("cretín")[0] and "дурак" in decoder.words("а д у р а к и")[0]
+    assert decoder.words("little people will see all the good books")[1] == {}
+    long = decoder.words("ab1" * 50_000 + " x")[0]
+    assert max(map(len, long)) >= 100_000
+    many = X.Decoder(X.language_model(lab.createDataFrame([(1, "".join(map(chr, range(0x4e00, 0x4e00 + 300))) + " cretín idiot " * 30, "en", "a", 1)], DOCUMENTS)))
+    assert many.read("cr3tín") == "cretin" and many.read("\u4e01\u4e02") == "\u4e01\u4e02"
+
+
 def test_toxicity_cases(lab):
     clean = [(i, f"quiet words number {chr(97 + i % 26)}{chr(97 + i // 26)} stand here", "en", "a", 1) for i in range(200)]
     bad = [(1000 + i, f"quiet nasty words number {chr(97 + i % 26)}{chr(97 + i // 26)} stand here", "en", "a", 1) for i in range(100)]
