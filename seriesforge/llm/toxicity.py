@@ -11,6 +11,7 @@ beginnings of words, that are commoner in toxic texts enter a logistic regressio
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import unicodedata
@@ -31,10 +32,11 @@ from seriesforge.llm._frames import arrow_map, ddl, documents, staged
 #: Codes of the language model at most (0: anything else, as the end of a word), and its order. A corpus with more letters
 #: has codes of their own for the commonest; the others share the last SHARED ones.
 LETTERS, SHARED, ORDER = 48, 8, 4
-#: Labelled texts that the classifier is fitted on at most, by hash of the id; units it may look at; L2 penalty.
-FIT_ROWS, UNITS, PENALTY = 10_000, 150, 2.0
-#: Lengths of beginnings of words that are units beside whole words (written with a star), and texts a unit must be in.
-STEMS, LEAST = (3, 4, 5, 6, 7, 8), 6
+#: Labelled texts that the classifier is fitted on at most, by hash of the id; L2 penalty.
+FIT_ROWS, PENALTY = 10_000, 2.0
+#: Lengths of beginnings of words that are units beside whole words (written with a star); likelihood ratio (G squared, one
+#: degree of freedom, p about 0.0001) from which a unit is commoner in toxic texts than chance.
+STEMS, SIGNIFICANT = (3, 4, 5, 6, 7, 8), 15.1
 #: What a sign may stand for (fixed values).
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
@@ -172,7 +174,8 @@ class Decoder:
         self.model = array("f", model.table.tobytes())
         self.size, self.codes = model.size, model.codes
         self._kept = lru_cache(maxsize=50_000)(self._read)
-        self._plain_kept = lru_cache(maxsize=200_000)(self._plain)
+        self._plain_kept = lru_cache(maxsize=50_000)(self._plain)
+        self._sound: set[str] = set()  # words that are their own reading
 
     def read(self, token: str) -> str:
         """The likeliest letters behind a token; the token itself if it has none."""
@@ -231,6 +234,8 @@ class Decoder:
         out: list[str] = []
         readings: dict[str, str] = {}
 
+        sound = self._sound
+
         def put(word: str) -> None:
             out.append(word)
             reading = self.plain(word)
@@ -238,8 +243,13 @@ class Decoder:
                 readings[word] = reading
                 out.append(reading)
         for token in low.split():
+            if token in sound:
+                out.append(token)
+                continue
             if token.isalpha():
                 put(token)
+                if len(sound) < 100_000 and len(token) <= CACHED and self.plain(token) == token:
+                    sound.add(token)
                 continue
             word = token.strip(OUTER)
             if word.isalpha():
@@ -262,6 +272,18 @@ class Decoder:
         return out, readings
 
 
+_HELD: list[tuple[Model, Decoder]] = []
+
+
+def held_decoder(model: Model) -> Decoder:
+    """One decoder a process for a model, whatever the number of tasks."""
+    if not _HELD or _HELD[0][0] is not model:
+        _HELD.clear()
+        gc.collect()  # a decoder's caches refer to it
+        _HELD.append((model, Decoder(model)))
+    return _HELD[0][1]
+
+
 def units_of(words: list[str], only: dict[int, set[str]] | None = None) -> dict[str, int]:
     """How often each unit occurs: words, and beginnings of longer words. ``only``: units by length of beginning (0:
     whole words)."""
@@ -295,22 +317,52 @@ def density(count: int, words: int) -> float:
     return math.log1p(1000 * count / max(words, 1))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = 30) -> np.ndarray:
-    """Weights and, last, the bias, by Newton steps; the bias has no penalty."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
+def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int, y: np.ndarray, penalty: float = PENALTY, rounds: int = 30) -> np.ndarray:
+    """Weights and, last, the bias, by Newton steps on sparse rows (entries row, column, value); each step is solved by
+    conjugate gradients, so no matrix of columns by columns is made. The bias has no penalty."""
+    n = len(y)
+    rows, columns, values = np.concatenate((rows, np.arange(n))), np.concatenate((columns, np.full(n, width))), np.concatenate((values, np.ones(n)))
+    w = np.zeros(width + 1)
+    ridge = np.full(width + 1, penalty)
     ridge[-1] = 1e-6
+
+    def across(v: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, values * v[columns], minlength=n)
+
+    def down(u: np.ndarray) -> np.ndarray:
+        return np.bincount(columns, values * u[rows], minlength=width + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(across(w), -30, 30)))
+        curve = p * (1 - p) + 1e-9
+        scale = np.bincount(columns, values ** 2 * curve[rows], minlength=width + 1) + ridge
+        step, left = np.zeros(width + 1), down(y - p) - ridge * w
+        aim = 1e-9 * max(np.abs(left).max(), 1e-12)
+        z = left / scale
+        way, size = z, left @ z
+        for _ in range(500):
+            if np.abs(left).max() <= aim:
+                break
+            bent = down(curve * across(way)) + ridge * way
+            a = size / (way @ bent)
+            step, left = step + a * way, left - a * bent
+            z = left / scale
+            size, before = left @ z, size
+            way = z + size / before * way
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def without_empty_stems(counts: dict[str, tuple[int, int]]) -> list[str]:
+    """The units, without beginnings that are in the very texts of a longer beginning or whole word that they begin."""
+    useless = set()
+    for unit, n in counts.items():
+        word = unit.removesuffix("*")
+        useless |= {f"{word[:k]}*" for k in STEMS if k < len(word) and counts.get(f"{word[:k]}*") == n}
+    return sorted(counts.keys() - useless)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """text, toxic of up to ``rows`` labelled documents whose crc32(doc_id) mod 5 isn't 0: those of the least id hashes.
     Texts that occur several times count once, by their largest label."""
@@ -322,15 +374,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> D
 
 
 def fit(docs: DataFrame, labels: DataFrame, model: Model, rows: int = FIT_ROWS) -> tuple[dict[str, tuple[float, float]], float]:
-    """(weights of each unit's presence and density, bias). Units are counted in Spark; only the best of them, of at most ``rows`` texts, are
-    collected for the regression."""
+    """(weights of each unit's presence and density, bias). Units are counted in Spark; all that pass the
+    test of significance, of at most ``rows`` texts, are collected for the regression."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept: list[Decoder] = []
 
     def restored(b: pa.RecordBatch) -> pa.RecordBatch:
-        if not kept:
-            kept.append(Decoder(shared.value))
-        words = [kept[0].words(t)[0] for t in b.column("text").to_pylist()]
+        decoder = held_decoder(shared.value)
+        words = [decoder.words(t)[0] for t in b.column("text").to_pylist()]
         return pa.record_batch([pa.array([list(units_of(w).items()) for w in words], pa.map_(pa.string(), pa.int32())), pa.array([len(w) for w in words], pa.int32()), b.column("toxic")], names=["units", "n_words", "toxic"])
     sample = staged(arrow_map(training_rows(docs, labels, rows), restored, "units map<string,int>, n_words int, toxic int"))
     sizes = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
@@ -338,19 +388,27 @@ def fit(docs: DataFrame, labels: DataFrame, model: Model, rows: int = FIT_ROWS)
     nothing = {}, math.log((k + 0.5) / (n - k + 0.5))
     if not k or k == n:
         return nothing
-    each = sample.select("toxic", F.explode(F.map_keys("units")).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).where(F.col("k") >= LEAST)
-    share = F.col("k") * F.log((F.col("k") + 0.5) * (n - k + 1) / ((F.col("n") - F.col("k") + 0.5) * (k + 1)))
-    top = sorted(r["unit"] for r in each.orderBy(F.desc(share), "unit").limit(UNITS).collect())
+    each = sample.select("toxic", F.explode(F.map_keys("units")).alias("unit")).groupBy("unit").agg(F.count("*").cast("double").alias("n"), F.sum("toxic").cast("double").alias("k"))
+
+    def part(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+    inside, rate = F.col("n"), k / n
+    ratio = 2 * (part(F.col("k"), inside * rate) + part(inside - F.col("k"), inside * (1 - rate)) + part(k - F.col("k"), (n - inside) * rate) + part(n - k - inside + F.col("k"), (n - inside) * (1 - rate)))
+    found = each.where((F.col("k") > F.col("n") * rate) & (F.when(inside < n, ratio).otherwise(F.lit(0.0)) >= SIGNIFICANT))
+    top = without_empty_stems({r["unit"]: (r["n"], r["k"]) for r in found.collect()})
     if not top:
         return nothing
     column = {u: i for i, u in enumerate(top)}
-    narrow = sample.select("toxic", "n_words", F.map_filter("units", lambda u, _: u.isin(top)).alias("units")).collect()
-    x, y = np.zeros((len(narrow), 2 * len(top))), np.zeros(len(narrow))
-    for i, r in enumerate(narrow):
-        y[i] = r["toxic"]
-        for u, c in r["units"].items():
-            x[i, column[u]], x[i, len(top) + column[u]] = 1, density(c, r["n_words"])
-    *w, bias = logistic(x, y).tolist()
+    shared_units = docs.sparkSession.sparkContext.broadcast(column)
+
+    def narrow(b: pa.RecordBatch) -> pa.RecordBatch:
+        units = [[(shared_units.value[u], c) for u, c in row if u in shared_units.value] for row in b.column("units").to_pylist()]
+        return pa.record_batch([pa.array([[i for i, _ in x] for x in units], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in units], pa.list_(pa.int32())), b.column("n_words"), b.column("toxic")], names=["at", "count", "n_words", "toxic"])
+    texts = arrow_map(sample, narrow, "at array<int>, count array<int>, n_words int, toxic int").collect()
+    entries = [(i, at, density(c, r["n_words"])) for i, r in enumerate(texts) for at, c in zip(r["at"], r["count"])]
+    at_row, at_column, dense = (np.array(x) for x in zip(*entries))
+    *w, bias = logistic(np.concatenate((at_row, at_row)), np.concatenate((at_column, at_column + len(top))), np.concatenate((np.ones(len(dense)), dense)),
+                        2 * len(top), np.array([r["toxic"] for r in texts], float)).tolist()
     return dict(zip(top, zip(w[:len(top)], w[len(top):]))), bias
 
 
@@ -366,14 +424,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, keep: tup
     weights, bias = fit(docs, labels, model, rows)
     only = by_length(weights)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept: list[Decoder] = []
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        if not kept:
-            kept.append(Decoder(shared.value))
+        decoder = held_decoder(shared.value)
         scores, found = [], []
         for text in b.column(1).to_pylist():
-            words, readings = kept[0].words(text or "")
+            words, readings = decoder.words(text or "")
             z = bias + sum(weights[u][0] + weights[u][1] * density(c, len(words)) for u, c in units_of(words, only).items())
             scores.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
             found.append([(token, w) for token, w in readings.items() if any(x in weights for x in w.split())])

@@ -134,6 +134,21 @@ def test_letters_beyond_a_to_z(lab):
     assert many.read("cr3tín") == "cretin" and many.read("\u4e01\u4e02") == "\u4e01\u4e02"
 
 
+def test_large_vocabulary(lab):
+    """As many words as labels teach have weight, and none of their beginnings that say nothing more."""
+    rng = np.random.default_rng(8)
+    bad = ["".join(rng.choice(list("bcdfgklmnprstvz"), 1)[0] + rng.choice(list("aeiou"), 1)[0] for _ in range(4)) + "x" for _ in range(150)]
+    rows = [(i, f"quiet words number {i // 26} stand here with line {i}", "en", "a", 1) for i in range(8000)]
+    rows += [(10_000 + i, f"quiet {bad[i % 150]} words stand here with line {i}", "en", "a", 1) for i in range(1800)]
+    docs = lab.createDataFrame(rows, DOCUMENTS)
+    labels = lab.createDataFrame([(r[0], 1, int(r[0] >= 10_000)) for r in rows], "doc_id long, quality int, toxic int")
+    weights, bias = X.fit(docs, labels, X.language_model(docs))
+    assert sum(w in weights or any(w[:k] + "*" in weights for k in X.STEMS) for w in set(bad)) > 0.95 * len(set(bad))
+    assert X.without_empty_stems({"nasty": (9, 8), "nas*": (9, 8), "nast*": (9, 8), "idi*": (12, 9), "idiot": (9, 9)}) == ["idi*", "idiot", "nasty"]
+    got = X.logistic(np.array([0, 1, 2, 3]), np.array([0, 0, 1, 1]), np.ones(4), 2, np.array([1, 1, 0, 1.0]))
+    assert abs(got[0] - got[1]) > 0.1 and got[0] > got[1]
+
+
 def test_toxicity_cases(lab):
     clean = [(i, f"quiet words number {chr(97 + i % 26)}{chr(97 + i // 26)} stand here", "en", "a", 1) for i in range(200)]
     bad = [(1000 + i, f"quiet nasty words number {chr(97 + i % 26)}{chr(97 + i // 26)} stand here", "en", "a", 1) for i in range(100)]
