@@ -78,6 +78,11 @@ def groups(offsets: np.ndarray, most: int = 1 << 21):
         i = min(j, n)
 
 
+def visible(raw: np.ndarray) -> np.ndarray:
+    """The bytes that aren't white space."""
+    return raw[~_SPACE[raw]]
+
+
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ in the bytes, and the first word of each text (with the end)."""
     inside = ~_SPACE[raw]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seriesforge.llm import bpe, sql
 from seriesforge.llm._frames import prepare, read
 from seriesforge.llm.packing import best_fit_packing
+from seriesforge.llm.periodic import periodic_runs
 from seriesforge.llm.pii import KINDS, pii_spans
 from seriesforge.llm.quality import quality_rules
 from seriesforge.llm.simhash import simhash_components
@@ -112,3 +113,31 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of vectors whose cosine is 0.95 or more."""
     return similar_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The contract's edit: with h the CRC-32 of the decimal doc_id and g = h div 10, the n words of a text from the word
+    g mod n on repeat with a period that h gives, if h is divisible by 10. Null doc_ids stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size("_words"), F.floor(F.col("_h") / 10)
+    a, p = F.col("_a"), F.col("_p")
+    edited = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+    return (docs.select("doc_id", "text", h.alias("_h"))
+            .withColumn("_words", F.when(F.col("_h") % 10 == 0, words))
+            .withColumn("_a", F.when(n > 0, g % n))
+            .withColumn("_p", 1 + F.floor((n - a) / (3 + g % 8)))
+            .select("doc_id", F.when(n > 0, F.array_join(edited, " ")).otherwise(F.col("text")).alias("text")))
+
+
+@query("op12_periodic")
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words, and texts without their repetitions."""
+    out = periodic_runs(with_periods(read(spark, sf_dir, "documents")))
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), 0)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = out.withColumn("best", longest)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.less") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(line, ""), "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
