@@ -15,6 +15,7 @@ from seriesforge.llm.periodic import periodic_runs
 from seriesforge.llm.pii import KINDS, pii_spans
 from seriesforge.llm.quality import quality_rules
 from seriesforge.llm.simhash import simhash_components
+from seriesforge.llm.sketch import edited_fingerprints, written
 from seriesforge.llm.substring import substring_dedup
 from seriesforge.llm.suffix import suffix_dedup
 from seriesforge.llm.toxicity import toxicity
@@ -141,3 +142,11 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
         F.floor(-1000 * F.col("best.less") / F.col("best.period")).cast("long").alias("exponent_milli"),
         F.sha2(F.encode(F.array_join(line, ""), "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
+@query("op13_fingerprints", sql.FINGERPRINTS)
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of texts and of their edited versions, and how like they are."""
+    out = edited_fingerprints(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), written(F.col("sketch")).alias("fingerprint"),
+                      written(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
