@@ -1,11 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into lines and these at sentence ends; each part, a paragraph here, has a 60-bit digest. A sketch has three
-tables of eight cells; a digest is added to one cell of each, which hold how many digests they have, their xor and the
+A text is cut into lines, and a line after each sentence end 160 characters or more behind the last cut; each part, a
+paragraph here, has a 60-bit digest. A sketch has three
+tables of four cells; a digest is added to one cell of each, which hold how many digests they have, their xor and the
 xor of their checks. Sketches subtract cell by cell, and what two versions share cancels out. A cell with one digest
 left (a count of 1 or -1, and the check of its xor) gives that digest, which is taken out of its other cells, until
 nothing is left: the difference is recovered. Where cells are left that hold several digests each, both versions are
-sketched again four times as large: the digests of the table are dealt by their next two bits to four tables of 24
+sketched again eight times as large: the digests of the table are dealt by their next three bits to eight tables of 12
 cells, and those are subtracted and peeled, and so on for the tables that fail still.
 
 All of it is built of Spark's array functions, evaluated row by row within the stage that has the texts; nothing is
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 
 from seriesforge.llm._frames import documents
 
-#: Ends of lines, and ends of sentences followed by white space.
-ENDS = r"[.!?]+[\x20\x09]+|[.!?]*[\x0A-\x0D]+"
+#: 160 characters or more of a line up to the end of a sentence, or what a line has left.
+PARAGRAPH = r"[^\x0A-\x0D]{160,}?[.!?]+[\x20\x09]+|[^\x0A-\x0D]+"
 #: Tables of a sketch, and the bits that choose a cell in each.
-TABLES, BITS = 3, 3
+TABLES, BITS = 3, 2
 CELLS = TABLES << BITS
 #: Bits of a digest, and those by which tables are split when they fail.
-WIDTH, SPLIT = 60, 2
+WIDTH, SPLIT = 60, 3
 #: A failing table is split at most so often, past which digests differ in too few bits to tell apart.
 LEVELS = (WIDTH - TABLES * BITS) // SPLIT
 _HALF = (1 << WIDTH // 2) - 1
@@ -38,7 +39,7 @@ _FIRST = -(1 << 63)
 
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs: the first 60 bits of their MD5."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), ENDS), lambda p: p != "")
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
     return F.array_distinct(F.transform(parts, lambda p: F.conv(F.substring(F.md5(p), 1, WIDTH // 4), 16, 10).cast("long")))
 
 
@@ -51,21 +52,30 @@ def _cell(n: Column, key: Column, check: Column) -> Column:
     return F.struct(n.alias("n"), key.alias("key"), check.alias("check"))
 
 
-def _bits(digest: Column, shift: Column, count: int) -> Column:
-    return F.call_function("shiftright", digest, shift).bitwiseAND(F.lit((1 << count) - 1))
+def _places() -> Column:
+    """For each cell the bits of a digest that choose it, and what they must be."""
+    mask = (1 << BITS) - 1
+    return F.array(*(F.struct(F.lit(mask << t * BITS).cast("long").alias("mask"), F.lit(c << t * BITS).cast("long").alias("bits"))
+                     for t in range(TABLES) for c in range(1 << BITS)))
 
 
-def sketch(found: Column) -> Column:
-    """24 cells of the digests ``found``: n, key and check of each."""
+def _checked(found: Column) -> Column:
+    """Digests with their checks."""
+    return F.transform(found, lambda x: F.struct(x.alias("key"), _check(x).alias("check")))
+
+
+def _sketch(items: Column) -> Column:
     empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
-    def cell(shift: int):
-        def of(c: Column) -> Column:
-            here = F.filter(found, lambda x: F.shiftright(x, shift).bitwiseAND(F.lit((1 << BITS) - 1)) == c)
-            return F.reduce(here, empty, lambda a, x: _cell(a["n"] + 1, a["key"].bitwiseXOR(x), a["check"].bitwiseXOR(_check(x))))
-        return of
-    places = F.array(*(F.lit(c).cast("long") for c in range(1 << BITS)))
-    return F.concat(*(F.transform(places, cell(t * BITS)) for t in range(TABLES)))
+    def cell(at: Column) -> Column:
+        inside = F.filter(items, lambda x: x["key"].bitwiseAND(at["mask"]) == at["bits"])
+        return F.reduce(inside, empty, lambda a, x: _cell(a["n"] + 1, a["key"].bitwiseXOR(x["key"]), a["check"].bitwiseXOR(x["check"])))
+    return F.transform(_places(), cell)
+
+
+def sketch(found: Column) -> Column:
+    """12 cells of the digests ``found``: n, key and check of each."""
+    return _let(_checked(found), _sketch)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -79,65 +89,75 @@ def _let(value: Column, body) -> Column:
 
 def peel(cells: Column) -> Column:
     """The digests that a difference of sketches holds: here (count 1), there (count -1), and whether that is all."""
-    none = F.array().cast("array<bigint>")
-
     def alone(x: Column) -> Column:
         return ((x["n"] == 1) | (x["n"] == -1)) & (x["check"] == _check(x["key"]))
 
-    def without(cell: Column, place: Column, out: Column) -> Column:
-        shift = (F.shiftright(place, BITS) * BITS)
-        at = place.bitwiseAND(F.lit((1 << BITS) - 1))
-        inside = F.filter(out, lambda p: _bits(p["key"], shift, BITS) == at)
-        return F.reduce(inside, cell, lambda a, p: _cell(a["n"] - p["n"], a["key"].bitwiseXOR(p["key"]), a["check"].bitwiseXOR(p["check"])))
+    def without(out: Column):
+        def cell(c: Column, at: Column) -> Column:
+            inside = F.filter(out, lambda p: p["key"].bitwiseAND(at["mask"]) == at["bits"])
+            return F.when(F.size(inside) == 0, c).otherwise(
+                F.reduce(inside, c, lambda a, p: _cell(a["n"] - p["n"], a["key"].bitwiseXOR(p["key"]), a["check"].bitwiseXOR(p["check"]))))
+        return cell
 
     def step(s: Column, _: Column) -> Column:
         def taken(out: Column) -> Column:
             return F.when(F.size(out) == 0, F.struct(s["cells"].alias("cells"), s["out"].alias("out"), F.lit(True).alias("over"))).otherwise(
-                F.struct(F.transform(s["cells"], lambda c, i: without(c, i, out)).alias("cells"), F.concat(s["out"], out).alias("out"), F.lit(False).alias("over")))
+                F.struct(F.zip_with(s["cells"], _places(), without(out)).alias("cells"), F.concat(s["out"], out).alias("out"), F.lit(False).alias("over")))
         return F.when(s["over"], s).otherwise(_let(F.array_distinct(F.filter(s["cells"], alone)), taken))
-    start = F.struct(cells.alias("cells"), F.filter(cells, lambda x: F.lit(False)).alias("out"), F.lit(False).alias("over"))
+    start = F.struct(cells.alias("cells"), F.slice(cells, 1, 0).alias("out"), F.lit(False).alias("over"))
 
     def told(s: Column) -> Column:
-        return F.struct(F.coalesce(F.transform(F.filter(s["out"], lambda p: p["n"] == 1), lambda p: p["key"]), none).alias("here"),
-                        F.coalesce(F.transform(F.filter(s["out"], lambda p: p["n"] == -1), lambda p: p["key"]), none).alias("there"),
+        return F.struct(F.transform(F.filter(s["out"], lambda p: p["n"] == 1), lambda p: p["key"]).alias("here"),
+                        F.transform(F.filter(s["out"], lambda p: p["n"] == -1), lambda p: p["key"]).alias("there"),
                         F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["key"] == 0)).alias("whole"))
     return _let(F.reduce(F.sequence(F.lit(1), F.lit(CELLS)), start, step), told)
 
 
-def difference(a: Column, b: Column) -> Column:
+def difference(a: Column, b: Column, sketch_a: Column | None = None, sketch_b: Column | None = None) -> Column:
     """The digests only in ``a`` (here) and only in ``b`` (there), from subtracted sketches that grow where they fail.
 
-    Tables that fail when no bits are left to split them by are compared as lists."""
-    none = F.array().cast("array<bigint>")
-
+    The sketches of both may be given. Tables that fail when no bits are left to split them by are compared as lists."""
     def tried(t: Column) -> Column:
-        return F.struct(t["a"].alias("a"), t["b"].alias("b"), peel(subtract(sketch(t["a"]), sketch(t["b"]))).alias("got"))
+        return F.struct(t["a"].alias("a"), t["b"].alias("b"), peel(subtract(_sketch(t["a"]), _sketch(t["b"]))).alias("got"))
 
-    def split(t: Column, level: Column) -> Column:
+    def split(x: Column, y: Column, level: Column) -> Column:
         shift = F.lit(WIDTH) - SPLIT * level
-        return F.transform(F.array(*(F.lit(c).cast("long") for c in range(1 << SPLIT))), lambda c: F.struct(
-            F.filter(t["a"], lambda x: _bits(x, shift, SPLIT) == c).alias("a"), F.filter(t["b"], lambda x: _bits(x, shift, SPLIT) == c).alias("b")))
+        parts = F.transform(F.array(*(F.lit(c).cast("long") for c in range(1 << SPLIT))), lambda c: F.struct(
+            F.call_function("shiftleft", c, shift).alias("bits"), F.call_function("shiftleft", F.lit((1 << SPLIT) - 1).cast("long"), shift).alias("mask")))
+
+        def part(side: Column, at: Column) -> Column:
+            return F.filter(side, lambda p: p["key"].bitwiseAND(at["mask"]) == at["bits"])
+        return F.transform(parts, lambda at: F.struct(part(x, at).alias("a"), part(y, at).alias("b")))
 
     def step(s: Column, level: Column) -> Column:
         def sorted_out(r: Column) -> Column:
             good = F.filter(r, lambda t: t["got"]["whole"])
             bad = F.filter(r, lambda t: ~t["got"]["whole"])
-            return F.struct(F.flatten(F.transform(bad, lambda t: split(t, level))).alias("open"),
+            return F.struct(F.flatten(F.transform(bad, lambda t: split(t["a"], t["b"], level))).alias("open"),
                             F.concat(s["here"], F.flatten(F.transform(good, lambda t: t["got"]["here"]))).alias("here"),
                             F.concat(s["there"], F.flatten(F.transform(good, lambda t: t["got"]["there"]))).alias("there"))
         return F.when(F.size(s["open"]) == 0, s).otherwise(_let(F.transform(s["open"], tried), sorted_out))
-    start = F.struct(F.array(F.struct(a.alias("a"), b.alias("b"))).alias("open"), none.alias("here"), none.alias("there"))
+
+    def start(got: Column) -> Column:
+        open_ = _let(F.struct(_checked(a).alias("a"), _checked(b).alias("b")), lambda t: split(t["a"], t["b"], F.lit(1)))
+        none = F.slice(a, 1, 0)
+        return F.when(got["whole"], F.struct(F.slice(open_, 1, 0).alias("open"), got["here"].alias("here"), got["there"].alias("there"))).otherwise(
+            F.struct(open_.alias("open"), none.alias("here"), none.alias("there")))
+    first = peel(subtract(sketch(a) if sketch_a is None else sketch_a, sketch(b) if sketch_b is None else sketch_b))
+
+    def keys(x: Column, y: Column) -> Column:
+        return F.array_except(F.transform(x, lambda p: p["key"]), F.transform(y, lambda p: p["key"]))
 
     def told(s: Column) -> Column:
-        return F.struct(F.concat(s["here"], F.flatten(F.transform(s["open"], lambda t: F.array_except(t["a"], t["b"])))).alias("here"),
-                        F.concat(s["there"], F.flatten(F.transform(s["open"], lambda t: F.array_except(t["b"], t["a"])))).alias("there"))
-    return _let(F.reduce(F.sequence(F.lit(1), F.lit(LEVELS)), start, step), told)
+        return F.struct(F.concat(s["here"], F.flatten(F.transform(s["open"], lambda t: keys(t["a"], t["b"])))).alias("here"),
+                        F.concat(s["there"], F.flatten(F.transform(s["open"], lambda t: keys(t["b"], t["a"])))).alias("there"))
+    return _let(F.reduce(F.sequence(F.lit(2), F.lit(LEVELS)), _let(first, start), step), told)
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, sketch_a: Column | None = None, sketch_b: Column | None = None) -> Column:
     """The share of paragraphs two versions have in common: 1 without any difference (both empty too), 0 with nothing shared."""
     both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(_let(difference(a, b), lambda d: (both - F.size(d["here"]) - F.size(d["there"])) / both))
+    return F.when(both == 0, F.lit(1.0)).otherwise(_let(difference(a, b, sketch_a, sketch_b), lambda d: (both - F.size(d["here"]) - F.size(d["there"])) / both))
 
 
 def written(cells: Column) -> Column:
@@ -190,5 +210,6 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next.text"), F.lit(1), half))
     out = with_next(rows, "text", "digests").withColumn("n_chars", n).withColumn("edited", edited)
     out = out.select("doc_id", "n_chars", "edited", "digests", digests(F.col("edited")).alias("edited_digests"), F.col("next.digests").alias("next_digests"))
-    return out.select("*", sketch(F.col("digests")).alias("sketch"), sketch(F.col("edited_digests")).alias("edited_sketch"),
-                      likeness(F.col("digests"), F.col("edited_digests")).alias("near_edited"), likeness(F.col("digests"), F.col("next_digests")).alias("near_next"))
+    out = out.select("*", sketch(F.col("digests")).alias("sketch"), sketch(F.col("edited_digests")).alias("edited_sketch"))
+    own, changed, after = F.col("digests"), F.col("edited_digests"), F.col("next_digests")
+    return out.select("*", likeness(own, changed, F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(own, after, F.col("sketch")).alias("near_next"))

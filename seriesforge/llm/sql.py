@@ -44,9 +44,9 @@ FROM n LEFT JOIN kept ON kept.r = n.r LEFT JOIN gone ON gone.r = n.r"""
 FINGERPRINTS = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS i FROM documents),
 n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY i), first_value(t) OVER (ORDER BY i)) AS x FROM t),
 e AS (SELECT doc_id, t, x, n, substr(t, 1, n - n // 2) || substr(x, 1, n // 2) AS e FROM n),
-d AS (SELECT *, list_transform([t, e, x], lambda s: list_distinct(list_transform(list_filter(regexp_split_to_array(s, '[.!?]+[\x20\x09]+|[.!?]*[\x0A-\x0D]+'), lambda p: p <> ''),
+d AS (SELECT *, list_transform([t, e, x], lambda s: list_distinct(list_transform(regexp_extract_all(s, '[^\x0A-\x0D]{160,}?[.!?]+[\x20\x09]+|[^\x0A-\x0D]+'),
   lambda p: CAST('0x' || substr(md5(p), 1, 15) AS BIGINT)))) AS d FROM e),
-s AS (SELECT *, list_transform(d[1:2], lambda l: array_to_string(list_transform(list_transform(range(24), lambda c: list_filter(l, lambda k: ((k >> (3 * (c // 8))) & 7) = c % 8)),
+s AS (SELECT *, list_transform(d[1:2], lambda l: array_to_string(list_transform(list_transform(range(12), lambda c: list_filter(l, lambda k: ((k >> (2 * (c // 4))) & 3) = c % 4)),
   lambda k: format('{:04X}{:015X}{:015X}', len(k), coalesce(list_aggregate(k, 'bit_xor'), 0),
     coalesce(list_aggregate(list_transform(k, lambda y: (((y & 1073741823) + 40503) * ((y >> 30) + 30011)) & 1152921504606846975), 'bit_xor'), 0))), '')) AS s FROM d)
 SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(e) AS edited_sha256, s[1] AS fingerprint, s[2] AS edited_fingerprint,
