@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesforge.llm import bpe, sql
 from seriesforge.llm._frames import prepare, read
+from seriesforge.llm.collocations import collocations
 from seriesforge.llm.packing import best_fit_packing
 from seriesforge.llm.periodic import periodic_runs
 from seriesforge.llm.pii import KINDS, pii_spans
@@ -150,3 +151,9 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = edited_fingerprints(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), written(F.col("sketch")).alias("fingerprint"),
                       written(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op11_collocations", sql.COLLOCATIONS)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language by how much oftener their words stand together than apart."""
+    return collocations(read(spark, sf_dir, "documents"))

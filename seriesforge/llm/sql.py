@@ -52,3 +52,19 @@ s AS (SELECT *, list_transform(d[1:2], lambda l: array_to_string(list_transform(
 SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(e) AS edited_sha256, s[1] AS fingerprint, s[2] AS edited_fingerprint,
        CASE WHEN len(d[1]) + len(d[2]) = 0 THEN 1.0::DOUBLE ELSE 2 * len(list_intersect(d[1], d[2])) / (len(d[1]) + len(d[2])) END AS near_edited,
        CASE WHEN len(d[1]) + len(d[3]) = 0 THEN 1.0::DOUBLE ELSE 2 * len(list_intersect(d[1], d[3])) / (len(d[1]) + len(d[3])) END AS near_next FROM s"""
+
+#: All phrases of 1 to 5 words are rows; those of 2 or more with 100 occurrences are cut, scored, thinned and ranked.
+COLLOCATIONS = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+k AS (SELECT lang, w, unnest(range(1, 6)) AS k FROM w),
+i AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM k WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS BIGINT) AS a FROM i GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
+x AS (SELECT lang, phrase, a, k, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT x.lang, x.phrase, x.a, x.cut, l.a AS l, r.a AS r, n.n, CAST(1000 * CAST(x.a AS HUGEINT) * n.n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM x JOIN n ON n.lang = x.lang JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.cut + 1:x.k], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS least FROM s),
+d AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN c ON c.lang = b.lang AND c.a >= b.a AND c.phrase <> b.phrase AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
+FROM b ANTI JOIN d USING (lang, phrase) WHERE least = 1 QUALIFY rank <= 2000"""
