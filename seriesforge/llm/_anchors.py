@@ -109,7 +109,9 @@ def by_anchor(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], size: Cal
     """A mapInArrow function over rows sorted by ``ah``: ``work`` gets chunks of about ``chunk`` in size, cut between
     two anchors."""
     def done(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = work(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
+        together = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        rows.clear()  # the batches needn't stand beside their copy
+        out = work(together)
         if out is not None and out.num_rows:
             yield out
 
@@ -127,8 +129,9 @@ def by_anchor(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], size: Cal
             at = 0
             for cut in cuts:
                 if have + sums[cut] - sums[at] >= chunk:
-                    yield from done([*held, b.slice(at, cut - at)])
-                    held, have, at = [], 0, cut
+                    held.append(b.slice(at, cut - at))
+                    yield from done(held)
+                    have, at = 0, cut
             held.append(b.slice(at))
             have += int(sums[-1] - sums[at])
             last = ah[-1]

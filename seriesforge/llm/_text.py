@@ -21,11 +21,11 @@ def powers(root: int, n: int) -> np.ndarray:
     """root^0 .. root^(n-1)."""
     have = _POWERS.get(root)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20) if n <= 1 << 22 else n
+        size = max(n, 1 << 20)
         p = np.full(size, U(root))
         p[0] = 1
         have = np.cumprod(p, dtype=U)
-        if size <= 1 << 22:  # a rare huge text doesn't stay in memory
+        if size <= 1 << 21 | 1 << 10:  # what the groups need; a rare huge text doesn't stay in memory
             _POWERS[root] = have
     return have[:n]
 

@@ -28,11 +28,24 @@ LENGTH = 200
 #: Bytes of the grams that anchor strings.
 GRAM = 48
 #: Bytes of an anchor's runs that are sorted together; an anchor with more is counted by digests.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 #: Bytes of runs sorted at once in a task.
 CHUNK = 1 << 20
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """The place of each key among the distinct ones; no more than two arrays of the keys' size stand beside them."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.empty(len(key), np.int32)
+    new[0] = 0
+    new[1:] = key[1:] != key[:-1]
+    del key
+    out = np.empty(len(new), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
+    return out
+
+
 def previous_factor(raw: np.ndarray, group: np.ndarray, inside: np.ndarray, k: int) -> np.ndarray:
     """For each position of ``inside`` the nearest smaller position in suffix order, within its group, whose ``k`` bytes
     are the same, or -1: where there is one, the longest previous factor has k bytes or more. ``inside`` tells where k
@@ -43,13 +56,12 @@ def previous_factor(raw: np.ndarray, group: np.ndarray, inside: np.ndarray, k: i
         return out
     # ranks of the first 8 bytes, then of 16, 32, ...; the last step overlaps to reach k exactly
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    key = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
-    rank, have = np.unique(key, return_inverse=True)[1].astype(np.int64), 8
+    rank, have = _ranks(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)), 8
     while have < k:
         step = min(have, k - have)
-        second = np.zeros(n, np.int64)
-        second[:n - step] = rank[step:] + 1
-        rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1].astype(np.int64)
+        key = rank.astype(np.int64) * (n + 2)
+        key[:n - step] += rank[step:] + 1
+        rank = _ranks(key)
         have += step
     at = np.flatnonzero(inside)
     order = at[np.lexsort((at, rank[at], group[at]))]  # the suffix array of each group, ties by position
