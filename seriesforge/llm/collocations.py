@@ -34,7 +34,7 @@ SHARDS, TOGETHER = 16, 4096
 #: Size of the sets of bits: 2^26 bits are 8 MB, whatever the number of phrases.
 BITS = 26
 #: Bytes of text that a task counts together.
-BLOCK = 1 << 23
+BLOCK = 1 << 21
 _COUNTS = "lang string, shard int, size int, phrase string, c bigint"
 #: What a byte becomes: A-Z in lower case, ends of pieces as \\n, white space within them as a blank.
 _AS = np.arange(256, dtype=np.uint8)
@@ -184,8 +184,8 @@ def _counts(docs: DataFrame, rule, bits: Broadcast | None = None, total: bool =
             for size, one, count in rule(b, lang, shard, **more):
                 order = np.argsort(one)
                 one, count = one[order], count[order]
-                for i in range(0, len(one), 1 << 17):
-                    yield _batch(lang, shard, size, b.spelt(one[i:i + (1 << 17)], size), count[i:i + (1 << 17)])
+                for i in range(0, len(one), 1 << 14):
+                    yield _batch(lang, shard, size, b.spelt(one[i:i + (1 << 14)], size), count[i:i + (1 << 14)])
     return docs.select("lang", "shard", "text").mapInArrow(task, _COUNTS)
 
 
