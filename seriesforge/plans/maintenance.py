@@ -95,14 +95,54 @@ def incremental_state(state: State, listing: DataFrame, loader: Callable[[DataFr
 
 # ---- on-disk runs ---------------------------------------------------------------------
 
+#: How often a build starts anew from a version that another one has published meanwhile.
+ATTEMPTS = 20
+
+
+class _Loads:
+    """What one build reads from panels: each file once, however often the build starts anew."""
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root, self.run, self.files = spark, root, None, None
+
+    def begin(self, base: str | None) -> tuple[int, int]:
+        """Version and run of an attempt from ``base``; rows that are there already become the new run's."""
+        from seriesforge.sources import snapshot as SN
+        version, run = SN.next_run(base)
+        if self.run is not None:
+            SN.move_run(self.spark, self.root, self.run, run)
+        self.run = run
+        return version, run
+
+    def __call__(self, files: DataFrame) -> DataFrame:
+        """The rows of ``files`` (path, country, frequency), as the run has them."""
+        from seriesforge.sources import panels as P
+        from seriesforge.sources import snapshot as SN
+        columns = ["path", "country", "frequency"]
+        files = files.select(*columns)
+        fresh = files if self.files is None else files.join(self.files.select("path"), "path", "left_anti").checkpoint(eager=True)
+        if self.files is None or not fresh.isEmpty():
+            rows = SN.write_run(self.spark, self.root, I.drop_missing(P.read_panels(self.spark, fresh)), self.run)
+        else:
+            rows = SN.stored_observations(self.spark, self.root, [self.run])
+        if self.files is not None:  # rows of files that need no loading any more stay out of sight
+            rows = rows.join(files.select(F.col("path").alias("source_file")), "source_file", "left_semi")
+        self.files = fresh if self.files is None else self.files.select(*columns).union(fresh.select(*columns))
+        return rows.drop("load_run")
+
+
 def build_store(spark, root: str, roots, countries: Sequence[str] | None = None, rebuild: bool = False) -> DataFrame:
     """C7/C8 on files: list the country roots, then rebuild or update the
     store under ``root`` and publish a new snapshot. Returns the change report,
     or the build summary after a rebuild. Each panel is read once: the run's
     observations are written first, and catalog and manifest follow from the
     written rows. Ingest runs case-sensitive (series names may differ only by
-    case). Unknown country codes are named in a warning and left out."""
-    from seriesforge.operators import stats as ST
+    case). Unknown country codes are named in a warning and left out.
+
+    Builds may run side by side: one that finds another's version in the place
+    of its own starts anew from that version. Files that the other has loaded
+    in the same state are unchanged then; the rest is added to what it made,
+    from rows that are read from the panels once."""
     from seriesforge.session import ensure_checkpoint_dir
     from seriesforge.sources import files as FL
     from seriesforge.sources import panels as P
@@ -117,18 +157,29 @@ def build_store(spark, root: str, roots, countries: Sequence[str] | None = None,
     # one view of the listing: what is loaded and what the manifest says of it belong together
     listing = FL.classify_files(FL.discover_files(spark, [(c, r) for c, r in roots if c in chosen])).checkpoint(eager=True)
     with P.case_sensitive(spark):
-        version, run = SN.new_run(spark, root)
-
-        def load(files: DataFrame) -> DataFrame:
-            return SN.write_run(spark, root, I.drop_missing(P.read_panels(spark, files)), run).drop("load_run")
-        snap = SN.open_snapshot(spark, root)
-        if rebuild or snap is None or C.needs_rebuild(spark, snap.catalog, snap.manifest):
-            st = rebuild_state(load(listing), run=run, mtimes=listing, country_order=chosen)
-            SN.publish_snapshot(spark, root, st.catalog, st.manifest, version, run)
-            done = SN.open_snapshot(spark, root)
-            return ST.build_summary(done.manifest, done.catalog)
-        state = snap.state()
-        new_state, report = incremental_state(state, listing, load, run=run, countries=chosen, country_order=chosen)
-        if new_state is not state:
-            SN.publish_snapshot(spark, root, new_state.catalog, new_state.manifest, version, run)
-        return report
+        load = _Loads(spark, root)
+        for _ in range(ATTEMPTS):
+            try:
+                return _build(spark, root, listing, load, chosen, rebuild)
+            except SN.Conflict:
+                continue
+    raise SN.Conflict(f"{root} was published by others {ATTEMPTS} times meanwhile")
+
+
+def _build(spark, root: str, listing: DataFrame, load: _Loads, chosen: list[str], rebuild: bool) -> DataFrame:
+    """One attempt, from the version that is current as it begins."""
+    from seriesforge.operators import stats as ST
+    from seriesforge.sources import snapshot as SN
+    base = SN.current_tag(spark, root)
+    version, run = load.begin(base)
+    snap = SN.open_snapshot(spark, root, base)
+    if rebuild or snap is None or C.needs_rebuild(spark, snap.catalog, snap.manifest):
+        st = rebuild_state(load(listing), run=run, mtimes=listing, country_order=chosen)
+        SN.publish_snapshot(spark, root, st.catalog, st.manifest, version, run)
+        done = SN.open_snapshot(spark, root, f"v{version}_{run}")
+        return ST.build_summary(done.manifest, done.catalog)
+    state = snap.state()
+    new_state, report = incremental_state(state, listing, load, run=run, countries=chosen, country_order=chosen)
+    if new_state is not state:
+        SN.publish_snapshot(spark, root, new_state.catalog, new_state.manifest, version, run)
+    return report

@@ -4,6 +4,7 @@ the session's checkpoint folder, which all machines share."""
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,24 @@ def snapshot_roundtrip(spark, d):
             .select("name", "frequency", "country", base_name("source_file").alias("file_name"), "min_date", "max_date", "count", "total"))
 
 
+@query("concurrent_updates", with_ctes(
+    "SELECT name, frequency, country, concat(country, '_', frequency, '.parquet') AS file_name, min_date, max_date, count FROM cat1", **BASE))
+def concurrent_updates(spark, d):
+    """A5 + A6 with C7: four builds of one store run side by side, each for a part of the countries of FX1; the last version
+    has what all of them loaded."""
+    roots = write_panels(spark, S.obs1(spark, d), scratch(spark, "panels"))
+    store, codes = scratch(spark, "store"), [c for c, _ in roots]
+
+    def build(part: list[str]) -> None:
+        session = spark.newSession()
+        session.conf.set("spark.sql.session.timeZone", "UTC")
+        build_store(session, store, roots, countries=part)
+    with ThreadPoolExecutor(4) as pool:
+        for done in [pool.submit(build, codes[i::4]) for i in range(4)]:
+            done.result()
+    return SN.open_snapshot(spark, store).catalog.select("name", "frequency", "country", base_name("source_file").alias("file_name"), "min_date", "max_date", "count")
+
+
 # ---- streams over the events table ------------------------------------------------------
 
 @query("continuous_refresh", with_ctes(

@@ -129,6 +129,97 @@ def test_lost_pointer(spark, scratch):
     assert report["changed"] == 0 and SN.open_snapshot(spark, root).visible_observations().count() == 4
 
 
+def _before_publishing(monkeypatch, act):
+    """``act`` once, at the moment that a build is about to publish."""
+    publish, waiting = SN.publish_snapshot, [act]
+
+    def publishes(*args, **kw):
+        if waiting:
+            waiting.pop()()
+        return publish(*args, **kw)
+    monkeypatch.setattr(SN, "publish_snapshot", publishes)
+
+
+def test_builds_of_two_countries_side_by_side(spark, scratch, monkeypatch):
+    """cn publishes while jp is under way: both are in the store, each panel is read once, versions have numbers of their own."""
+    data, roots, t0 = _two_panels(scratch)
+    root = os.path.join(scratch, "store")
+    build_store(spark, root, roots)
+    _panel(f"{data}/cn/c_m.parquet", ["2020-01-01"], {"S3": [1.0]}, t0 + 10)
+    _panel(f"{data}/jp/b_m.parquet", ["2020-01-01", "2020-02-01"], {"S2": [7.0, 8.0]}, t0 + 10)
+    _before_publishing(monkeypatch, lambda: build_store(spark, root, roots, countries=["cn"]))
+    write, written = SN.write_run, []
+    monkeypatch.setattr(SN, "write_run", lambda *a, **k: written.append(a[3]) or write(*a, **k))
+    report = build_store(spark, root, roots, countries=["jp"]).first()
+    assert (report["changed"], report["removed"]) == (1, 0)
+    assert _served(spark, root) == {"S1": (2, [1.0, 2.0]), "S2": (2, [7.0, 8.0]), "S3": (1, [1.0])}
+    assert SN.commits(spark, root) == [1, 2, 3] and len(written) == 2
+    snap = SN.open_snapshot(spark, root)
+    assert snap.manifest.count() == 3 and snap.visible_observations().count() == 5
+    assert snap.stats.where("key = 'total_series'").first()["value"] == "3"
+
+
+def test_builds_of_one_country_side_by_side(spark, scratch, monkeypatch):
+    """The second finds its files loaded: one version, nothing twice. If a file has changed since, the later listing counts."""
+    data, roots, t0 = _two_panels(scratch)
+    root = os.path.join(scratch, "store")
+    build_store(spark, root, roots)
+    _panel(f"{data}/jp/b_m.parquet", ["2020-01-01", "2020-02-01"], {"S2": [7.0, 8.0]}, t0 + 10)
+    _before_publishing(monkeypatch, lambda: build_store(spark, root, roots))
+    report = build_store(spark, root, roots).first()
+    assert (report["changed"], report["unchanged"]) == (0, 2)
+    assert SN.commits(spark, root) == [1, 2] and _served(spark, root)["S2"] == (2, [7.0, 8.0])
+    assert SN.open_snapshot(spark, root).visible_observations().count() == 4
+    assert SN.stored_observations(spark, root).count() == 8  # the second's rows are there, in nobody's sight
+    SN.vacuum(spark, root, keep=1)
+    assert SN.stored_observations(spark, root).count() == 6  # they are gone; run 1 has what the update replaced
+
+
+def test_first_builds_side_by_side(spark, scratch, monkeypatch):
+    """Both start without a store: the second adds to the first's."""
+    _, roots, _ = _two_panels(scratch)
+    root = os.path.join(scratch, "store")
+    _before_publishing(monkeypatch, lambda: build_store(spark, root, roots, countries=["cn"]))
+    build_store(spark, root, roots, countries=["jp"])
+    assert _served(spark, root) == {"S1": (2, [1.0, 2.0]), "S2": (2, [5.0, 6.0])}
+    assert SN.commits(spark, root) == [1, 2]
+
+
+def test_compaction_beside_a_build(spark, scratch, monkeypatch):
+    data, roots, t0 = _two_panels(scratch)
+    root = os.path.join(scratch, "store")
+    build_store(spark, root, roots)
+    _panel(f"{data}/jp/b_m.parquet", ["2020-01-01"], {"S3": [9.0]}, t0 + 10)
+    _before_publishing(monkeypatch, lambda: build_store(spark, root, roots))
+    SN.compact(spark, root)
+    assert _served(spark, root) == {"S1": (2, [1.0, 2.0]), "S3": (1, [9.0])}
+    runs = {r["run"] for r in SN.open_snapshot(spark, root).catalog.select("load_seq.run").collect()}
+    assert SN.commits(spark, root) == [1, 2, 3] and len(runs) == 1
+
+
+def test_a_commit_is_made_once(spark, scratch):
+    from concurrent.futures import ThreadPoolExecutor
+    path = os.path.join(scratch, "commits", "00000000000000000001")
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda i: SN.create_new(spark, path, f"v1_{i}"), range(24)))
+    assert sum(made) == 1 and SN.read_text(spark, path) == f"v1_{made.index(True)}"
+    assert [f for f in os.listdir(os.path.dirname(path)) if not f.startswith(".")] == ["00000000000000000001"]
+
+
+def test_store_without_commits(spark, scratch):
+    """A store from before there were commits: its pointer counts until the next run commits."""
+    data, roots, t0 = _two_panels(scratch)
+    root = os.path.join(scratch, "store")
+    build_store(spark, root, roots)
+    SN._delete(spark, f"{root}/commits")
+    assert SN.current_version(spark, root) == 1
+    os.remove(f"{root}/CURRENT")
+    assert SN.current_version(spark, root) == 1
+    _panel(f"{data}/jp/b_m.parquet", ["2020-01-01"], {"S2": [7.0]}, t0 + 10)
+    build_store(spark, root, roots)
+    assert SN.commits(spark, root) == [2] and _served(spark, root)["S2"] == (1, [7.0])
+
+
 def test_pointer_is_replaced_in_one_step(spark, scratch):
     path = os.path.join(scratch, "pointer")
     for text in ("one", "two"):
