@@ -35,7 +35,9 @@ COLUMNS = {
     "op5_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op6_warc": "page_id payload_bytes payload_digest record_type refers_to", "op7_vectors": "vec_id n_links component_id kept",
     "op8_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op9_suffix": "doc_id n_bytes n_removed n_spans kept_sha256",
-    "op10_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans"}
+    "op10_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op12_periodic": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next"}
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
