@@ -1,6 +1,6 @@
 """Phrases whose words occur together more often than apart, mined by SON partitioning.
 
-The documents of a language are dealt to at most 16 shards (by ranges of doc_id, so that neighbours share one). A shard
+The documents of a language are dealt to at most eight shards (by ranges of doc_id, so that neighbours share one). A shard
 that has b of a language's B bytes is mined completely at the local support ceil(support * b / B): a phrase that has
 the support in the language has the local one in some shard, whatever the shards' sizes, as these add up to B. There are
 so few shards that the local support stays far above 1 at any size of the corpus; a shard is mined by as many tasks as it
@@ -30,12 +30,12 @@ from seriesforge.llm._frames import documents, staged
 
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: Shards at most, and how many neighbouring doc_ids go to one together.
-SHARDS, TOGETHER = 16, 4096
+SHARDS, TOGETHER = 8, 4096
 #: Size of the sets of bits: 2^26 bits are 8 MB, whatever the number of phrases.
 BITS = 26
 #: Bytes of text that a task counts together.
 BLOCK = 1 << 21
-_COUNTS = "lang string, shard int, size int, phrase string, c bigint"
+_COUNTS = "lang string, shard int, phrase string, c bigint"
 #: What a byte becomes: A-Z in lower case, ends of pieces as \\n, white space within them as a blank.
 _AS = np.arange(256, dtype=np.uint8)
 _AS[ord("A"):ord("Z") + 1] += 32
@@ -167,7 +167,8 @@ def _blocks(texts: Iterator[tuple[str, int, bytes]]) -> Iterator[tuple[str, int,
 
 
 def _counts(docs: DataFrame, rule, bits: Broadcast | None = None, total: bool = False, **given) -> DataFrame:
-    """Counts of the phrases that ``rule`` finds, a row for each block at most; ``total``: all words as size 0 too."""
+    """Counts of the phrases that ``rule`` finds, a row for each block at most, those that begin alike together (they
+    compress better so); ``total``: all words as a null phrase too."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = given if bits is None else given | {"bits": np.frombuffer(bits.value, np.uint8)}
 
@@ -180,19 +181,17 @@ def _counts(docs: DataFrame, rule, bits: Broadcast | None = None, total: bool =
         for lang, shard, text in _blocks(texts()):
             b = Block(np.frombuffer(text, np.uint8))
             if total and len(b.code):
-                yield _batch(lang, shard, 0, pa.array([None], pa.string()), np.array([len(b.code)]))
+                yield _batch(lang, shard, pa.array([None], pa.string()), np.array([len(b.code)]))
             for size, one, count in rule(b, lang, shard, **more):
-                order = np.argsort(one)
-                one, count = one[order], count[order]
                 for i in range(0, len(one), 1 << 14):
-                    yield _batch(lang, shard, size, b.spelt(one[i:i + (1 << 14)], size), count[i:i + (1 << 14)])
+                    yield _batch(lang, shard, b.spelt(one[i:i + (1 << 14)], size), count[i:i + (1 << 14)])
     return docs.select("lang", "shard", "text").mapInArrow(task, _COUNTS)
 
 
-def _batch(lang: str, shard: int, size: int, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
+def _batch(lang: str, shard: int, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
     n = len(phrase)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, size, np.int32)),
-                                       phrase, pa.array(count, pa.int64())], names=["lang", "shard", "size", "phrase", "c"])
+    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, shard, np.int32)),
+                                       phrase, pa.array(count, pa.int64())], names=["lang", "shard", "phrase", "c"])
 
 
 def _bits(phrases: DataFrame) -> Broadcast:
@@ -216,8 +215,8 @@ def _bits(phrases: DataFrame) -> Broadcast:
 
 def _frequent(counts: DataFrame, support: DataFrame) -> DataFrame:
     """The phrases that have their shard's local support."""
-    summed = counts.groupBy("lang", "shard", "size", "phrase").agg(F.sum("c").alias("c"))
-    return summed.join(support, ["lang", "shard"]).where("c >= least").select("lang", "shard", "size", "phrase")
+    summed = counts.groupBy("lang", "shard", "phrase").agg(F.sum("c").alias("c"))
+    return summed.join(support, ["lang", "shard"]).where("c >= least").select("lang", "shard", "phrase")
 
 
 def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -234,8 +233,9 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     some = pairs.select("lang", "phrase").union(words)
     union = (some if chains is None else some.union(chains.select("lang", "phrase"))).distinct()
     counts = _counts(dealt, _listed, _bits(union.withColumn("shard", F.lit(-1))), total=True, longest=longest)
-    all_ = staged(counts.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("a")).where((F.col("a") >= support) | (F.col("size") == 0)))
-    return all_.where("size > 0"), all_.where("size = 0").select("lang", F.col("a").alias("n"))
+    all_ = staged(counts.groupBy("lang", "phrase").agg(F.sum("c").alias("a")).where((F.col("a") >= support) | F.col("phrase").isNull()))
+    known = all_.where("phrase IS NOT NULL").select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", "a")
+    return known, all_.where("phrase IS NULL").select("lang", F.col("a").alias("n"))
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP) -> DataFrame:
