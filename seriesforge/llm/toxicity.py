@@ -137,8 +137,8 @@ def language_model(docs: DataFrame) -> Model:
     codes, size = alphabet(texts)
     rows = texts.mapInArrow(_gram_counts(codes, size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     n = np.zeros(size ** ORDER)
-    for r in rows.collect():
-        n[r["gram"]] = r["n"]
+    found = rows.toArrow()
+    n[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     n = n.reshape((size,) * ORDER)
     p = (n.sum((0, 1, 2)) + 1) / (n.sum() + size)
     for k in range(2, ORDER + 1):
