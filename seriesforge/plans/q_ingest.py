@@ -17,8 +17,8 @@ OBS_COLS = ["name", "frequency", "country", "source_file", "date", "value"]
 def panel_roundtrip(spark, d):
     """FX1 -> one wide panel per file (FX2) -> unpivot (B2) -> drop missing."""
     raw = FX.obs_raw(spark, d)
-    wide = raw.groupBy("source_file", "country", "frequency", "date").pivot("name").agg(F.first("value"))
-    names = [c for c in wide.columns if c not in ("source_file", "country", "frequency", "date")]
+    names = sorted(r["name"] for r in raw.select("name").distinct().collect())  # the panel's columns: given, they may be any number
+    wide = raw.groupBy("source_file", "country", "frequency", "date").pivot("name", names).agg(F.first("value"))
     long = P.unpivot_panel(wide, ["source_file", "country", "frequency", "date"], names)
     return I.drop_missing(long).select(*OBS_COLS)
 
