@@ -31,21 +31,22 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def write_panels(spark: SparkSession, obs: DataFrame, root: str, prefix: str = "") -> list[tuple[str, str]]:
-    """One wide panel file for each country and frequency of ``obs`` (FX2), at ``root/<country>/``; returns the roots."""
-    obs = obs.checkpoint(eager=True)
-    names: dict[tuple[str, str], list[str]] = {}
-    for r in obs.select("country", "frequency", "name").distinct().collect():  # nations x segments x frequencies
-        names.setdefault((r["country"], r["frequency"]), []).append(r["name"])
+    """One wide panel file for each country and frequency of ``obs`` (FX2), at ``root/<country>/``; returns the roots. One
+    job writes them all, so each has the columns of all; cells that a panel hasn't are null and are no observations (B3).
+    The names are few by construction: nations x segments."""
+    names = sorted(r["name"] for r in obs.select("name").distinct().collect())
+    wide = obs.groupBy("country", "frequency", F.col("date").alias("Date")).pivot("name", names).agg(F.first("value"))
+    writing = f"{root}/_writing/{prefix or 'all'}"
+    wide.repartition("country", "frequency").write.partitionBy("country", "frequency").parquet(writing)
     fs, _ = SN._fs(spark, root)
     path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for (country, freq), columns in sorted(names.items()):
-        part = obs.where((F.col("country") == country) & (F.col("frequency") == freq))
-        wide = part.groupBy(F.col("date").alias("Date")).pivot("name", sorted(columns)).agg(F.first("value"))
-        folder = f"{root}/_writing/{prefix}{country}_{freq}"
-        wide.coalesce(1).write.parquet(folder)
-        file = next(n for n in SN._children(spark, folder) if n.endswith(".parquet"))
+    for of_country in (n for n in SN._children(spark, writing) if n.startswith("country=")):
+        country = of_country.removeprefix("country=")
         fs.mkdirs(path_of(f"{root}/{country}"))
-        fs.rename(path_of(f"{folder}/{file}"), path_of(f"{root}/{country}/{prefix}{country}_{freq}.parquet"))
+        for of_freq in SN._children(spark, f"{writing}/{of_country}"):
+            folder = f"{writing}/{of_country}/{of_freq}"
+            file = next(n for n in SN._children(spark, folder) if n.endswith(".parquet"))
+            fs.rename(path_of(f"{folder}/{file}"), path_of(f"{root}/{country}/{prefix}{country}_{of_freq.removeprefix('frequency=')}.parquet"))
     return [(c, f"{root}/{c}") for c, _ in COUNTRIES]
 
 
