@@ -3,6 +3,7 @@ the session's checkpoint folder, which all machines share."""
 
 from __future__ import annotations
 
+import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -123,15 +124,63 @@ def continuous_refresh(spark, d):
     roots = write_panels(spark, S.obs1(spark, d), scratch(spark, "panels"))
     waiting, store = scratch(spark, "events"), scratch(spark, "store")
     FX.file_events(spark, d).write.parquet(waiting)
-    q = H.continuous_refresh(spark, waiting, spark.read.parquet(waiting).schema, FX.EVENT_ROOTS,
-                             lambda countries: build_store(spark, store, roots, countries=countries), scratch(spark, "offsets"), every="0 seconds")
+    routed = H.route_country(H.relevant_changes(spark.read.parquet(waiting)), FX.EVENT_ROOTS).select("country").distinct()
+    left, updated = {r["country"] for r in routed.collect()}, threading.Event()  # one row a root at most
+
+    def update(countries: list[str]) -> None:
+        build_store(spark, store, roots, countries=countries)
+        left.difference_update(countries)
+        if not left:
+            updated.set()
+    if not left:  # nothing happened: the store of no country
+        build_store(spark, store, [])
+        updated.set()
+    q = H.continuous_refresh(spark, waiting, spark.read.parquet(waiting).schema, FX.EVENT_ROOTS, update, scratch(spark, "offsets"), silence=2)
     try:
-        q.processAllAvailable()
+        while q.isActive and not updated.wait(0.2):
+            pass
     finally:
         q.stop()
+    if q.exception():
+        raise q.exception()
     return SN.open_snapshot(spark, store).catalog.select("name", "frequency", "country", base_name("source_file").alias("file_name"), "min_date", "max_date", "count")
 
 
+@query("debounced_stream", with_ctes(
+    """SELECT country, min(ts) AS first, max(ts) AS last, count(*) AS events FROM routed WHERE country IS NOT NULL GROUP BY country""",
+    ev=EV, rel=REL, routed=ROUTE))
+def debounced_stream(spark, d):
+    """H3 as a stream over the file events (FX8), taken in several batches: what its bursts have of each country, the last
+    one included."""
+    waiting, out, offsets = scratch(spark, "events"), scratch(spark, "bursts"), scratch(spark, "offsets")
+    FX.file_events(spark, d).repartition(4).write.parquet(waiting)
+    log = spark.readStream.schema(spark.read.parquet(waiting).schema).option("maxFilesPerTrigger", 1).parquet(waiting)
+    bursts = H.debounced_stream(H.route_country(H.relevant_changes(log), FX.EVENT_ROOTS), silence=2)
+    fired, batch_rows = threading.Event(), {"seen": 0}
+    total = H.route_country(H.relevant_changes(FX.file_events(spark, d)), FX.EVENT_ROOTS).count()
+
+    spark.createDataFrame([], H.BURSTS).write.parquet(f"{out}/epoch=0000")  # there may be no events
+    if not total:
+        fired.set()
+
+    def keep(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")  # again after a failure: the same rows
+        batch_rows["seen"] += spark.read.schema(batch.schema).parquet(f"{out}/epoch={epoch_id}").agg(F.coalesce(F.sum("events"), F.lit(0))).first()[0]
+        if batch_rows["seen"] >= total:
+            fired.set()
+    with H.timers(spark):
+        q = bursts.writeStream.outputMode("append").option("checkpointLocation", offsets).foreachBatch(keep).trigger(processingTime="500 milliseconds").start()
+    try:
+        while q.isActive and not fired.wait(0.2):
+            pass
+    finally:
+        q.stop()
+    if q.exception():
+        raise q.exception()
+    return (spark.read.schema(H.BURSTS).parquet(f"{out}/epoch=*").groupBy("country")
+            .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events")))
+
+
 def _attributed_stream(spark: SparkSession, d: str) -> DataFrame:
     """The request log (FX7) as a stream over the events table; keys and members as they stand."""
     events = spark.read.parquet(f"{d}/events.parquet")

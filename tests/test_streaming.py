@@ -1,6 +1,7 @@
 """H4–H6: streaming results equal the batch operators."""
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -75,22 +76,74 @@ def _events(spark, scratch, rows, name="events"):
     return path
 
 
-def test_continuous_refresh(spark, scratch):
-    """A micro-batch is one update of its countries, late events included; a failed one is tried again."""
-    path = _events(spark, scratch, [("2024-01-01 00:00:00", "cn/a_m.parquet", "modified"), ("2024-01-01 00:10:00", "jp/b_q.parquet", "created"), ("2024-01-01 00:10:01", "jp/c.csv", "created")])
-    seen = []
+def _wait(condition, seconds=60):
+    end = time.time() + seconds
+    while not condition() and time.time() < end:
+        time.sleep(0.1)
+    assert condition()
+
+
+def test_a_burst_is_one_update_after_silence(spark, scratch):
+    """Each event restarts the one timer; late events and the last burst are updated too."""
+    path = _events(spark, scratch, [("2024-01-01 00:00:00", "cn/a_m.parquet", "modified"), ("2024-01-01 00:10:01", "jp/c.csv", "created")])
+    calls, last = [], []
+    q = H.continuous_refresh(spark, path, spark.read.parquet(path).schema, FX.EVENT_ROOTS, lambda c: calls.append((time.time(), c)),
+                             os.path.join(scratch, "ck"), silence=5, every="200 milliseconds")
+    try:
+        for i in range(4):  # over more than the silence, never silent for so long
+            time.sleep(2)
+            _events(spark, scratch, [(f"20{20 + i}-01-01 00:00:00", f"{'jp' if i % 2 else 'kr'}/b_q.parquet", "created")])
+            last.append(time.time())
+        _wait(lambda: calls)
+        assert [c for _, c in calls] == [["cn", "jp", "kr"]] and calls[0][0] - last[-1] >= 4
+        _events(spark, scratch, [("1999-06-01 00:00:00", "tw/late_a.parquet", "deleted")])
+        _wait(lambda: len(calls) == 2)
+        assert calls[1][1] == ["tw"]
+    finally:
+        q.stop()
+
+
+def test_bursts_count_events_without_a_time(spark, scratch):
+    path = _events(spark, scratch, [(None, "cn/a_m.parquet", "modified"), ("2024-01-01 00:00:00", "cn/a_m.parquet", "modified"), (None, "jp/a_m.parquet", "created")])
+    stream = H.route_country(H.relevant_changes(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)), FX.EVENT_ROOTS)
+    with H.timers(spark):
+        q = (H.debounced_stream(stream, 1).writeStream.format("memory").queryName("bursts").outputMode("append")
+             .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(processingTime="200 milliseconds").start())
+    try:
+        _wait(lambda: spark.table("bursts").count() == 2)
+    finally:
+        q.stop()
+    got = {r["country"]: (str(r["first"]), str(r["last"]), r["events"]) for r in spark.table("bursts").collect()}
+    assert got == {"cn": ("2024-01-01 00:00:00", "2024-01-01 00:00:00", 2), "jp": ("None", "None", 1)}
+
+
+def test_failed_updates_are_tried_again_without_an_event_and_after_a_restart(spark, scratch):
+    path = _events(spark, scratch, [("2024-01-01 00:00:00", "cn/a_m.parquet", "modified"), ("2024-01-01 00:10:00", "jp/b_q.parquet", "created")])
+    calls, ok = [], []
 
-    def on_batch(countries):
-        seen.append(countries)
-        if len(seen) == 1:
+    def update(countries):
+        calls.append(countries)
+        if not ok:
             raise RuntimeError("no luck")
-    q = H.continuous_refresh(spark, path, spark.read.parquet(path).schema, FX.EVENT_ROOTS, on_batch, os.path.join(scratch, "ck"), every="0 seconds")
-    q.processAllAvailable()
-    assert seen == [["cn", "jp"]]
-    _events(spark, scratch, [("2023-06-01 00:00:00", "kr/late_a.parquet", "deleted")])
-    q.processAllAvailable()
-    q.stop()
-    assert seen[1:] == [["cn", "jp", "kr"]]
+
+    def start():
+        return H.continuous_refresh(spark, path, spark.read.parquet(path).schema, FX.EVENT_ROOTS, update, os.path.join(scratch, "ck"), silence=1, every="200 milliseconds")
+    q = start()
+    try:
+        _wait(lambda: len(calls) >= 2)  # again, without a new event
+    finally:
+        q.stop()
+    assert all(c == ["cn", "jp"] for c in calls)
+    ok.append(True)
+    n = len(calls)
+    q = start()
+    try:
+        _wait(lambda: len(calls) > n)
+        assert calls[n] == ["cn", "jp"]
+        time.sleep(4)
+        assert len(calls) == n + 1  # done: not tried again
+    finally:
+        q.stop()
 
 
 def test_refresh_once_builds_the_store(spark, scratch):
