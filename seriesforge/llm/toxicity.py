@@ -40,17 +40,24 @@ STEMS, SIGNIFICANT = (3, 4, 5, 6, 7, 8), 15.1
 #: What a sign may stand for (fixed values).
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
+#: Signs that hide a letter, whichever it is, and how many beside each other may.
+MASKS, MASKED = "*#%&", 4
 #: Channel costs (log): a sign for a letter, a sign put in, a letter written twice on purpose, a letter written twice by mistake
-#: or on purpose where one is meant, a spread letter that is a word by itself, whatever letters the corpus has as words.
-COST = {"sign": 1.0, "put in": 3.5, "double": 0.7, "drop": 2.0, "alone": 9.0}
+#: or on purpose where one is meant, a spread letter that is a word by itself, whatever letters the corpus has as words, a
+#: mask for a letter or for none.
+COST = {"sign": 1.0, "put in": 3.5, "double": 0.7, "drop": 2.0, "alone": 9.0, "mask": 1.0}
 #: Paths kept a step; characters of a token whose reading is kept for later ones.
 BEAM, CACHED = 48, 72
 OUTER = ".,;:!?\"'()[]{}#*$%&|<>-_~"
 LETTER = re.compile(r"[^\W\d_]")
-BETWEEN = re.compile(r"[0-9@$!|+(<€£*_.\-]")
-EDGE = re.compile(r"[0-9@$!|+(<€£][^\W\d_]|[^\W\d_][0-9@€£]|([^\W\d_])\1\1")
+BETWEEN = re.compile(r"[0-9@$!|+(<€£*#%&_.\-]")
+EDGE = re.compile(r"[0-9@$!|+(<€£][^\W\d_]|[^\W\d_][0-9@$€£]|([^\W\d_])\1\1")
+#: Punctuation that ends a token and stands for no letter.
+CLOSING = ".,;:?\"')]}>"
 DOUBLE = re.compile(r"([^\W\d_])\1")
-SPREAD = re.compile(r"(?<!\S)[\w@$!](?:[ ._*\-][\w@$!]){2,}(?=[\s.,;:!?]|$)")
+# letters apart, each up to four times: by one or two blanks, line ends or signs
+SPREAD = re.compile(r"(?<!\S)([^\W_]|[@$!(<|])\1{0,3}(?:[ \t\r\n._*\-/,]{1,2}([^\W_]|[@$!(<|])\2{0,3}){2,}(?=[\s.,;:!?]|$)")
+APART = re.compile(r"[ \t\r\n._*\-/,]+")
 PARTS = re.compile(r"[^\W\d_]+")
 MARKS = re.compile("[\u0300-\u036f]+")
 
@@ -173,6 +180,8 @@ class Decoder:
     def __init__(self, model: Model):
         self.model = array("f", model.table.tobytes())
         self.size, self.codes = model.size, model.codes
+        own = Counter(self.codes.values())
+        self.any_letter = [(chr(x), COST["mask"], [c]) for x, c in self.codes.items() if own[c] == 1]
         self._kept = lru_cache(maxsize=50_000)(self._read)
         self._plain_kept = lru_cache(maxsize=50_000)(self._plain)
         self._sound: set[str] = set()  # words that are their own reading
@@ -183,7 +192,11 @@ class Decoder:
 
     def _read(self, token: str) -> str:
         token = fold(token)
-        return self._decode([(m.group()[0], m.end() - m.start()) for m in re.finditer(r"(.)\1*", token)], False) or token
+        runs: list[tuple[str, int]] = []
+        for m in re.finditer(r"(.)\1*", token, re.S):
+            ch, times = m.group()[0], m.end() - m.start()
+            runs += [(ch, 1)] * times if ch in MASKS and times <= MASKED else [(ch, times)]
+        return self._decode(runs, False) or token
 
     def plain(self, word: str) -> str:
         """The reading of a word of letters alone: itself, but where letters are written twice or more."""
@@ -206,6 +219,8 @@ class Decoder:
         paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for ch, times in runs:
             options = [(x, cost, [self._code(c) for c in x]) for x, cost in _options(ch, min(times, 4), spread)]
+            if ch in MASKS and times == 1 and not spread:
+                options = [("", COST["mask"], []), *self.any_letter]
             after: dict[int, tuple[float, tuple | None]] = {}
             if spread and times == 1 and ch.isalpha():
                 ended = [(s + (model[x * size] if x % size else 0.0), back, x % size) for x, (s, back) in paths.items()]
@@ -252,14 +267,20 @@ class Decoder:
                     sound.add(token)
                 continue
             word = token.strip(OUTER)
+            whole = token.rstrip(CLOSING)  # signs at its ends may be letters
+            hidden = _disguised(whole)
             if word.isalpha():
                 put(word)
-                continue
-            parts = PARTS.findall(word)
-            for part in parts:
-                put(part)
-            if _disguised(token) or _disguised(word):
-                for form in {token.rstrip(".,;:?"), word}:
+                if not hidden:
+                    continue
+                parts, forms = [word], {whole}
+            else:
+                parts = PARTS.findall(word)
+                for part in parts:
+                    put(part)
+                forms = {whole, word} if hidden or _disguised(word) else ()
+            if forms:
+                for form in forms:
                     readings[form] = self.read(form)
                     if readings[form] not in parts:
                         parts.append(readings[form])
@@ -267,7 +288,10 @@ class Decoder:
         if len(low) > 4:
             for m in SPREAD.finditer(low):
                 spread = m.group()
-                readings[spread] = self.read_spread(spread[::2])
+                letters = APART.sub("", spread)
+                if not LETTER.search(letters):
+                    continue  # numbers
+                readings[spread] = self.read_spread(letters)
                 out += readings[spread].split()
         return out, readings
 

@@ -23,7 +23,7 @@ END = b"\r\n\r\n"
 SEGMENT, CHUNK, LEAST = 32_768, 8_192, 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PARSED = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, segment int, origin string, total long, block binary"
+PARSED = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, segment int, origin string, total long, block binary, error string"
 WHOLE = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload binary, error string"
 
 
@@ -117,22 +117,48 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, segment: int = S
     arrow_map(known.withColumn("row", F.monotonically_increasing_id()), batch, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
+def _headers(lines: bytes) -> tuple[dict[str, str], str | None]:
+    """The header lines that can be read, and what is wrong with the others. A line that begins with a blank goes on with
+    the one before."""
+    found, error, last = {}, None, None
+    for line in lines.decode("utf-8", "replace").split("\r\n"):
+        name, colon, value = line.partition(":")
+        if last and line[:1] in (" ", "\t"):
+            found[last] += " " + line.strip()
+        elif colon and name and not any(c.isspace() for c in name):
+            found[name], last = value.strip(), name
+        else:
+            error, last = "a header line has no name", None
+    return found, error
+
+
+def _number(text: str | None) -> int | None:
+    """A header's number, from 0 to 2^63; None for anything else."""
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
 def _parsed(b: pa.RecordBatch) -> pa.RecordBatch | None:
+    """Each record as it is; one that is broken has an error and what can be read of its headers."""
     rows = []
     for text in b.column(0).to_pylist():
         if not text:
             continue  # before a file's first record
         lines, _, rest = text.partition(END)
-        h = dict(line.split(": ", 1) for line in lines.decode("utf-8", "replace").split("\r\n"))
-        n = int(h["Content-Length"])
-        if rest[n:] != END:
-            raise ValueError(f"record {h.get('WARC-Record-ID')} isn't as long as it says")
-        number, total = h.get("WARC-Segment-Number"), h.get("WARC-Segment-Total-Length")
-        rows.append((h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Target-URI"), (h.get("WARC-Payload-Digest") or "").removeprefix("sha256:") or None, h.get("WARC-Refers-To"),
-                     int(number) if number else None, h.get("WARC-Segment-Origin-ID"), int(total) if total else None, rest[:n]))
+        h, error = _headers(lines)
+        number, total, n = (_number(h.get(k)) for k in ("WARC-Segment-Number", "WARC-Segment-Total-Length", "Content-Length"))
+        if n is None:
+            error = error or "no length"
+        elif rest[n:] != END:
+            error = error or "the record isn't as long as it says"
+        if not h.get("WARC-Record-ID") or not h.get("WARC-Type"):
+            error = error or "no record id or type"
+        if number is None and "WARC-Segment-Number" in h or number is not None and number >= 1 << 31:
+            number, error = None, error or "no segment number"
+        rows.append((h.get("WARC-Record-ID"), h.get("WARC-Type"), h.get("WARC-Target-URI"), (h.get("WARC-Payload-Digest") or "").removeprefix("sha256:") or None, h.get("WARC-Refers-To"),
+                     number, h.get("WARC-Segment-Origin-ID"), total, None if error else rest[:n], error))
     if not rows:
         return None
-    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary())
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.string())
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in PARSED.split(", ")])
 
 
@@ -161,18 +187,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     payload (null for revisits) and error (null if the record is sound).
 
     A segmented record whose numbers have gaps or repeat, or whose length isn't the total, has an error and no payload; so
-    has a body whose framing is broken.
+    has a body whose framing is broken, and a record that isn't as long as it says or whose headers lack a name, an id, a
+    type or a length (nulls stand for what can't be read). A broken segment is an error of the record that it belongs to,
+    if it says which. A record of another version is part of the one before, which isn't as long as it says then. Other
+    records are read whatever stands beside them.
     """
     parsed = arrow_map(spark.read.option("lineSep", (VERSION + b"\r\n").decode()).text(path).select(F.col("value").cast("binary").alias("value")), _parsed, PARSED)
-    whole = parsed.where("segment IS NULL").withColumn("error", F.lit(None).cast("string"))
-    parts = parsed.where("segment IS NOT NULL").withColumn("origin", F.coalesce("origin", "record_id"))
+    of_segments = F.col("segment").isNotNull() & F.coalesce("origin", "record_id").isNotNull()
+    whole = parsed.where(~of_segments)
+    parts = parsed.where(of_segments).withColumn("origin", F.coalesce("origin", "record_id"))
     head = F.first(F.when(F.col("segment") == 1, F.struct("record_type", "target_uri", "payload_digest", "refers_to")), ignorenulls=True)
     joined = parts.groupBy("origin").agg(
-        head.alias("head"), F.max("total").alias("total"), F.sum(F.octet_length("block")).alias("length"),
+        head.alias("head"), F.max("error").alias("broken"), F.max("total").alias("total"), F.sum(F.octet_length("block")).alias("length"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"))
     sound = (F.col("length") == F.col("total")) & (F.transform("parts", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("parts")))
     reassembled = joined.select(
-        F.col("origin").alias("record_id"), "head.*", F.when(F.coalesce(sound, F.lit(False)), F.lit(None).cast("string")).otherwise("segments don't add up").alias("error"),
+        F.col("origin").alias("record_id"), "head.*", F.when(F.coalesce(sound, F.lit(False)), F.lit(None).cast("string")).otherwise(F.coalesce("broken", F.lit("segments don't add up"))).alias("error"),
         F.aggregate(F.transform("parts", lambda x: x["block"]), F.lit(b""), lambda a, x: F.concat(a, x)).alias("block"))
     columns = ["record_id", "record_type", "target_uri", "payload_digest", "refers_to", "block", "error"]
     return arrow_map(whole.select(*columns).union(reassembled.select(*columns)), _decoded, WHOLE)
@@ -191,7 +221,7 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, least: int = L
     records_ = staged(read_warc(spark, path).select(
         page.alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
         "record_type", F.when(F.col("refers_to").isNotNull(), name("refers_to")).cast("long").alias("refers_to"), F.col("payload_digest").alias("claimed"), "error"))
-    responses = records_.where("record_type = 'response'")
+    responses = records_.where("record_type = 'response' OR error IS NOT NULL AND record_type IS DISTINCT FROM 'revisit'")
     wrong = F.when(F.col("error").isNull() & (F.col("payload_digest") != F.col("claimed")), "payload digest differs").otherwise(F.col("error"))
     named = responses.join(records_.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
     seen = staged(named.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to", "payload_digest"]))

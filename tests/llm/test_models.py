@@ -1,5 +1,7 @@
 """Vectors against brute force; toxicity by held-out accuracy; the pipeline stage by stage."""
 import collections
+import itertools
+import re
 import zlib
 
 import numpy as np
@@ -107,6 +109,39 @@ def test_readings(lab):
     assert {"stupid", "moron", "idiot", "trash", "plain", "the", "man"} <= set(words) and readings["s t u p i d"] == "stupid"
 
 
+def test_signs_at_the_ends_masks_and_spacings(lab):
+    """What ``words`` makes of whole texts: signs that begin or end a word, masks, and letters apart in many ways."""
+    decoder = X.Decoder(X.language_model(read(lab, SF, "documents")))
+    for text, word in [("you $tupid man", "stupid"), ("!diot", "idiot"), ("a <lown.", "clown"), ("$cum.", "scum"), ("$tup1d", "stupid"), ("($tupid)", "stupid"), ("id*ot", "idiot"), ("st*pid", "stupid"), ("m#r*n", "moron"),
+                       ("tr&sh!", "trash"), ("i d ii oo t", "idiot"), ("s  t  u  p  i  d", "stupid"), ("s\nt\nu\np\ni\nd", "stupid"), ("s, t, u, p, i, d", "stupid"), ("s/t/u/p/i/d", "stupid"), ("( l o w n", "clown"),
+                       ("| d | o t", "idiot"), ("s\r\nc\r\nu\r\nm", "scum")]:
+        assert word in decoder.words(text)[0], (text, decoder.words(text))
+    for text in ("1, 2, 3, 4, 5 and 6 7 8 9", "**bold** words, \"quoted\" ones; and 100% of $100"):
+        assert decoder.words(text)[1] == {}, decoder.words(text)
+    assert "**" not in "".join(decoder.words("a" + "*" * 90_000 + "b")[0])
+
+
+def test_viterbi_finds_the_likeliest_reading(lab):
+    """Against every path of short lattices."""
+    decoder = X.Decoder(X.language_model(read(lab, SF, "documents")))
+    model, size = decoder.model, decoder.size
+
+    def score(text, cost):
+        x, s = 0, -cost
+        for code in map(decoder._code, text):
+            x = x * size + code
+            s += model[x]
+            x %= size ** 3
+        return s + (model[x * size] if x % size else 0.0)
+    for token in ["1d1ot", "$tupid", "m0rr0n", "tr@sh", "s-c-um", "c1l|wn", "a$$", "id*ot", "(lown", "b00kk5"]:
+        runs = [(m.group()[0], len(m.group())) for m in re.finditer(r"(.)\1*", token)]
+        options = [[("", X.COST["mask"]), *((x, c) for x, c, _ in decoder.any_letter)] if ch == "*" else X._options(ch, n, False) for ch, n in runs]
+        best = max(score("".join(x for x, _ in path), sum(c for _, c in path)) for path in itertools.product(*options))
+        reading = decoder.read(token)
+        mine = max(score(reading, sum(c for _, c in path)) for path in itertools.product(*options) if "".join(x for x, _ in path) == reading)
+        assert abs(best - mine) < 1e-6, (token, reading)
+
+
 def test_spread_words(lab):
     """Spread letters beside other single letters, several spread words in a row, and runs of any length."""
     decoder = X.Decoder(X.language_model(read(lab, SF, "documents")))

@@ -128,6 +128,26 @@ def test_missing_segment(lab, scratch):
         assert len(rows) == 1 and rows[0]["error"] and rows[0]["payload"] is None
 
 
+def test_broken_records_are_rows(lab, scratch):
+    """Each broken record is a row with an error; the others are read as ever."""
+    def sound(k):
+        return W.records(str(k), "0", "u", b"%d abc" % k, hashlib.sha256(b"%d abc" % k).hexdigest(), None)[0].decode()
+    good = [sound(k) for k in range(4)]
+    segments = [x.decode() for x in W.records("9", "0", "u", b"abc" * 100, "d" * 64, None, 64)]
+    broken = {
+        "too long": sound(10).replace("Content-Length: ", "Content-Length: 1"), "too short": sound(11) + "more", "no length": re.sub("Content-Length: [0-9]+\r\n", "", sound(12)),
+        "odd length": re.sub("Content-Length: [0-9]+", "Content-Length: ten", sound(13)), "a line without a name": sound(14).replace("WARC-Date: ", "WARC-Date"[:4] + " "),
+        "no id": re.sub("WARC-Record-ID: [^\r]+\r\n", "", sound(15)), "no type": sound(16).replace("WARC-Type: response\r\n", ""), "odd number": sound(17).replace("WARC-Type", "WARC-Segment-Number: x\r\nWARC-Type"),
+        "no header": "WARC/1.1\r\n\r\n\r\n", "other version": sound(18).replace("WARC/1.1\r\n", "WARC/1.1\r\nodd\r\n")}
+    path = f"{scratch}/broken"
+    lines = [good[0], *broken.values(), *good[1:], segments[0], segments[1].replace("Content-Length: ", "Content-Length: 9"), *segments[2:]]
+    lab.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+    rows = W.read_warc(lab, path).collect()
+    assert sorted(r["payload"] for r in rows if r["error"] is None) == [b"%d abc" % k for k in range(4)]
+    assert len([r for r in rows if r["error"]]) == len(broken) + 1 and all(r["payload"] is None for r in rows if r["error"])
+    assert {r["record_id"] for r in rows if r["error"]} >= {None, "<urn:page:9.dddddddddddddddd/0>"}
+
+
 # ---- PII
 
 PATTERNS = dict(email=r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", ip=r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", card=r"[0-9]([\x20-]?[0-9])+", phone=r"\+[0-9][\x20().0-9-]+[0-9]")
