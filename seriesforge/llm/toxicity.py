@@ -52,11 +52,13 @@ OUTER = ".,;:!?\"'()[]{}#*$%&|<>-_~"
 LETTER = re.compile(r"[^\W\d_]")
 BETWEEN = re.compile(r"[0-9@$!|+(<€£*#%&_.\-]")
 EDGE = re.compile(r"[0-9@$!|+(<€£][^\W\d_]|[^\W\d_][0-9@$€£]|([^\W\d_])\1\1")
+#: A sign at an end of a word, once or twice: three of a kind adorn it.
+ENDS = re.compile(r"(?:^|(.))(?!\1)([0-9@$!|+(<€£])\2?(?=[^\W\d_])|[^\W\d_]([0-9@$€£])\3?(?!\3)$")
 #: Punctuation that ends a token and stands for no letter.
 CLOSING = ".,;:?\"')]}>"
 DOUBLE = re.compile(r"([^\W\d_])\1")
 # letters apart, each up to four times: by one or two blanks, line ends or signs
-SPREAD = re.compile(r"(?<!\S)([^\W_]|[@$!(<|])\1{0,3}(?:[ \t\r\n._*\-/,]{1,2}([^\W_]|[@$!(<|])\2{0,3}){2,}(?=[\s.,;:!?]|$)")
+SPREAD = re.compile(r"(?<!\S)(?=.[ \t\r\n._*\-/,]|(.)\1)([^\W_]|[@$!(<|])\2{0,3}(?:[ \t\r\n._*\-/,]{1,2}([^\W_]|[@$!(<|])\3{0,3}){2,}(?=[\s.,;:!?]|$)", re.S)
 APART = re.compile(r"[ \t\r\n._*\-/,]+")
 PARTS = re.compile(r"[^\W\d_]+")
 MARKS = re.compile("[\u0300-\u036f]+")
@@ -268,17 +270,16 @@ class Decoder:
                 continue
             word = token.strip(OUTER)
             whole = token.rstrip(CLOSING)  # signs at its ends may be letters
-            hidden = _disguised(whole)
             if word.isalpha():
                 put(word)
-                if not hidden:
+                if not ENDS.search(whole):
                     continue
                 parts, forms = [word], {whole}
             else:
                 parts = PARTS.findall(word)
                 for part in parts:
                     put(part)
-                forms = {whole, word} if hidden or _disguised(word) else ()
+                forms = {whole, word} if _disguised(whole) or _disguised(word) else ()
             if forms:
                 for form in forms:
                     readings[form] = self.read(form)
