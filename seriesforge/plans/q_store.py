@@ -16,7 +16,7 @@ from seriesforge.operators import metering as MT
 from seriesforge.plans import fixtures as FX
 from seriesforge.plans import state as S
 from seriesforge.plans.maintenance import build_store
-from seriesforge.plans.q_metering import BASE_M, MONTHLY
+from seriesforge.plans.q_metering import ANCH, ANCHORED, BASE_M, MONTHLY, WALK
 from seriesforge.plans.q_streaming import EV, REL, ROUTE
 from seriesforge.plans.registry import BASE, BASE13, OBS1, query, with_ctes
 from seriesforge.session import ensure_checkpoint_dir
@@ -181,33 +181,48 @@ def debounced_stream(spark, d):
             .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events")))
 
 
-def _attributed_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The request log (FX7) as a stream over the events table; keys and members as they stand."""
-    events = spark.read.parquet(f"{d}/events.parquet")
-    view = f"events_{uuid.uuid4().hex}"
-    spark.readStream.schema(events.schema).parquet(f"{d}/events.parq*").createOrReplaceTempView(view)
-    log = spark.sql(FX.REQUEST_LOG_SQL.format(events=view))
-    return MT.attribute_requests(log, FX.keys(spark, d), FX.members(spark, d), FX.ADMIN_KEYS)
+def _arriving(spark: SparkSession, d: str, start, parts: int = 3) -> None:
+    """The request log (FX7) comes in parts, in the order of time; ``start`` (attributed stream -> query) takes each and is
+    started anew for the next. Keys and members are as they stand."""
+    waiting, log = scratch(spark, "log"), FX.request_log(spark, d)
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)).cast("double")
+    cuts = log.select(at.alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.01)
+    cuts = [float("-inf"), *cuts, float("inf")]
+    for low, high in zip(cuts, cuts[1:]):
+        log.where((at > low) & (at <= high)).write.mode("append").parquet(waiting)
+        stream = spark.readStream.schema(log.schema).parquet(waiting)
+        start(MT.attribute_requests(stream, FX.keys(spark, d), FX.members(spark, d), FX.ADMIN_KEYS)).awaitTermination()
 
 
 @query("monthly_usage_stream", with_ctes(
     "SELECT api_key, strftime(ts, '%Y-%m') AS month, count(*) AS count FROM charged "
     "WHERE auth_type = 'user_api_key' GROUP BY api_key, strftime(ts, '%Y-%m')", **BASE_M))
 def monthly_usage_stream(spark, d):
-    """H5 run with the events there are; the last complete result."""
-    out = scratch(spark, "usage")
-    q = (U.monthly_usage_stream(_attributed_stream(spark, d), FX.HIDDEN_PATTERNS).writeStream.outputMode("complete")
-         .option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True)
-         .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    """H5: the log in parts, each of which writes the counts it touched; the table after the last."""
+    out, offsets = scratch(spark, "usage"), scratch(spark, "offsets")
+    _arriving(spark, d, lambda stream: (
+        U.monthly_usage_stream(stream, FX.HIDDEN_PATTERNS).writeStream.outputMode("update").option("checkpointLocation", offsets)
+        .trigger(availableNow=True).foreachBatch(U.usage_sink(out)).start()))
+    return U.usage_table(spark, out)
+
+
+def _admission(spark: SparkSession, d: str, rule: str) -> DataFrame:
+    out, offsets = scratch(spark, "admission"), scratch(spark, "offsets")
+    with U.keyed_state(spark):
+        _arriving(spark, d, lambda stream: (
+            U.admission_stream(stream, rule, FX.HIDDEN_PATTERNS).writeStream.outputMode("append").format("parquet")
+            .option("checkpointLocation", offsets).option("path", out).trigger(availableNow=True).start()))
+    return spark.read.parquet(out).select("event_id", "ts", "identity", "used", "admitted")
 
 
 @query("admission_stream", with_ctes(f"SELECT event_id, ts, api_key AS identity, used, admitted FROM ({MONTHLY}) m", **BASE_M))
 def admission_stream(spark, d):
-    """H6 (monthly rule) run with the events there are."""
-    out = scratch(spark, "admission")
-    q = (U.admission_stream(_attributed_stream(spark, d), "monthly", FX.HIDDEN_PATTERNS).writeStream.outputMode("append").format("parquet")
-         .option("checkpointLocation", scratch(spark, "offsets")).option("path", out).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out).select("event_id", "ts", "identity", "used", "admitted")
+    """H6 (monthly rule) with the log in parts."""
+    return _admission(spark, d, "monthly")
+
+
+@query("admission_stream_anchored", with_ctes(
+    f"SELECT event_id, ts, identity, used, admitted FROM ({ANCHORED}) m", _recursive=True, **BASE_M, anch=ANCH, walk=WALK))
+def admission_stream_anchored(spark, d):
+    """H6 (rolling windows) with the log in parts."""
+    return _admission(spark, d, "anchored")

@@ -147,11 +147,12 @@ def debounced_stream(events: DataFrame, silence: float = DEBOUNCE_SECONDS) -> Da
     return fired.select(*(F.timestamp_micros(c).alias(c) if c in ("burst", "first", "last") else F.col(c) for c in fired.columns))
 
 
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 @contextmanager
-def timers(spark: SparkSession):
-    """Settings that a query with timers keeps from its start: state in RocksDB, in one partition as there is one key."""
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-            "spark.sql.shuffle.partitions": "1"}
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """The session's settings are ``conf`` inside, what they were after it."""
     old = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -162,6 +163,11 @@ def timers(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def timers(spark: SparkSession):
+    """Settings that a query with timers keeps from its start: state in RocksDB, in one partition as there is one key."""
+    return settings(spark, {**ROCKSDB, "spark.sql.shuffle.partitions": "1"})
+
+
 def continuous_refresh(spark, events_dir: str, schema, roots: Sequence[tuple[str, str]], on_batch: Callable[[list[str]], object],
                        checkpoint: str, once: bool = False, silence: float = DEBOUNCE_SECONDS, every: str = "1 second") -> StreamingQuery | None:
     """H4: read change events as a stream and call ``on_batch(countries)`` (normally ``maintenance.build_store``) after each

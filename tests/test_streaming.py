@@ -1,6 +1,7 @@
 """H4–H6: streaming results equal the batch operators."""
 
 import os
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ def _attributed_stream(spark, log_dir):
 
 
 def _run(df, name, mode, scratch):
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", os.path.join(scratch, f"ck_{name}")).start())
+    with U.keyed_state(df.sparkSession):
+        q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
+             .option("checkpointLocation", os.path.join(scratch, f"ck_{name}")).start())
     q.processAllAvailable()
     q.stop()
     return df.sparkSession.table(name)
@@ -70,6 +72,75 @@ def test_late_requests_give_no_quota_back(spark, scratch):
     assert got[10] == (1, True) and got[11] == (11, False) and got[12] == (2, True)
 
 
+def _requests(spark, rows, path):
+    """(event_id, seconds after 2024-01-30, identity, tier) as attributed requests of a key and of a member."""
+    df = spark.createDataFrame(rows, "event_id long, s long, who string, tier string")
+    ts = F.to_timestamp(F.lit("2024-01-30")) + F.make_interval(secs=F.col("s"))
+    both = [df.select("event_id", ts.alias("ts"), F.col("who").alias("api_key"), F.lit("series").alias("kind"), F.lit(200).alias("status"),
+                      F.lit(auth).alias("auth_type"), "tier", F.col("who").alias("email")) for auth in ("user_api_key", "member")]
+    both[0].unionByName(both[1]).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_a_hot_identity_is_sorted_in_bounded_runs(spark, scratch):
+    """One identity sends most of each micro-batch, in no order, with ties: runs of 100 rows in blocks of 16 give what the
+    batch rules give; state and runs carry over three batches."""
+    rng, log_dir = random.Random(3), os.path.join(scratch, "log")
+    rows = [(i, i // 3 * 997, "hot" if rng.random() < 0.7 else f"u{i % 7}", "daily") for i in range(1500)]
+    rows += [(2000 + i, i * 9000, "free", "free") for i in range(60)] + [(3000 + i, i * 5000, "all", "premium") for i in range(100)]
+    rows.sort(key=lambda r: (r[1], r[0]))
+    for a in range(0, len(rows), 700):
+        part = rows[a:a + 700]
+        rng.shuffle(part)
+        _requests(spark, part, log_dir)
+    whole = spark.read.parquet(log_dir)
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(log_dir)
+    for rule, batch in (("monthly", MT.monthly_admission), ("anchored", MT.anchored_admission)):
+        got = {r["event_id"]: (r["used"], r["admitted"]) for r in _run(U.admission_stream(stream, rule, run=100, block=16), f"hot_{rule}", "append", scratch).collect()}
+        want = {r["event_id"]: (r["used"], r["admitted"]) for r in batch(whole).collect()}
+        assert got == want and len(got) == len(rows)
+
+
+def test_requests_without_a_time_are_left_out(spark, scratch):
+    log_dir = os.path.join(scratch, "log")
+    _requests(spark, [(1, None, "a", "free"), (2, 5, "a", None), (3, 6, None, "free")], log_dir)
+    stream = spark.readStream.schema(spark.read.parquet(log_dir).schema).parquet(log_dir)
+    for rule in ("monthly", "anchored"):
+        assert {r["event_id"]: r["used"] for r in _run(U.admission_stream(stream, rule), f"null_{rule}", "append", scratch).collect()} == {2: 1, 3: 1}
+
+
+def test_state_is_forgotten_after_days_without_a_request(spark, scratch):
+    log_dir = os.path.join(scratch, "log")
+    _requests(spark, [(i, i, "a", "free") for i in range(5)], log_dir)
+    stream = spark.readStream.schema(spark.read.parquet(log_dir).schema).parquet(log_dir)
+    with U.keyed_state(spark):
+        q = (U.admission_stream(stream, keep_days=2 / 86_400).writeStream.format("memory").queryName("forgets").outputMode("append")
+             .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(processingTime="200 milliseconds").start())
+    try:
+        _wait(lambda: spark.table("forgets").count() == 5)
+        time.sleep(3)
+        _requests(spark, [(10, 10, "a", "free")], log_dir)
+        _wait(lambda: spark.table("forgets").count() == 6)
+        assert spark.table("forgets").where("event_id = 10").first()["used"] == 1
+    finally:
+        q.stop()
+
+
+def test_usage_table_takes_epochs_again_and_folds(spark, scratch):
+    """A batch writes the keys it touched; one that comes again changes nothing; folds keep the counts."""
+    table = os.path.join(scratch, "usage")
+    assert U.usage_table(spark, table).count() == 0
+    sink, want = U.usage_sink(table, fold_every=3), {}
+    for epoch in range(11):
+        touched = {(f"k{epoch % 4}", "2024-01"): epoch + 1, ("all", f"2024-{1 + epoch // 6:02d}"): epoch + 1}
+        want |= touched
+        batch = spark.createDataFrame([(k, m, n) for (k, m), n in touched.items()], "api_key string, month string, count long")
+        for _ in range(2 if epoch in (0, 4, 9) else 1):
+            sink(batch, epoch)
+        assert spark.read.parquet(f"{table}/epochs/epoch={epoch}").count() == len(touched)
+        assert {(r["api_key"], r["month"]): r["count"] for r in U.usage_table(spark, table).collect()} == want
+    assert sorted(os.listdir(f"{table}/folds")) == ["fold=6", "fold=9"] and len([n for n in os.listdir(f"{table}/epochs") if n.startswith("epoch=")]) == 4
+
+
 def _events(spark, scratch, rows, name="events"):
     path = os.path.join(scratch, name)
     spark.createDataFrame(rows, "ts string, path string, kind string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
