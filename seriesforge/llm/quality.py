@@ -4,8 +4,9 @@ Fixed base rules reject texts that are too short or repeat themselves. The other
 each language and source a quantile sketch of each measure is kept (KLL, merged from the tasks' partial sketches), and
 sketches of small groups give way to the merged sketch of their language, or of all. The fence of a rate (signs a word,
 repeated lines a line) stands a number of spreads beyond the median (the larger of median minus first decile and sixth
-decile minus median), and one occurrence in a text of the group's median size, the least step that the rate of such a
-text can take: all of it comes from the group's sketches, and holds as long as three fifths of its texts are sound. The
+decile minus median); it allows a text as many occurrences as that rate gives over its own size, and beside them one for
+each text of the group's median size that it is long, at least one: a single occurrence says nothing of a short text. All
+of it comes from the group's sketches, and holds as long as three fifths of its texts are sound. The
 fences of the mean word length stand as many lower half-spreads (median minus first decile) and a fixed slack on either
 side of the median. Fences are joined back to the texts, which are filtered.
 """
@@ -23,10 +24,10 @@ from seriesforge.llm._frames import arrow_map, staged
 SYMBOLS = b"#*$%&|<>"
 #: Items of a sketch, texts that a group needs for fences of its own, spreads from the median to a fence.
 SKETCH, GROUP, SPREADS = 400, 200, 6.0
-#: Rate -> what it is counted over; the slack of the mean word length (letters), which has a fence on either side.
-RATES, SLACK = {"symbol_rate": "n_words", "dup_line_rate": "n_lines"}, 1.5
+#: Rate -> what is counted, and over what; the slack of the mean word length (letters), which has a fence on either side.
+RATES, SLACK = {"symbol_rate": ("n_symbols", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines")}, 1.5
 #: What is sketched.
-SKETCHED = (*RATES, *RATES.values(), "word_length")
+SKETCHED = (*RATES, *(size for _, size in RATES.values()), "word_length")
 MEASURED = ("doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, "
             "n_dup_lines long, n_repeat_words long")
 
@@ -94,10 +95,10 @@ def fences(rows: DataFrame, sketch: int = SKETCH, group: int = GROUP, spreads: f
         return F.kll_sketch_get_quantile_double(best, F.lit(rank))
 
     limits = []
-    for m, size in RATES.items():
+    for m, (_, size) in RATES.items():
         mid = quantile(m, 0.5)
         spread = F.greatest(mid - quantile(m, 0.1), quantile(m, 0.6) - mid)
-        limits.append((mid + spreads * spread + 1 / F.greatest(quantile(size, 0.5), F.lit(1.0))).alias(f"{m}_high"))
+        limits += [(mid + spreads * spread).alias(f"{m}_high"), F.greatest(quantile(size, 0.5), F.lit(1.0)).alias(f"{m}_size")]
     mid = quantile("word_length", 0.5)
     width = spreads * (mid - quantile("word_length", 0.1)) + SLACK
     return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *limits, (mid - width).alias("word_length_low"), (mid + width).alias("word_length_high"))
@@ -118,8 +119,8 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat: float = 0.5,
     limits = staged(fences(rows, sketch, group, spreads))
     beside = rows.join(limits, rows["lang"].eqNullSafe(limits["_lang"]) & rows["source"].eqNullSafe(limits["_source"]), "left")
     out = F.lit(False)
-    for m in (*RATES, "word_length"):
-        out = out | (F.col(m) > F.col(f"{m}_high"))
-    out = out | (F.col("word_length") < F.col("word_length_low"))
+    for m, (count, size) in RATES.items():
+        out = out | (F.col(count) > F.col(f"{m}_high") * F.col(size) + F.greatest(F.lit(1.0), F.col(size) / F.col(f"{m}_size")))
+    out = out | (F.col("word_length") > F.col("word_length_high")) | (F.col("word_length") < F.col("word_length_low"))
     return beside.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(out, F.lit(False))).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -72,6 +72,38 @@ def test_fences_of_rates(lab):
     assert not kept[200] and kept[201] and kept[300] and not kept[301]
 
 
+def test_kept_by_exact_quantiles(lab):
+    """``kept`` of groups that their sketches hold whole, against sorted lists; a repeated line or a sign in a short text is
+    no reason, the same rate in a long one may be."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        lines = [x.replace(" ", " # ", rng.choice([0, 0, 0, 1, 3])) for x in prose(rng, rng.choice([60, 100, 400])).split("\n")]
+        again = rng.choice([0, 0, 0, 1, 2, len(lines) // 4])
+        rows.append((i, "\n".join(lines + lines[:again]), "en", f"s{i % 2}", 1))
+    rows += [(1000 + k, "\n".join(x := prose(rng, 60).split("\n")) + "\n" + x[0], "en", f"s{k}", 1) for k in range(2)]
+    rows += [(2000 + k, "\n".join((x := prose(rng, 4000).split("\n")) + x[:200]), "en", f"s{k}", 1) for k in range(2)]
+    got = {r["doc_id"]: r["kept"] for r in Q.quality_rules(lab.createDataFrame(rows, DOCUMENTS), group=20).collect()}
+    want = {}
+    for source in ("s0", "s1"):
+        of = {i: (*counts(t), len([x for x in t.split("\n") if x])) for i, t, _, s, _ in rows if s == source}
+        sound = [c for c in of.values() if not c[5]]
+
+        def at(values, rank):
+            return sorted(values)[max(0, int(np.ceil(rank * len(sound))) - 1)]
+        reasons = dict.fromkeys(of, False)
+        for n, size in ((2, 0), (3, 6)):
+            rates, typical = [c[n] / c[size] for c in sound], at([c[size] for c in sound], 0.5)
+            high = (mid := at(rates, 0.5)) + 6 * max(mid - at(rates, 0.1), at(rates, 0.6) - mid)
+            for i, c in of.items():
+                reasons[i] |= c[n] > high * c[size] + max(1, c[size] / typical)
+        long = [c[1] / c[0] for c in sound]
+        width = 6 * (at(long, 0.5) - at(long, 0.1)) + 1.5
+        want |= {i: not c[5] and not reasons[i] and abs(c[1] / c[0] - at(long, 0.5)) <= width for i, c in of.items()}
+    assert got == want and 0.5 < sum(want.values()) / len(want) < 1
+    assert got[1000] and got[1001] and not got[2000] and not got[2001]
+
+
 def test_quality_empty(lab):
     assert Q.quality_rules(lab.createDataFrame([], DOCUMENTS)).count() == 0
     assert Q.quality_rules(lab.createDataFrame([(1, "too short", None, None, 1)], DOCUMENTS)).first()["kept"] is False
