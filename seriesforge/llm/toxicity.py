@@ -187,6 +187,7 @@ class Decoder:
         self._kept = lru_cache(maxsize=50_000)(self._read)
         self._plain_kept = lru_cache(maxsize=50_000)(self._plain)
         self._sound: set[str] = set()  # words that are their own reading
+        self._closed: dict[str, str] = {}  # tokens that are such a word and punctuation -> the word
 
     def read(self, token: str) -> str:
         """The likeliest letters behind a token; the token itself if it has none."""
@@ -251,7 +252,7 @@ class Decoder:
         out: list[str] = []
         readings: dict[str, str] = {}
 
-        sound = self._sound
+        sound, closed = self._sound, self._closed
 
         def put(word: str) -> None:
             out.append(word)
@@ -268,11 +269,16 @@ class Decoder:
                 if len(sound) < 100_000 and len(token) <= CACHED and self.plain(token) == token:
                     sound.add(token)
                 continue
+            if token in closed:
+                out.append(closed[token])
+                continue
             word = token.strip(OUTER)
             whole = token.rstrip(CLOSING)  # signs at its ends may be letters
             if word.isalpha():
                 put(word)
                 if not ENDS.search(whole):
+                    if len(closed) < 100_000 and len(token) <= CACHED and self.plain(word) == word:
+                        closed[token] = word
                     continue
                 parts, forms = [word], {whole}
             else:
