@@ -17,12 +17,14 @@ import re
 import unicodedata
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,8 @@ MASKS, MASKED = "*#%&", 4
 #: or on purpose where one is meant, a spread letter that is a word by itself, whatever letters the corpus has as words, a
 #: mask for a letter or for none.
 COST = {"sign": 1.0, "put in": 3.5, "double": 0.7, "drop": 2.0, "alone": 9.0, "mask": 1.0}
-#: Paths kept a step; characters of a token whose reading is kept for later ones.
-BEAM, CACHED = 48, 72
+#: Paths kept a step; characters of a token whose reading is kept for later ones; readings kept per generation.
+BEAM, CACHED, KEPT = 48, 72, 100_000
 OUTER = ".,;:!?\"'()[]{}#*$%&|<>-_~"
 LETTER = re.compile(r"[^\W\d_]")
 BETWEEN = re.compile(r"[0-9@$!|+(<€£*#%&_.\-]")
@@ -56,9 +58,11 @@ EDGE = re.compile(r"[0-9@$!|+(<€£][^\W\d_]|[^\W\d_][0-9@$€£]|([^\W\d_])\1\
 ENDS = re.compile(r"(?:^|(.))(?!\1)([0-9@$!|+(<€£])\2?(?=[^\W\d_])|[^\W\d_]([0-9@$€£])\3?(?!\3)$")
 #: Punctuation that ends a token and stands for no letter.
 CLOSING = ".,;:?\"')]}>"
-DOUBLE = re.compile(r"([^\W\d_])\1")
+SINGLES = re.compile(r"[^\W\d_]+|[\W\d_]+")
+REPEATED = re.compile(r"(.)\1+", re.S)
 # letters apart, each up to four times: by one or two blanks, line ends or signs
 SPREAD = re.compile(r"(?<!\S)(?=.[ \t\r\n._*\-/,]|(.)\1)([^\W_]|[@$!(<|])\2{0,3}(?:[ \t\r\n._*\-/,]{1,2}([^\W_]|[@$!(<|])\3{0,3}){2,}(?=[\s.,;:!?]|$)", re.S)
+SEPARATORS = "._*-/,"  # those of SPREAD within a token
 APART = re.compile(r"[ \t\r\n._*\-/,]+")
 PARTS = re.compile(r"[^\W\d_]+")
 MARKS = re.compile("[\u0300-\u036f]+")
@@ -95,12 +99,22 @@ def _points(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.where(_letters()[points], points, 0)
 
 
+@lru_cache(maxsize=10_000)
+def _letters_of(point: int) -> tuple[int, ...]:
+    """The letters that a code point folds to; folding looks at one at a time, but for the order of marks."""
+    return tuple(ord(x) for x in fold(chr(point)) if x.isalpha())
+
+
 def _letter_counts(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Counts of the folded letters of a batch's texts: each code point that occurs is folded once."""
     seen: Counter = Counter()
-    for points in _points(b.column(0)):
-        n = np.bincount(points)
-        at = np.flatnonzero(n)
-        seen.update(dict(zip(at.tolist(), n[at].tolist())))
+    raw, offsets = T.texts_of(b.column(0))
+    for i, j in T.groups(offsets):
+        text = raw[offsets[i]:offsets[j]].tobytes()
+        n = np.bincount(np.frombuffer(text if text.isascii() else text.decode().encode("utf-32-le"), np.uint8 if text.isascii() else np.uint32))
+        for point in np.flatnonzero(n).tolist():
+            for letter in _letters_of(point):
+                seen[letter] += int(n[point])
     return pa.record_batch([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["letter", "n"])
 
 
@@ -176,6 +190,34 @@ def _options(ch: str, times: int, spread: bool) -> list[tuple[str, float]]:
     return out + [(f"{x} ", cost) for x, cost in out if x] if spread else out
 
 
+class Kept(dict):
+    """Token -> its reading, kept in two generations of ``most`` tokens of up to CACHED characters."""
+
+    def __init__(self, find: Callable[[str], str], most: int = KEPT):
+        super().__init__()
+        self.find, self.most, self.old = find, most, {}
+
+    def __missing__(self, token: str) -> str:
+        reading = self.old.get(token)
+        if reading is None:
+            reading = self.find(token)
+            reading = token if reading == token else reading  # one string, not two
+        if len(token) <= CACHED:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[token] = reading
+        return reading
+
+
+class Looked(NamedTuple):
+    """The tokens of some texts, each different one looked at once."""
+    numbers: np.ndarray  # which of the different tokens each is
+    ends: np.ndarray  # tokens before each text, and in all
+    found: list[str | tuple[list[str], dict[str, str]]]  # a token's word, or its words and the readings among them
+    apart: list[tuple[list[str], dict[str, str]]]  # of each text's letters apart, words and readings
+
+
 class Decoder:
     """Readings of disguised tokens under a language model."""
 
@@ -184,34 +226,43 @@ class Decoder:
         self.size, self.codes = model.size, model.codes
         own = Counter(self.codes.values())
         self.any_letter = [(chr(x), COST["mask"], [c]) for x, c in self.codes.items() if own[c] == 1]
-        self._kept = lru_cache(maxsize=50_000)(self._read)
-        self._plain_kept = lru_cache(maxsize=50_000)(self._plain)
-        self._sound: set[str] = set()  # words that are their own reading
-        self._closed: dict[str, str] = {}  # tokens that are such a word and punctuation -> the word
+        self._kept = Kept(self._read)
+        self._coded = lru_cache(maxsize=10_000)(self._coded_options)
+        self._code_of = {" ": 0} | {chr(x): c for x, c in self.codes.items()}
 
     def read(self, token: str) -> str:
         """The likeliest letters behind a token; the token itself if it has none."""
-        return self._kept(token) if len(token) <= CACHED else self._read(token)
+        return self._kept[token]
 
     def _read(self, token: str) -> str:
         token = fold(token)
         runs: list[tuple[str, int]] = []
-        for m in re.finditer(r"(.)\1*", token, re.S):
-            ch, times = m.group()[0], m.end() - m.start()
+        at = 0
+        for m in REPEATED.finditer(token):
+            runs += self._singles(token[at:m.start()])
+            ch, times, at = m.group(1), m.end() - m.start(), m.end()
             runs += [(ch, 1)] * times if ch in MASKS and times <= MASKED else [(ch, times)]
-        return self._decode(runs, False) or token
+        return self._decode(runs + self._singles(token[at:]), False) or token
+
+    @staticmethod
+    def _singles(text: str) -> list[tuple[str, int]]:
+        """Runs of characters that differ from their neighbours: letters beside each other are one, as they can only be themselves."""
+        if not text or text.isalpha():
+            return [(text, 1)] if text else []
+        return [(x, 1) for part in SINGLES.findall(text) for x in ([part] if part.isalpha() else part)]
 
     def plain(self, word: str) -> str:
         """The reading of a word of letters alone: itself, but where letters are written twice or more."""
-        return self._plain_kept(word) if len(word) <= CACHED else self._plain(word)
-
-    def _plain(self, word: str) -> str:
-        return self._read(word) if DOUBLE.search(word) else word
+        return self._kept[word] if REPEATED.search(word) else word
 
     def _code(self, letter: str) -> int:
         point = ord(letter)
         return 0 if letter == " " else self.codes.get(point) or max(self.size - SHARED, 1) + point % min(SHARED, self.size - 1)
 
+    def _coded_options(self, ch: str, times: int, spread: bool) -> list[tuple[str, float, list[int]]]:
+        """The options of a run, with the codes of their characters."""
+        return [(x, cost, [self._code(c) for c in x]) for x, cost in _options(ch, times, spread)]
+
     def read_spread(self, letters: str) -> str:
         """The likeliest words behind letters that were written apart, however many, with a space between words."""
         return self._decode([(m.group()[0], m.end() - m.start()) for m in re.finditer(r"(.)\1*", letters)], True) or letters
@@ -221,9 +272,13 @@ class Decoder:
         model, size, states = self.model, self.size, self.size ** (ORDER - 1)
         paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for ch, times in runs:
-            options = [(x, cost, [self._code(c) for c in x]) for x, cost in _options(ch, min(times, 4), spread)]
-            if ch in MASKS and times == 1 and not spread:
+            if times == 1 and not spread and ch.isalpha():
+                code_of = self._code_of
+                options = [(ch, 0.0, [code_of[c] if c in code_of else self._code(c) for c in ch])]
+            elif ch in MASKS and times == 1 and not spread:
                 options = [("", COST["mask"], []), *self.any_letter]
+            else:
+                options = self._coded(ch, min(times, 4), spread)
             after: dict[int, tuple[float, tuple | None]] = {}
             if spread and times == 1 and ch.isalpha():
                 ended = [(s + (model[x * size] if x % size else 0.0), back, x % size) for x, (s, back) in paths.items()]
@@ -246,62 +301,92 @@ class Decoder:
             out.append(text)
         return "".join(reversed(out)).strip()
 
-    def words(self, text: str) -> tuple[list[str], dict[str, str]]:
-        """The words of a folded text, with readings put in for disguised ones; and those readings."""
-        low = fold(text)
+    def _look(self, token: str) -> str | tuple[list[str], dict[str, str]]:
+        """The word that a token of folded text is, if it is that alone; else its words and the readings among them."""
+        word, whole = (token, token) if token.isalpha() else (token.strip(OUTER), token.rstrip(CLOSING))  # signs at its ends may be letters
+        if word.isalpha() and self.plain(word) == word and (whole == word or not ENDS.search(whole)):
+            return word
         out: list[str] = []
         readings: dict[str, str] = {}
 
-        sound, closed = self._sound, self._closed
-
         def put(word: str) -> None:
             out.append(word)
             reading = self.plain(word)
             if reading != word:
                 readings[word] = reading
                 out.append(reading)
-        for token in low.split():
-            if token in sound:
-                out.append(token)
-                continue
-            if token.isalpha():
-                put(token)
-                if len(sound) < 100_000 and len(token) <= CACHED and self.plain(token) == token:
-                    sound.add(token)
-                continue
-            if token in closed:
-                out.append(closed[token])
-                continue
-            word = token.strip(OUTER)
-            whole = token.rstrip(CLOSING)  # signs at its ends may be letters
-            if word.isalpha():
-                put(word)
-                if not ENDS.search(whole):
-                    if len(closed) < 100_000 and len(token) <= CACHED and self.plain(word) == word:
-                        closed[token] = word
-                    continue
-                parts, forms = [word], {whole}
-            else:
-                parts = PARTS.findall(word)
-                for part in parts:
-                    put(part)
-                forms = {whole, word} if _disguised(whole) or _disguised(word) else ()
-            if forms:
-                for form in forms:
-                    readings[form] = self.read(form)
-                    if readings[form] not in parts:
-                        parts.append(readings[form])
-                        out.append(readings[form])
-        if len(low) > 4:
-            for m in SPREAD.finditer(low):
-                spread = m.group()
-                letters = APART.sub("", spread)
-                if not LETTER.search(letters):
-                    continue  # numbers
-                readings[spread] = self.read_spread(letters)
-                out += readings[spread].split()
+        if word.isalpha():
+            put(word)
+            if whole == word or not ENDS.search(whole):
+                return out, readings
+            parts, forms = [word], {whole}
+        else:
+            parts = PARTS.findall(word)
+            for part in parts:
+                put(part)
+            forms = {whole, word} if _disguised(whole) or _disguised(word) else ()
+        for form in forms:
+            readings[form] = self.read(form)
+            if readings[form] not in parts:
+                parts.append(readings[form])
+                out.append(readings[form])
         return out, readings
 
+    @staticmethod
+    def _begins(token: str) -> int:
+        """1 for a token that letters apart may begin or go on with, 2 if it may hold several of them, else 0."""
+        if token[1:2] not in SEPARATORS and token[1] != token[0]:
+            return 0
+        rest = token.lstrip(token[0])
+        if rest and rest[0] not in SEPARATORS:
+            return 0
+        return 2 if rest.strip(SEPARATORS) else 1
+
+    def _apart(self, low: str) -> tuple[list[str], dict[str, str]]:
+        """The words of letters that stand apart in a folded text, and those readings."""
+        out: list[str] = []
+        readings: dict[str, str] = {}
+        for m in SPREAD.finditer(low):
+            spread = m.group()
+            letters = APART.sub("", spread)
+            if not LETTER.search(letters):
+                continue  # numbers
+            readings[spread] = self.read_spread(letters)
+            out += readings[spread].split()
+        return out, readings
+
+    def look(self, texts: list[str]) -> Looked:
+        """What the tokens of texts are: most occur several times in a batch, so each is looked at once."""
+        lows = [fold(t) for t in texts]
+        tokens = [low.split() for low in lows]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in tokens], dtype=np.int64)))
+        kinds = pa.array(list(chain.from_iterable(tokens)), pa.large_string()).dictionary_encode()
+        numbers, different = kinds.indices.to_numpy(), kinds.dictionary.to_numpy(zero_copy_only=False).tolist()
+        begins = np.array([self._begins(t) for t in different], np.int8)[numbers]
+        # letters apart need a token that holds several, or two beside each other that may hold one
+        maybe = np.concatenate(([0], np.cumsum((begins == 2) | (begins > 0) & (np.append(begins[1:], 0) > 0))))
+        return Looked(numbers, ends, [self._look(t) for t in different], [self._apart(low) if some else ([], {}) for low, some in zip(lows, (maybe[ends[1:]] > maybe[ends[:-1]]).tolist())])
+
+    def words_of(self, texts: list[str]) -> list[tuple[list[str], dict[str, str]]]:
+        """The words of each text, folded, with readings put in for disguised ones; and those readings."""
+        numbers, ends, found, apart = self.look(texts)
+        rows = []
+        for i, j, (more, others) in zip(ends.tolist(), ends[1:].tolist(), apart):
+            out: list[str] = []
+            readings: dict[str, str] = {}
+            for k in numbers[i:j].tolist():
+                if found[k].__class__ is str:
+                    out.append(found[k])
+                else:
+                    out += found[k][0]
+                    readings.update(found[k][1])
+            rows.append((out + more, readings | others))
+        return rows
+
+    def words(self, text: str) -> tuple[list[str], dict[str, str]]:
+        """The words of one text, and the readings among them."""
+        return self.words_of([text])[0]
+
 
 _HELD: list[tuple[Model, Decoder]] = []
 
@@ -315,32 +400,14 @@ def held_decoder(model: Model) -> Decoder:
     return _HELD[0][1]
 
 
-def units_of(words: list[str], only: dict[int, set[str]] | None = None) -> dict[str, int]:
-    """How often each unit occurs: words, and beginnings of longer words. ``only``: units by length of beginning (0:
-    whole words)."""
+def units_of(words: list[str]) -> dict[str, int]:
+    """How often each unit occurs: words, and beginnings of longer words."""
     counts = Counter(w for w in words if len(w) > 2)
-    if only is None:
-        out = Counter(counts)
-        for w, n in counts.items():
-            for k in STEMS:
-                if len(w) > k:
-                    out[w[:k] + "*"] += n
-        return out
-    hits: Counter = Counter()
-    for k, units in only.items():
-        if not k:
-            hits.update({w: counts[w] for w in units & counts.keys()})
-        elif units & {w[:k] for w in counts}:
-            for w, n in counts.items():
-                if len(w) > k and w[:k] in units:
-                    hits[w[:k] + "*"] += n
-    return hits
-
-
-def by_length(units) -> dict[int, set[str]]:
-    out: dict[int, set[str]] = {}
-    for u in units:
-        out.setdefault(len(u) - 1 if u.endswith("*") else 0, set()).add(u.removesuffix("*"))
+    out = Counter(counts)
+    for w, n in counts.items():
+        for k in STEMS:
+            if len(w) > k:
+                out[w[:k] + "*"] += n
     return out
 
 
@@ -404,6 +471,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> D
     return texts.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
+def _offsets(parts: list) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))), pa.int32())
+
+
 def fit(docs: DataFrame, labels: DataFrame, model: Model, rows: int = FIT_ROWS) -> tuple[dict[str, tuple[float, float]], float]:
     """(weights of each unit's presence and density, bias). Units are counted in Spark; all that pass the
     test of significance, of at most ``rows`` texts, are collected for the regression."""
@@ -411,8 +482,10 @@ def fit(docs: DataFrame, labels: DataFrame, model: Model, rows: int = FIT_ROWS)
 
     def restored(b: pa.RecordBatch) -> pa.RecordBatch:
         decoder = held_decoder(shared.value)
-        words = [decoder.words(t)[0] for t in b.column("text").to_pylist()]
-        return pa.record_batch([pa.array([list(units_of(w).items()) for w in words], pa.map_(pa.string(), pa.int32())), pa.array([len(w) for w in words], pa.int32()), b.column("toxic")], names=["units", "n_words", "toxic"])
+        words = [w for w, _ in decoder.words_of(b.column("text").to_pylist())]
+        units = [units_of(w) for w in words]
+        held = pa.MapArray.from_arrays(_offsets(units), pa.array(chain.from_iterable(units), pa.string()), pa.array(chain.from_iterable(u.values() for u in units), pa.int32()))
+        return pa.record_batch([held, pa.array([len(w) for w in words], pa.int32()), b.column("toxic")], names=["units", "n_words", "toxic"])
     sample = staged(arrow_map(training_rows(docs, labels, rows), restored, "units map<string,int>, n_words int, toxic int"))
     sizes = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     n, k = sizes["n"], sizes["k"]
@@ -429,12 +502,17 @@ def fit(docs: DataFrame, labels: DataFrame, model: Model, rows: int = FIT_ROWS)
     top = without_empty_stems({r["unit"]: (r["n"], r["k"]) for r in found.collect()})
     if not top:
         return nothing
-    column = {u: i for i, u in enumerate(top)}
-    shared_units = docs.sparkSession.sparkContext.broadcast(column)
+    shared_units = docs.sparkSession.sparkContext.broadcast(top)
 
     def narrow(b: pa.RecordBatch) -> pa.RecordBatch:
-        units = [[(shared_units.value[u], c) for u, c in row if u in shared_units.value] for row in b.column("units").to_pylist()]
-        return pa.record_batch([pa.array([[i for i, _ in x] for x in units], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in units], pa.list_(pa.int32())), b.column("n_words"), b.column("toxic")], names=["at", "count", "n_words", "toxic"])
+        units = b.column("units")
+        ends = units.offsets.to_numpy()
+        found = pc.index_in(units.keys.slice(ends[0], ends[-1] - ends[0]), value_set=pa.array(shared_units.value, pa.string()))
+        mine = found.is_valid()
+        counts = units.items.slice(ends[0], ends[-1] - ends[0])
+        kept = np.concatenate(([0], np.cumsum(mine.to_numpy(zero_copy_only=False))))
+        offsets = pa.array(kept[ends - ends[0]], pa.int32())
+        return pa.record_batch([pa.ListArray.from_arrays(offsets, found.filter(mine)), pa.ListArray.from_arrays(offsets, counts.filter(mine)), b.column("n_words"), b.column("toxic")], names=["at", "count", "n_words", "toxic"])
     texts = arrow_map(sample, narrow, "at array<int>, count array<int>, n_words int, toxic int").collect()
     entries = [(i, at, density(c, r["n_words"])) for i, r in enumerate(texts) for at, c in zip(r["at"], r["count"])]
     at_row, at_column, dense = (np.array(x) for x in zip(*entries))
@@ -443,6 +521,65 @@ def fit(docs: DataFrame, labels: DataFrame, model: Model, rows: int = FIT_ROWS)
     return dict(zip(top, zip(w[:len(top)], w[len(top):]))), bias
 
 
+class Scorer:
+    """Scores of looked-at texts by the regression's weights."""
+
+    def __init__(self, weights: dict[str, tuple[float, float]], bias: float):
+        self.bias, self.column = bias, {u: i for i, u in enumerate(weights)}
+        self.weights = np.array(list(weights.values()), float).reshape(-1, 2)
+        self.begins: dict[str, int] = {}  # beginnings of units -> the unit of words that begin so, or -1
+        for u in weights:
+            word = u.removesuffix("*")
+            self.begins.update({word[:k]: self.column.get(f"{word[:k]}*", -1) for k in STEMS if k <= len(word)})
+
+    def units(self, word: str) -> list[int]:
+        """The units of a word, as columns."""
+        own = []
+        for k in STEMS:
+            found = self.begins.get(word[:k])
+            if found is None:
+                break
+            if found >= 0 and len(word) > k:
+                own.append(found)
+        if word in self.column and len(word) > 2:
+            own.append(self.column[word])
+        return own
+
+    def score(self, looked: Looked) -> tuple[np.ndarray, list[list[tuple[str, str]]]]:
+        """Each text's score, and those of its readings that hold a unit that is a whole word."""
+        numbers, ends, found, apart = looked
+        kinds, texts = len(found), len(apart)
+        sizes, have, read = np.ones(kinds, np.int64), np.zeros(kinds, np.int64), np.zeros(kinds, bool)
+        flat: list[int] = []
+        for i, x in enumerate(found):
+            if x.__class__ is str:
+                own = self.units(x) if x[:3] in self.begins else ()
+            else:
+                sizes[i], read[i] = len(x[0]), bool(x[1])
+                own = [u for w in x[0] for u in self.units(w)]
+            if own:
+                have[i] = len(own)
+                flat += own
+        words = np.concatenate(([0], np.cumsum(sizes[numbers])))
+        words = words[ends[1:]] - words[ends[:-1]] + [len(w) for w, _ in apart]
+        each = have[numbers]
+        rows = np.repeat(np.arange(texts), np.diff(ends))
+        into = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        units = np.array(flat, np.int64)[np.repeat((np.cumsum(have) - have)[numbers], each) + into]
+        more = [(row, u) for row, (w, _) in enumerate(apart) for x in w for u in self.units(x)]
+        pairs = np.concatenate((np.repeat(rows, each) * len(self.weights) + units, np.array([row * len(self.weights) + u for row, u in more], np.int64)))
+        pairs, counts = np.unique(pairs, return_counts=True)
+        rows_of, units = np.divmod(pairs, max(len(self.weights), 1))
+        z = self.bias + np.bincount(rows_of, self.weights[units, 0] + self.weights[units, 1] * np.log1p(1000 * counts / np.maximum(words[rows_of], 1)), texts)
+        readings: list[dict[str, str]] = [{} for _ in range(texts)]
+        at = np.flatnonzero(read[numbers])
+        for row, i in zip(rows[at].tolist(), numbers[at].tolist()):
+            readings[row].update(found[i][1])
+        for row, (_, others) in enumerate(apart):
+            readings[row].update(others)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), [[(token, w) for token, w in r.items() if any(x in self.column for x in w.split())] for r in readings]
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, restored (a map from disguised tokens to their readings that are units of the regression,
     or for spread letters hold one), score,
@@ -453,17 +590,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, keep: tup
     """
     model = language_model(docs)
     weights, bias = fit(docs, labels, model, rows)
-    only = by_length(weights)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    scorer = docs.sparkSession.sparkContext.broadcast(Scorer(weights, bias))
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         decoder = held_decoder(shared.value)
-        scores, found = [], []
-        for text in b.column(1).to_pylist():
-            words, readings = decoder.words(text or "")
-            z = bias + sum(weights[u][0] + weights[u][1] * density(c, len(words)) for u, c in units_of(words, only).items())
-            scores.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
-            found.append([(token, w) for token, w in readings.items() if any(x in weights for x in w.split())])
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.map_(pa.string(), pa.string())), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *b.columns[2:]],
+        scores, found = scorer.value.score(decoder.look([t or "" for t in b.column(1).to_pylist()]))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.map_(pa.string(), pa.string())), pa.array(scores, pa.float64()), pa.array(scores >= 0.5).cast(pa.int32()), *b.columns[2:]],
                                           names=["doc_id", "restored", "score", "predicted", *keep])
     return arrow_map(documents(docs, keep), batch, "doc_id long, restored map<string,string>, score double, predicted int" + ddl(docs, keep))

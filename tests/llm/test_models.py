@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesforge.llm import toxicity as X, vectors as V
@@ -184,6 +185,49 @@ def test_large_vocabulary(lab):
     assert abs(got[0] - got[1]) > 0.1 and got[0] > got[1]
 
 
+def test_tokens_of_a_batch_are_looked_at_once(lab):
+    """A batch's words and scores are those of its texts one by one, and each different token is looked at once."""
+    docs = read(lab, SF, "documents")
+    decoder = X.Decoder(X.language_model(docs))
+    texts = [r["text"] for r in docs.limit(60).collect()] + ["", "a b", "the s t u p i d man, s.t.u", "ii dd", "x. y. z", "(n o p e", "1d1ot 1d1ot little", "st*pid $$$ -- 'it's'", "a\u2003b\x1cc d"]
+    one_by_one = [decoder.words(t) for t in texts]
+    seen, look = collections.Counter(), decoder._look
+    decoder._look = lambda token: seen.update([token]) or look(token)
+    sort = lambda rows: [(sorted(w), r) for w, r in rows]
+    assert sort(decoder.words_of(texts * 2)) == sort(one_by_one * 2)
+    assert max(seen.values()) == 1 and len(seen) == len({x for t in texts for x in X.fold(t).split()})
+    for text, (words, readings) in zip(texts, one_by_one):  # no letters apart are passed over
+        apart, others = decoder._apart(X.fold(text))
+        assert not collections.Counter(apart) - collections.Counter(words) and others.items() <= readings.items()
+    weights = {"the": (0.2, 0.1), "the*": (0.3, -0.2), "stu*": (1.0, 0.5), "stupid": (2.0, 0.1), "idiot": (1.5, 0.0), "thanand": (0.7, 0.2)}
+    scores, restored = X.Scorer(weights, -1.0).score(decoder.look(texts))
+    for (words, readings), score, kept in zip(one_by_one, scores, restored):
+        counts = X.units_of(words)
+        z = sum(a + b * X.density(counts[u], len(words)) for u, (a, b) in weights.items() if counts[u]) - 1
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9 and dict(kept) == {t: w for t, w in readings.items() if set(w.split()) & weights.keys()}
+    assert X.Scorer({}, 0.5).score(decoder.look(["", "a word"]))[0].tolist() == [1 / (1 + np.exp(-0.5))] * 2
+
+
+def test_letters_are_counted_by_code_point(lab):
+    """As they are in the folded texts, whatever a code point folds to."""
+    texts = ["Straße ﬁn ½ ÉÉ e\u0301\u0323 한글 ǅ İi ΣΑΣ x²", "plain ASCII Text", "", "क्षत्रिय ﷺ Ⅷ"]
+    docs = lab.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate([*texts, None])], DOCUMENTS)
+    counts = collections.Counter(ord(c) for t in texts for c in X.fold(t) if c.isalpha())
+    codes, size = X.alphabet(X.documents(docs).select("text"))
+    assert codes.keys() == counts.keys() or size == X.LETTERS
+    batch = pa.record_batch([pa.array([*texts, None])], names=["text"])
+    got = X._letter_counts(batch)
+    assert dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist())) == counts
+    folded, fold = [], X.fold
+    X._letters_of.cache_clear()
+    try:
+        X.fold = lambda t: folded.append(t) or fold(t)
+        X._letter_counts(batch)
+    finally:
+        X.fold = fold
+    assert folded and max(map(len, folded)) == 1
+
+
 def test_toxicity_cases(lab):
     clean = [(i, f"quiet words number {chr(97 + i % 26)}{chr(97 + i // 26)} stand here", "en", "a", 1) for i in range(200)]
     bad = [(1000 + i, f"quiet nasty words number {chr(97 + i % 26)}{chr(97 + i // 26)} stand here", "en", "a", 1) for i in range(100)]
