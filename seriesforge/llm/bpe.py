@@ -189,11 +189,16 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return arrow_map(documents(docs), batch, "doc_id long, ids array<int>")
 
 
+def _texts_of_ids(own: Bpe, ids: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The ids, and the text of each row. The ids become Python numbers all at once: one by one takes Arrow several times
+    as long as the decoding."""
+    ids = ids.fill_null([]) if ids.null_count else ids
+    flat, at = ids.flatten().to_numpy(zero_copy_only=False).tolist(), (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
+    return ids, pa.array([own.decode(flat[x:y]) for x, y in zip(at, at[1:])], pa.string())
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text): the vocabulary's strings of each row's ids. Null ids give an empty text."""
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        own = bpe(path)
-        ids = b.column(1).fill_null([]) if b.column(1).null_count else b.column(1)
-        flat, at = ids.flatten().to_pylist(), (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
-        return pa.record_batch([b.column(0), ids, pa.array([own.decode(flat[x:y]) for x, y in zip(at, at[1:])], pa.string())], names=["doc_id", "ids", "text"])
+        return pa.record_batch([b.column(0), *_texts_of_ids(bpe(path), b.column(1))], names=["doc_id", "ids", "text"])
     return arrow_map(encoded.select("doc_id", "ids"), batch, "doc_id long, ids array<int>, text string")
